@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: tuple[str, ...] = ()
+FAMILIES: tuple[str, ...] = ("store_plans", "retrieve_plans", "shape_plans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
