@@ -77,9 +77,9 @@ l as (
             else 'user name=' || regexp_replace(m.role, '[\\s<|>]+', '_', 'g') end || chr(10) as head, m.text || '<|im_end|>' as body
   from m join s on m.conv_id is not distinct from s.conv_id),
 o as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, speaker, part order by turn nulls first, role, text
-         rows between unbounded preceding and 1 preceding), 0) as at from l)
+         rows between unbounded preceding and 1 preceding), 0) as pos from l)
 select conv_id, speaker, part, cast(0 as bigint) as sub, cast(count(*) as integer) as n_messages, cast(count(*) filter (where own) as integer) as n_trained,
        string_agg(head || body || chr(10), '' order by turn nulls first, role, text) as rendered,
-       coalesce(string_agg(cast(at + length(head) as bigint) || ':' || cast(at + length(head) + length(body) as bigint), ',' order by turn nulls first, role, text) filter (where own), '') as mask
+       coalesce(string_agg(cast(pos + length(head) as bigint) || ':' || cast(pos + length(head) + length(body) as bigint), ',' order by turn nulls first, role, text) filter (where own), '') as mask
 from o group by conv_id, speaker, part
 """
