@@ -165,9 +165,9 @@ def linked(graph: Graph, unit: np.ndarray, q: np.ndarray, least: float, audit: i
 
     Per block of queries the beam is widened until the audit passes: some queries, half of them such with a link found,
     are held against a scan of the shard, and `recall` of their true links must be there (without any true link, nine
-    tenths of their nearest places). A query whose whole beam is linked is widened in any case. Where a beam would reach
-    a quarter of the shard, the block's queries that still need it are answered by that scan, so that no link is lost to
-    the beam's width.
+    tenths of their nearest places). A query whose whole beam is linked is widened in any case. Where a beam would follow
+    more links than the shard has vectors, the block's queries that still need it are answered by that scan, so that no
+    link is lost to the beam's width.
     """
     rows, cols = [], []
     near = least - 1e-4
@@ -176,7 +176,7 @@ def linked(graph: Graph, unit: np.ndarray, q: np.ndarray, least: float, audit: i
         entry = descend(Graph(graph.unit, graph.levels[:-1]), part) if len(graph.levels) > 1 else np.full((len(part), 1), graph.levels[0][0][0], dtype=np.int64)
         todo, width = np.arange(len(part)), BEAM
         while len(todo):
-            if width > BEAM and 4 * width >= len(unit):
+            if width > BEAM and 2 * LINKS * width >= len(unit):
                 ok = part[todo] @ graph.unit.T >= near
                 r, c = np.nonzero(ok)
                 rows.append(at + todo[r]), cols.append(c)
