@@ -100,8 +100,10 @@ def battery(token: Column) -> Column:
         p_serial = _let(F.aggregate(ranks, F.lit(0.0), lambda a, v: a + v) / n, serial)
         return F.struct(x.encoding.alias("encoding"), F.size(ranks).alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, _let(high, runs), p_serial)).alias("p"))
 
-    seen = F.struct(name.alias("encoding"), F.length(alphabet).alias("k"), F.transform(F.split(token, ""), lambda c: F.position(c, alphabet) - 1).alias("ranks"))
-    return _let(seen, tests)
+    # the inferred alphabet is held fast before the symbols are looked up in it, or its patterns would run for each symbol
+    inferred = F.struct(name.alias("encoding"), alphabet.alias("alphabet"))
+    ranked = lambda e: F.struct(e.encoding.alias("encoding"), F.length(e.alphabet).alias("k"), F.transform(F.split(token, ""), lambda c: F.position(c, e.alphabet) - 1).alias("ranks"))
+    return _let(inferred, lambda e: _let(ranked(e), tests))
 
 
 def _testable(t: Column) -> Column:
