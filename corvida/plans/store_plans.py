@@ -106,10 +106,10 @@ def _(s, d):
     return S.manifest(X.documents(s, d), X.chunks(s, d))
 
 
-@query("embedding_blob_decode", "select vec_id, len(embedding) as n, round(list_sum(embedding), 3) as total from (select vec_id, cast(embedding as double[]) as embedding from embeddings)")
+@query("embedding_blob_decode", "select vec_id, len(embedding) as n, round(list_sum(list_transform(embedding, lambda x: abs(x))), 3) as total from (select vec_id, cast(embedding as double[]) as embedding from embeddings)")
 def _(s, d):
     e = X.table(s, d, "embeddings").select("vec_id", S.decode_blob(S.encode_blob(F.col("embedding"))).alias("v"))
-    return e.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return e.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + F.abs(x)), 3).alias("total"))
 
 
 @query("content_hash")
