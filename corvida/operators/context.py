@@ -52,3 +52,47 @@ def citations(hits: DataFrame, snippet: int = 200) -> DataFrame:
 
 def parse_citations(raw):
     return F.coalesce(F.from_json(raw, "array<struct<title:string,snippet:string,score:double>>"), F.array().cast("array<struct<title:string,snippet:string,score:double>>"))
+
+
+def is_rule_line(line):
+    """A | line of nothing but bars, dashes and blanks."""
+    return F.startswith(T.trimmed(line), F.lit("|")) & (F.regexp_replace(line, r"[|\- ]", "") == "")
+
+
+def reduce_table_lines(hits: DataFrame, most_tokens: int = 700) -> DataFrame:
+    """hits (…, query, content): texts over the budget keep their separator lines and then the lines that share most words
+    with the question, each that still fits; lines that share none only while nothing else was taken. The lines taken are
+    bounded by the budget, so that one row's list stays small however long its text is."""
+    q = words_over_two(F.col("query"))
+    lines = F.filter(F.transform(F.split("content", r"\r?\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: T.trimmed(x) != "")
+    words = lambda x: F.size(F.split(T.trimmed(x), r"\s+"))
+    got = hits.withColumn("_q", q).withColumn("_l", lines)
+    got = got.withColumn("_rules", F.array_distinct(F.filter("_l", is_rule_line))).withColumn("_data", F.filter("_l", lambda x: ~is_rule_line(x)))
+    ranked = F.array_sort(F.transform("_data", lambda x, i: F.struct((-F.size(F.array_intersect("_q", words_over_two(x)))).alias("less"), i.alias("at"), x.alias("x"))))
+    start = F.struct(F.aggregate("_rules", F.lit(0), lambda a, x: a + words(x)).alias("n"), F.array().cast("array<string>").alias("taken"))
+
+    def step(a, r):
+        fits = F.floor((a.n + words(r.x)) * T.TOKENS_PER_WORD) <= most_tokens
+        wanted = (r.less < 0) | (F.size(a.taken) == 0)
+        return F.when(fits & wanted, F.struct((a.n + words(r.x)).alias("n"), F.concat(a.taken, F.array(r.x)).alias("taken"))).otherwise(a)
+
+    kept = F.array_join(F.concat(F.col("_rules"), F.aggregate(ranked, start, step).taken), "\n")
+    cut = F.when(T.trimmed(kept) == "", F.substring("content", 1, 1200)).otherwise(kept)
+    return got.withColumn("content", F.when(T.token_estimate(F.col("content")) <= most_tokens, F.col("content")).otherwise(cut)).drop("_q", "_l", "_rules", "_data")
+
+
+def first_words(c, tokens):
+    """The first floor(tokens / 1.3) words, one at least, joined by single blanks."""
+    return F.array_join(F.slice(F.split(c, r"\s+"), F.lit(1), F.greatest(F.lit(1), F.floor(tokens / T.TOKENS_PER_WORD).cast("int"))), " ")
+
+
+def trim_last_chunk(hits: DataFrame, budget: int, margin: int = 24, least: int = 80) -> DataFrame:
+    """hits (query_id, chunk_id, rank, content): the first chunk that overflows the budget, cut to the largest of what
+    remains and its halvings (over `least` tokens) whose cut text fits; no row where none does."""
+    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    own = T.token_estimate(F.col("content"))
+    got = hits.withColumn("_own", own).withColumn("_upto", F.sum(own).over(w))
+    got = got.where((F.col("_upto") > budget) & (F.col("_upto") - F.col("_own") <= budget)).withColumn("_left", (F.lit(budget) - (F.col("_upto") - F.col("_own")) - margin).cast("int"))
+    halves = F.filter(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda n: F.col("_left") / F.pow(F.lit(2), n)), lambda b: F.floor(b) > least)
+    fitting = F.filter(F.transform(halves, lambda b: F.floor(b)), lambda b: T.token_estimate(first_words(F.col("content"), b)) <= F.col("_left") + margin)
+    return got.withColumn("budget", F.array_max(fitting)).where("budget is not null").select("query_id", "chunk_id", F.col("budget").cast("long").alias("budget"), first_words(F.col("content"), F.col("budget")).alias("content"))
