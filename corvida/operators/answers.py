@@ -76,3 +76,14 @@ def inject_facts(hits: DataFrame, answers: DataFrame) -> DataFrame:
     content = F.when(sure, F.concat(F.lit(VERIFIED), "answer", F.lit(VERIFIED_FACTS), "facts", F.lit(VERIFIED_END))).otherwise(F.concat(F.lit(FACTS), "facts", F.lit(FACTS_END)))
     new = told.select("query_id", F.concat(F.lit("table-facts:"), "anchor").alias("chunk_id"), F.lit(0).cast("long").alias("rank"), F.lit(FIRST_SCORE).alias("score"), content.alias("content"))
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.col("score").cast("double").alias("score"), "content").unionByName(new)
+
+
+def table_answers(questions: DataFrame, rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, facts, answer, confidence) of questions with rows: a calculation, else a sure lookup (HIGH), else facts
+    alone (MEDIUM)."""
+    from corvida.operators.tables import extremes, facts
+
+    computed = extremes(rows, questions).unionByName(sums(questions, rows, chunks)).groupBy("query_id").agg(F.min("answer").alias("computed"))
+    looked = lookup(questions, rows).where("confident").select("query_id", F.col("answer").alias("looked"))
+    got = facts(rows).join(computed, "query_id", "left").join(looked, "query_id", "left").withColumn("answer", F.coalesce("computed", "looked"))
+    return got.select("query_id", "facts", "answer", F.when(F.col("answer").isNotNull(), "HIGH").otherwise("MEDIUM").alias("confidence"))

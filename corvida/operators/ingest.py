@@ -41,7 +41,7 @@ def line_geometry(lines: DataFrame) -> DataFrame:
     got = lines.where((T.trimmed(F.col("text")) != "") & (F.size("box") > 0))
     for end, agg in (("", F.array_min), ("end_", F.array_max)):
         for axis in ("x", "y"):
-            got = got.withColumn(f"{end}{axis}", agg(F.transform("box", lambda p, a=axis: p[a])))
+            got = got.withColumn(f"{end}{axis}", agg(F.col(f"box.{axis}")))
     return got.withColumn("width", F.greatest(F.lit(1.0), F.col("end_x") - F.col("x"))).withColumn("height", F.greatest(F.lit(1.0), F.col("end_y") - F.col("y"))).withColumn("center_x", (F.col("x") + F.col("end_x")) / 2).drop("box")
 
 

@@ -219,4 +219,11 @@ def _(s, d):
     return answers.inject_facts(hits, found).select("query_id", "chunk_id", "rank", "score", F.length("content").cast("long").alias("chars"))
 
 
+@query("table_answers", f"""with {TABLE_SUM}, f as (select chunk_id as query_id, {FACT_LINES} as facts from ordered where row_no in (0, 1, 2) group by chunk_id)
+select query_id, facts, answer, case when answer is null then 'MEDIUM' else 'HIGH' end as confidence from f left join sums using (query_id)""")
+def _(s, d):
+    q, c, rows = table_rows(s, d, 3)
+    return answers.table_answers(q, rows, c)
+
+
 QUERIES, ORACLES = Q, O

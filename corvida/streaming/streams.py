@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvida.operators.chat import MARKS
+
 
 def collection_counts(documents: DataFrame) -> DataFrame:
     """Live documents and chunks per collection of a document stream (collection_id, chunk_count)."""
@@ -23,3 +25,66 @@ def ingest(documents: DataFrame, chunk, path: str, checkpoint: str):
         chunk(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Columns of split fragments, and of the state kept between them: the text held back and the mark that is open.
+PARTS = "message_id string, part_no long, is_reasoning boolean, text string"
+STATE = "held string, open int, parts long"
+
+
+def _held_back(text: str, marks: list[str]) -> int:
+    """Length of the longest end of the text that begins one of the marks."""
+    return max((n for m in marks for n in range(1, min(len(m), len(text) + 1)) if text.endswith(m[:n])), default=0)
+
+
+def split_fragment(held: str, mark: int, text: str, last: bool) -> tuple[list[tuple[bool, str]], str, int]:
+    """Tagged parts of what is held and the new text, what stays held, and the number of the open mark (-1: none). An end
+    that may begin a mark waits for more; the last fragment gives all."""
+    held, out = held + text, []
+    while True:
+        marks = [MARKS[mark][1]] if mark >= 0 else [start for start, _ in MARKS]
+        at, which = min(((held.find(m), i) for i, m in enumerate(marks) if m in held), default=(-1, -1))
+        if at < 0:
+            keep = 0 if last else _held_back(held, marks)
+            out.append((mark >= 0, held[: len(held) - keep]))
+            return [p for p in out if p[1]], held[len(held) - keep :], mark
+        out.append((mark >= 0, held[:at]))
+        held, mark = held[at + len(marks[which]) :], which if mark < 0 else -1
+
+
+def thinking_split(fragments: DataFrame) -> DataFrame:
+    """fragments (message_id, seq, text, is_last) of a stream to PARTS: visible and reasoning text of each message in order,
+    whatever way marks fall over fragments. A message's state is the end it holds back and goes with its last fragment.
+    Fragments of a message have to come in order from batch to batch; within a batch they are sorted. Null texts are
+    empty."""
+
+    def parts(key, batches, state):
+        import pandas as pd
+
+        rows = pd.concat(list(batches)).sort_values("seq")
+        held, mark, n = state.get if state.exists else ("", -1, 0)
+        out, ended = [], False
+        for text, last in zip(rows["text"], rows["is_last"], strict=True):
+            found, held, mark = split_fragment(held, mark, text if isinstance(text, str) else "", bool(last))
+            out += found
+            ended = ended or bool(last)
+        if ended:
+            state.remove()
+        else:
+            state.update((held, mark, n + len(out)))
+        yield pd.DataFrame({"message_id": [key[0]] * len(out), "part_no": range(n, n + len(out)), "is_reasoning": [r for r, _ in out], "text": [t for _, t in out]})
+
+    return fragments.groupBy("message_id").applyInPandasWithState(parts, PARTS, STATE, "append", "NoTimeout")
+
+
+def eval_progress(traces: DataFrame, score, path: str, checkpoint: str):
+    """Traces of a stream to a running summary: every micro-batch writes score(batch), rows (query_id, recall, mrr), under its
+    own folder, so that a repeated batch replaces itself; `eval_summary` reads them all."""
+    return ingest(traces, score, path, checkpoint)
+
+
+def eval_summary(spark, path: str) -> DataFrame:
+    """Samples, mean recall and mean reciprocal rank so far; a sample scored again counts with its latest batch."""
+    rows = spark.read.schema("query_id long, recall double, mrr double, batch long").parquet(path)
+    latest = rows.groupBy("query_id").agg(F.max_by(F.struct("recall", "mrr"), "batch").alias("r"))
+    return latest.agg(F.count("*").alias("samples"), F.coalesce(F.avg("r.recall"), F.lit(0.0)).alias("recall"), F.coalesce(F.avg("r.mrr"), F.lit(0.0)).alias("mrr"))
