@@ -48,10 +48,9 @@ def line_geometry(lines: DataFrame) -> DataFrame:
 def drop_page_furniture(lines: DataFrame, pages: int = 3, top: float = 0.12, bottom: float = 0.86) -> DataFrame:
     """Without lines in the top or bottom margin whose digit-masked text occurs on `pages` pages or more of its document."""
     s = lines.withColumn("_s", F.regexp_replace(F.lower(T.trimmed(F.col("text"))), r"\d+", "#"))
-    often = s.groupBy(F.col("doc_id").alias("_d"), F.col("_s").alias("_k")).agg(F.countDistinct("page").alias("_p")).where(F.col("_p") >= pages).drop("_p")
     margin = (F.col("y") <= top * F.col("page_height")) | (F.col("y") >= bottom * F.col("page_height"))
-    kept = s.where(~margin).unionByName(s.where(margin).join(often, (F.col("doc_id") == F.col("_d")) & (F.col("_s") == F.col("_k")), "left_anti"))
-    return kept.drop("_s")
+    often = F.size(F.collect_set("page").over(Window.partitionBy("doc_id", "_s"))) >= pages
+    return s.withColumn("_often", often).where(~(margin & F.col("_often"))).drop("_s", "_often")
 
 
 def page_boxes(lines: DataFrame, by: list[str]) -> DataFrame:

@@ -89,15 +89,21 @@ def section_paths(lines: DataFrame, levels: int = 4) -> DataFrame:
     return got.select(*lines.columns, F.transform("_open", lambda s: s.text).alias("path"), F.try_element_at("_open", F.lit(-1)).line_no.alias("section_line"), F.try_element_at("_open", F.lit(-2)).line_no.alias("parent_line"))
 
 
-def paragraph_groups(lines: DataFrame) -> DataFrame:
-    """lines (doc_id, page, page_width, x, y) with paragraph_no: a new one at a new page, after a gap over 1.65 times the
-    document's middle gap (24 if it has none), and where x jumps by over 35 % of the page."""
-    w = Window.partitionBy("doc_id").orderBy("page", "y", "x")
+def with_middle(df: DataFrame, value: str, by: tuple[str, ...], name: str) -> DataFrame:
+    """df with `name`: the middle of the non-null values of its group in ascending order, the upper one of two."""
+    group = Window.partitionBy(*by)
+    at = F.row_number().over(group.orderBy(F.col(value).asc_nulls_last())) == F.floor(F.count(value).over(group) / 2) + 1
+    return df.withColumn("_at", at).withColumn(name, F.max(F.when(F.col("_at"), F.col(value))).over(group)).drop("_at")
+
+
+def paragraph_groups(lines: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """lines (`by`, page, page_width, x, y) with paragraph_no: a new one at a new page, after a gap over 1.65 times the
+    middle gap of the lines' group (24 if it has none), and where x jumps by over 35 % of the page."""
+    w = Window.partitionBy(*by).orderBy("page", "y", "x")
     prev = lambda c: F.lag(c).over(w)
     got = lines.withColumns({"_p": prev("page"), "_y": prev("y"), "_x": prev("x"), "_w": prev("page_width")})
     gap = F.when((F.col("_p") == F.col("page")) & (F.col("y") > F.col("_y")), F.col("y") - F.col("_y"))
-    middle = got.groupBy("doc_id").agg(F.array_sort(F.collect_list(gap)).alias("g")).select("doc_id", F.coalesce(F.get("g", F.floor(F.size("g") / 2).cast("int")), F.lit(24.0)).alias("_m"))
-    got = got.join(middle, "doc_id")
+    got = with_middle(got.withColumn("_g", gap), "_g", by, "_m").withColumn("_m", F.coalesce("_m", F.lit(24.0)))
     new = (F.col("_p") != F.col("page")) | (F.col("y") - F.col("_y") > F.col("_m") * 1.65) | (F.abs(F.col("x") - F.col("_x")) > F.col("_w") * 0.35)
     return got.withColumn("paragraph_no", F.sum(F.when(new, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*lines.columns, "paragraph_no")
 
@@ -114,7 +120,7 @@ def column_segments(words: DataFrame, gap: float = 8.0) -> DataFrame:
     return got.select("doc_id", "line_no", F.col("segment").cast("long").alias("segment"), "x", "end_x", F.array_join(F.transform("l", lambda t: t.text), " ").alias("text"))
 
 
-def anchors(ascending: Column, apart: float) -> Column:
+def anchors(ascending: Column, apart: float | Column) -> Column:
     """Values of an ascending array that lie over `apart` above the anchor before them; the first is one."""
     return F.aggregate(ascending, F.array().cast("array<double>"), lambda a, v: F.when((F.size(a) == 0) | (v - F.element_at(a, -1) > apart), F.concat(a, F.array(v))).otherwise(a))
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: tuple[str, ...] = ("store_plans", "retrieve_plans", "shape_plans", "ingest_plans", "question_plans", "judge_plans", "layout_plans")
+FAMILIES: tuple[str, ...] = ("store_plans", "retrieve_plans", "shape_plans", "ingest_plans", "question_plans", "judge_plans", "layout_plans", "ocr_plans", "stream_plans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

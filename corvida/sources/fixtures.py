@@ -19,8 +19,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks(table(spark, sf_dir, "documents"))
+
+
+def blocks(documents: DataFrame) -> DataFrame:
     """Blocks of four lines; the first block of a document heads its group and is its section."""
-    d = table(spark, sf_dir, "documents").withColumn("l", F.split("text", "\n"))
+    d = documents.withColumn("l", F.split("text", "\n"))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / BLOCK).cast("int")), lambda i: F.array_join(F.slice("l", i * BLOCK + 1, F.lit(BLOCK)), "\n"))
     got = d.select("doc_id", "source", "lang", F.posexplode(blocks).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
     head = F.col("chunk_index") == 0
