@@ -1,4 +1,4 @@
-"""Embedding near-duplicates: a navigable small-world graph per shard, every shard queried, recall audited."""
+"""Embedding near-duplicates: a navigable small-world graph per shard, every shard queried, every query audited."""
 
 from __future__ import annotations
 
@@ -160,45 +160,27 @@ def descend(graph: Graph, q: np.ndarray) -> np.ndarray:
     return entry
 
 
-def linked(graph: Graph, unit: np.ndarray, q: np.ndarray, least: float, audit: int = 48, recall: float = 0.98, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """All (query, place) with a double-precision cosine of at least `least` that the graph yields.
+def linked(graph: Graph, unit: np.ndarray, q: np.ndarray, least: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, place) with a double-precision cosine of at least `least`.
 
-    Per block of queries the beam is widened until the audit passes: some queries, half of them such with a link found,
-    are held against a scan of the shard, and `recall` of their true links must be there (without any true link, nine
-    tenths of their nearest places). A query whose whole beam is linked is widened in any case. Where a beam would follow
-    more links than the shard has vectors, the block's queries that still need it are answered by that scan, so that no
-    link is lost to the beam's width.
+    Every query's beam is audited: a block of queries is held against a scan of the shard, one matrix product, and a query
+    whose beam lacks any of its links gets those of the scan instead. No query is left out of the audit and none is judged
+    by what others found, so a lone pair beside a large group of near copies can't be lost.
     """
     rows, cols = [], []
     near = least - 1e-4
     for at in range(0, len(q), block):
         part = q[at : at + block].astype(np.float32)
         entry = descend(Graph(graph.unit, graph.levels[:-1]), part) if len(graph.levels) > 1 else np.full((len(part), 1), graph.levels[0][0][0], dtype=np.int64)
-        todo, width = np.arange(len(part)), BEAM
-        while len(todo):
-            if width > BEAM and 2 * LINKS * width >= len(unit):
-                ok = part[todo] @ graph.unit.T >= near
-                r, c = np.nonzero(ok)
-                rows.append(at + todo[r]), cols.append(c)
-                break
-            ids, sims = beam_search(graph.unit, graph.levels[-1][1], part[todo], entry[todo], width)
-            hit = (sims >= near) & (ids >= 0)
-            with_link = np.flatnonzero(hit.any(axis=1))[: audit // 2]
-            sample = np.union1d(with_link, np.linspace(0, len(todo) - 1, min(audit // 2, len(todo))).astype(int))
-            true = part[todo[sample]] @ graph.unit.T
-            found = np.zeros(true.shape, dtype=bool)
-            r, c = np.nonzero(ids[sample] >= 0)
-            found[r, ids[sample][r, c]] = True
-            wanted, share = true >= near, recall
-            if not wanted.any():
-                wanted, share = true >= true.max(axis=1, keepdims=True), 0.9
-            if (found & wanted).sum() < share * wanted.sum():
-                width *= 2
-                continue
-            full = hit.all(axis=1)
-            r, c = np.nonzero(hit & ~full[:, None])
-            rows.append(at + todo[r]), cols.append(ids[r, c])
-            todo, width = todo[full], 2 * width
+        ids, sims = beam_search(graph.unit, graph.levels[-1][1], part, entry, BEAM)
+        hit = (sims >= near) & (ids >= 0)
+        true = part @ graph.unit.T >= near
+        found = np.zeros(true.shape, dtype=bool)
+        r, c = np.nonzero(hit)
+        found[r, ids[r, c]] = True
+        missed = (true & ~found).any(axis=1)
+        r, c = np.nonzero(np.where(missed[:, None], true, found))
+        rows.append(at + r), cols.append(c)
     if not rows:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     r, c = np.concatenate(rows), np.concatenate(cols)
