@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvida.llm.common import WORD_BYTES, cut
@@ -164,33 +164,46 @@ def fingerprint_links(classes: DataFrame, distance: int = 2) -> DataFrame:
     return dealt.mapInArrow(_search(distance, pairs), "a long, b long")
 
 
+def _components(prints: DataFrame, distance: int) -> DataFrame:
+    """prints: (doc_id, fp). (fp, root, component_id) of every fingerprint that a row with an id has: root, the smallest
+    fingerprint that it reaches, names the component; component_id is the smallest id there. The links join fingerprints,
+    not ids: one id may stand on rows of several components."""
+    classes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = connected_components(fingerprint_links(classes.select(F.col("fp").alias("rep"), "fp"), distance))
+    placed = cut(classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "placed")
+    return cut(placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"), "known")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable over links of at
     most `distance` bits).
 
     Ids are integers. A null or empty text has fingerprint zero and links like any other. Rows with the same id each
-    keep their row. A row with a null id takes its fingerprint's component, null if no row with an id reaches it.
-    Other columns of the input are left out. Empty input gives an empty result.
+    keep their row and are linked by their fingerprints alone. A row with a null id takes its fingerprint's component,
+    null if no row with an id reaches it. Other columns of the input are left out. Empty input gives an empty result.
     """
     prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf(shingle)(F.col(text_col)).alias("fp")), "prints")
-    classes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    roots = connected_components(fingerprint_links(classes.select("rep", "fp"), distance))
-    known = cut(classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "rep"), "known")
-    return prints.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id"))
+    return prints.join(_components(prints, distance), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
-    """docs without those that are not the first of their component: the row with the smallest id stays, and of several
-    rows with that id any one. Rows with a null id can't be told apart and all stay. All columns stay.
+    """docs without those that are not the first of their component: the first row by id, fingerprint and hash of the
+    text stays, and of several rows that agree in all three the first by a hash of the whole row. An id may stay more
+    than once, with texts of different components. Rows with a null id can't be told apart and all stay. All columns stay.
 
-    The texts move once, hashed against the kept ids of their partition. Only ids that occur more than once, if there
-    are any, are then reduced to one row each.
+    The texts move once, hashed against the kept ids and text hashes of their partition. Only rows that occur more than
+    once, if there are any, are then reduced to one each.
     """
-    found = cut(simhash_components(docs, id_col, text_col, distance).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "kept")
-    kept = found.where("doc_id = component_id")
-    ids = lambda which: which.select(F.col("doc_id").alias("_kept_id")).hint("shuffle_hash")
-    by_id = F.col(id_col).cast("long") == F.col("_kept_id")
-    out = docs.join(ids(kept.where("n = 1")), by_id, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    text_hash = F.xxhash64(F.col(text_col))
+    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf()(F.col(text_col)).alias("fp"), text_hash.alias("text_hash")), "prints")
+    rows = prints.where("doc_id is not null").groupBy("doc_id", "fp", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.join(_components(prints, distance), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_hash", "n")).alias("first"))
+    kept = cut(first.select("first.*"), "kept")
+    ids = lambda which: which.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).hint("shuffle_hash")
+    by_row = (F.col(id_col).cast("long") == F.col("_kept_id")) & (text_hash == F.col("_kept_hash"))
+    out = docs.join(ids(kept.where("n = 1")), by_row, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     if not kept.where("n > 1").isEmpty():
-        out = out.unionByName(docs.join(ids(kept.where("n > 1")), by_id, "left_semi").dropDuplicates([id_col]))
+        same = docs.join(ids(kept.where("n > 1")), by_row, "left_semi")
+        order = Window.partitionBy(F.col(id_col).cast("long"), text_hash).orderBy(F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in docs.columns]))))
+        out = out.unionByName(same.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place"))
     return out

@@ -1,10 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
+import zlib
+
 import numpy as np
 import pytest
 
 pytest.importorskip("corvida.llm")
-from corvida.llm import hnsw_dedup
+from corvida.llm import chat_format, hnsw_dedup, mixing, packing, quality_classifier, simhash
 
 
 def test_lone_pairs_beside_groups_of_near_copies_are_found(monkeypatch):
@@ -29,3 +31,15 @@ def test_lone_pairs_beside_groups_of_near_copies_are_found(monkeypatch):
     found = np.zeros(true.shape, dtype=bool)
     found[q, c] = True
     assert (found == true).all() and len(q) == true.sum()
+
+
+def test_repeated_ids_keep_one_row_of_each_component(spark):
+    a, b, c = "one two three four five six", "alpha beta gamma delta epsilon zeta", "red green blue black white grey"
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, other string")
+    kept = lambda rows: sorted((r.doc_id, r.text) for r in simhash.drop_near_copies(table(rows)).collect())
+    assert kept([(5, a, "x"), (5, b, "x"), (3, a, "x")]) == [(3, a), (5, b)]
+    assert kept([(5, a, "x"), (5, b, "x")]) == sorted([(5, a), (5, b)])
+    assert kept([(5, a, "x"), (5, a, "y"), (5, b, "x"), (7, b, "x"), (8, c, "x")]) == sorted([(5, a), (5, b), (8, c)])
+    rows = [(5, a, "x"), (5, a, "y"), (5, a, "z")]
+    assert len({simhash.drop_near_copies(table(r)).collect()[0].other for r in (rows, rows[::-1], rows[1:] + rows[:1])}) == 1
+    assert {(r.doc_id, r.component_id) for r in simhash.simhash_components(table([(5, a, "x"), (5, b, "x"), (3, a, "x")])).collect()} == {(5, 3), (5, 5), (3, 3)}
