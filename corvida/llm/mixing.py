@@ -18,6 +18,8 @@ PAIRS, WORDS = 1024, 4096
 #: Domains of the labels table, and what share of the mixed tokens each shall have.
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.92, "poor": 0.03, "toxic": 0.05}
+#: The domain that a mixture keeps whole.
+KEPT = "good"
 BATCH = 256
 
 
@@ -47,6 +49,7 @@ class Softmax:
     domains: list[str]
     weight: np.ndarray
     bias: np.ndarray
+    known: frozenset[str] = frozenset()  # domains with a labelled document
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.weight + self.bias
@@ -75,7 +78,8 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, domains: list[str], epochs: int =
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domains: tuple[str, ...] = DOMAINS, per_domain: int = 1500, seed: int = 2) -> Softmax:
     """A softmax regression on hashed features of a bounded sample of labelled rows: about per_domain of each domain,
-    and at most three times as many in all. The sampled ids, so bounded, are broadcast; the texts don't move."""
+    and at most three times as many in all. The sampled ids, so bounded, are broadcast; the texts don't move. A domain
+    without a labelled document has posterior 0."""
     marked = labels.select(F.col("doc_id").alias("_label_id"), domain(labels).alias("_domain")).where("_label_id is not null").groupBy("_label_id").agg(F.max("_domain").alias("_domain"))
     some = bounded_sample(marked, "_domain", F.col("_label_id").cast("string"), per_domain, len(domains)).limit(3 * per_domain)
     rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_label_id")).select("_domain", F.col(text_col).alias("_text"))
@@ -96,6 +100,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain
     true = dict(marked.where(F.col("_domain").isNotNull()).groupBy("_domain").count().collect())
     sampled = np.bincount(y, minlength=len(domains))
     model.bias += np.log([max(true.get(d, 0), 0.5) / max(n, 0.5) for d, n in zip(domains, sampled, strict=True)])
+    # nothing is known of a domain without a labelled document, so no document belongs to it
+    model.bias[sampled == 0] = -np.inf
+    model.known = frozenset(d for d, n in zip(domains, sampled, strict=True) if n)
     return model
 
 
@@ -155,13 +162,29 @@ def _sums(table: DataFrame, steps: list[np.ndarray], stay: float, k: int, gram:
     return found
 
 
+def targets(domains: list[str], have: np.ndarray, weights: dict[str, float], known: frozenset[str], budget: float | None = None) -> np.ndarray:
+    """Tokens that each domain shall have in the mixture, see mix()."""
+    share = np.array([weights.get(d, 0.0) if d in known and have[i] > 0 else 0.0 for i, d in enumerate(domains)])
+    if share.sum() <= 0:
+        return have
+    share = share / share.sum()
+    if budget is not None:
+        return share * budget
+    full = [have[i] / share[i] for i in range(len(domains)) if share[i] > 0]
+    scale = have[domains.index(KEPT)] / share[domains.index(KEPT)] if share[domains.index(KEPT)] > 0 else max(full)
+    return np.minimum(share * scale, have)
+
+
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, budget: float | None = None, name: str = "_mix") -> DataFrame:
     """docs (all columns) with a column `name`: struct<tokens, p, rate>.
 
-    Rates are nonnegative; over all documents the sum of rate * tokens * p comes to weights * budget for each domain,
-    as near as nonnegative rates can. budget: tokens wanted; at first the most that need no domain to be repeated, so
-    that the scarcest one keeps a rate near 1. Empty and null texts have no tokens and a rate that moves nothing.
-    Without labels all posteriors are equal. An empty table gives an empty result.
+    Rates are nonnegative; over all documents the sum of rate * tokens * p comes to the targets of the domains, as near
+    as nonnegative rates can. The weights are those of the domains with a labelled document and expected tokens, brought
+    to a sum of 1; without any, every rate is 1. budget: tokens wanted, of which each domain shall have its weight. At
+    first KEPT, if it has a weight, keeps all of its tokens and sets the scale; the others are capped at their weights
+    beside it, and one with fewer tokens than that keeps them all. A scarce domain so never costs another one's tokens.
+    Empty and null texts have no tokens and a rate that moves nothing. Without labels all posteriors are equal. An empty
+    table gives an empty result.
     """
     weights = weights or WEIGHTS
     domains = list(DOMAINS)
@@ -169,10 +192,7 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = cut(docs.withColumn(name, memberships(F.col(text_col), model)), "memberships")
     pairs = cut(table.select(F.col(f"{name}.tokens").alias("tokens"), F.col(f"{name}.p").alias("p")), "pairs")
     have = _sums(pairs, [], 0.0, len(domains))
-    share = np.array([weights.get(d, 0.0) for d in domains])
-    share = share / share.sum()
-    budget = budget if budget is not None else min([have[i] / share[i] for i in range(len(domains)) if share[i] > 0], default=0.0)
-    steps = solve(pairs, len(domains), share * budget, float(have.sum()))
+    steps = solve(pairs, len(domains), targets(domains, have, weights, model.known, budget), float(have.sum()))
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
@@ -194,9 +214,21 @@ def _copies(id_col: str, text_col: str) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
+def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, weights: dict[str, float] | None, full: float) -> DataFrame:
+    got = mix(docs, labels, id_col, text_col, weights)
+    return got.where((F.col("_mix.rate") >= full) | (_copies(id_col, text_col) >= 1))
+
+
 def sample_mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, full: float = 0.9) -> DataFrame:
     """docs drawn at their rates, once at most; a rate of `full` or more always keeps its row, so that clean documents,
-    whose expected rate is near 1, aren't lost to the draw. Columns and values stay as they are."""
-    names = docs.columns
-    got = mix(docs, labels, id_col, text_col, weights)
-    return got.where((F.col("_mix.rate") >= full) | (_copies(id_col, text_col) >= 1)).select(*names)
+    whose expected rate is near 1, aren't lost to the draw. Columns and values stay as they are. sample_shares() tells
+    what shares the rows drawn really have."""
+    return _drawn(docs, labels, id_col, text_col, weights, full).select(*docs.columns)
+
+
+def sample_shares(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, full: float = 0.9) -> DataFrame:
+    """One row per domain: domain, tokens (expected ones in the rows that sample_mixture() draws) and their share."""
+    got = _drawn(docs, labels, id_col, text_col, weights, full)
+    each = F.array(*[F.struct(F.lit(d).alias("domain"), (F.col("_mix.tokens") * F.col("_mix.p")[i]).alias("tokens")) for i, d in enumerate(DOMAINS)])
+    sums = got.select(F.inline(each)).groupBy("domain").agg(F.sum("tokens").alias("tokens"))
+    return sums.crossJoin(sums.agg(F.sum("tokens").alias("total"))).select("domain", "tokens", (F.col("tokens") / F.col("total")).alias("share"))

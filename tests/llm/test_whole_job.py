@@ -43,3 +43,18 @@ def test_repeated_ids_keep_one_row_of_each_component(spark):
     rows = [(5, a, "x"), (5, a, "y"), (5, a, "z")]
     assert len({simhash.drop_near_copies(table(r)).collect()[0].other for r in (rows, rows[::-1], rows[1:] + rows[:1])}) == 1
     assert {(r.doc_id, r.component_id) for r in simhash.simhash_components(table([(5, a, "x"), (5, b, "x"), (3, a, "x")])).collect()} == {(5, 3), (5, 5), (3, 3)}
+
+
+def test_a_clean_corpus_loses_no_good_document_to_the_mixture(spark):
+    words = {"good": "river garden teacher winter bridge", "poor": "zzz qqq xxx vvv kkk", "toxic": "hate venom spite scorn malice"}
+    domains = ["good"] * 294 + ["poor"] * 3 + ["toxic"] * 3
+    docs = spark.createDataFrame([(i, " ".join(np.random.default_rng(i).choice(words[d].split(), 40))) for i, d in enumerate(domains)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(d != "poor"), int(d == "toxic")) for i, d in enumerate(domains)], "doc_id long, quality int, toxic int")
+    for known in (labels, labels.where("toxic = 0"), labels.where("quality = 1 and toxic = 0"), labels.limit(0)):
+        rate = {r.doc_id: r.rate for r in mixing.rates(docs, known).collect()}
+        assert min(rate[i] for i in range(294)) >= 0.9
+    assert {r.doc_id for r in mixing.sample_mixture(docs, labels).collect()} >= set(range(294))
+    share = {r.domain: r.share for r in mixing.sample_shares(docs, labels).collect()}
+    assert abs(sum(share.values()) - 1) < 1e-9 and share["good"] > 0.95
+    have = np.array([80.0, 5.0, 15.0])
+    assert np.allclose(mixing.targets(list(mixing.DOMAINS), have, mixing.WEIGHTS, frozenset(mixing.DOMAINS)), [80, 80 * 3 / 92, 80 * 5 / 92])
