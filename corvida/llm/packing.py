@@ -29,23 +29,32 @@ def default_tokenizer() -> str:
 
 def encoding(path: str):
     """The byte-level BPE vocabulary of a tokenizers file, applied by tiktoken: the same ids (held against each other in
-    the tests) at about a quarter of the CPU time. The place of a token in the file's merges is its id's order."""
+    the tests) at about a quarter of the CPU time. The place of a token in the file's merges is its id's order. The
+    file's added tokens are tiktoken's special ones, see encode()."""
     if path not in _ENCODINGS:
         import public_tokenizers
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, added = file["model"], file.get("added_tokens") or []
+        if odd := [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+            raise ValueError(f"added tokens that take in or look at what is beside them: {odd}")
         rest = [b for b in range(256) if b not in set(PRINTABLE)]
         as_byte = {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
-        ranks = {bytes(as_byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in as_byte for c in token)}
-        special = [t for t in ranks if t.startswith(b"<|") and t.endswith(b"|>")]
-        for t in special:
-            ranks.pop(t)
-        _ENCODINGS[path] = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        specials = {t["content"]: t["id"] for t in added}
+        ranks = {bytes(as_byte[c] for c in token): i for token, i in model["vocab"].items() if token not in specials and all(c in as_byte for c in token)}
+        _ENCODINGS[path] = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=specials)
     return _ENCODINGS[path]
 
 
+def encode(enc, text: str) -> list[int]:
+    """The ids of a text. An added token in it is one id, as the tokenizers library has it."""
+    if any(t in text for t in enc.special_tokens_set):
+        return enc.encode(text, allowed_special="all", disallowed_special=())
+    return enc.encode_ordinary(text)
+
+
 def hilbert_key(x: np.ndarray, bits: int) -> np.ndarray:
     """Place on the Hilbert curve of points (n, dims) with integer coordinates under 2 ** bits: the coordinates' bits are
     turned, from the highest plane down, into those of the curve's own frame, then Gray-decoded and interleaved."""
@@ -107,7 +116,7 @@ def _tokenize(path: str, end_id: int):
 
             for name, value in zip(names, batch.column(1), strict=True):
                 text = value.as_py() or ""
-                ids = np.append(np.array(enc.encode_ordinary(text), dtype="<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(np.array(encode(enc, text), dtype="<u4"), np.uint32(end_id)).astype("<u4")
                 vectors.append(np.bincount(bucket[ids], weights=sign[ids], minlength=BUCKETS))
                 ids_of.append(squeeze.compress((ids.astype("<u2") if enc.n_vocab <= 1 << 16 and end_id < 1 << 16 else ids).tobytes()))
                 n_of.append(len(ids))

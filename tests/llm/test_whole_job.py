@@ -58,3 +58,16 @@ def test_a_clean_corpus_loses_no_good_document_to_the_mixture(spark):
     assert abs(sum(share.values()) - 1) < 1e-9 and share["good"] > 0.95
     have = np.array([80.0, 5.0, 15.0])
     assert np.allclose(mixing.targets(list(mixing.DOMAINS), have, mixing.WEIGHTS, frozenset(mixing.DOMAINS)), [80, 80 * 3 / 92, 80 * 5 / 92])
+
+
+def test_added_tokens_have_the_ids_of_the_tokenizers_file(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "<|endoftext| >", "é<|endoftext|>日本  "]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=1 << 12).toPandas().sort_values(["doc_id", "start"])
+    for doc, part in rows.groupby("doc_id"):
+        ids = [*tok.encode(texts[doc], add_special_tokens=False).ids, 1]
+        assert part.doc_tokens.iloc[0] == len(ids)
+        assert [zlib.crc32(np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes()) for r in part.itertuples()] == part.ids_crc32.tolist()
+    assert packing.encode(packing.encoding(packing.default_tokenizer()), texts[0]) == [64, 220, 50256, 275]
