@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvida.llm.common import cut, unit_hash
+from corvida.llm.common import cut
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURNS = 64
@@ -16,19 +16,32 @@ def _clean(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"<\|", "< |")
 
 
+def _subs(messages: DataFrame, dense: int) -> DataFrame:
+    """messages with `sub`, their place in their part by turn, role and text over `dense`. Places are counted within
+    slices of the sorted table, so no part is gathered, and moved by what its earlier slices hold."""
+    order, part = ["turn", "role", "text"], ["conv_id", "part"]
+    slices = cut(messages.repartitionByRange(*part, *order).withColumn("slice", F.spark_partition_id()), "slices")
+    sizes = slices.groupBy(*part, "slice").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*part).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cut(sizes.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), F.col("slice").alias("_s"), before.alias("start")), "starts")
+    own = F.row_number().over(Window.partitionBy(*part, "slice").orderBy(*order)) - 1
+    found = slices.withColumn("own", own).join(F.broadcast(starts), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")) & (F.col("slice") == F.col("_s")))
+    return found.select(*messages.columns, F.floor((F.col("start") + F.col("own")) / dense).cast("long").alias("sub"))
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns_per_part: int = TURNS, dense: int = 4096) -> DataFrame:
     """One row per conversation, participant and part: conv_id, speaker, part, sub, n_messages, n_trained, rendered, mask.
 
     Seen from `speaker`, their own messages are the assistant's, those of others are a named user's, and `system`
     messages stay the system's (system is no participant, so a conversation of system messages alone gives no row). mask
     lists "start:end" in code points of `rendered`: what is trained on, the assistant's text with its closing mark.
-    A part covers turns_per_part turn numbers, so a conversation of any length is never gathered whole; its parts in
-    order of part and sub, joined, are the dialogue.
+    A part covers turns_per_part turn numbers, and a sub `dense` consecutive messages of it by turn, role and text, from
+    0 on, so a conversation of any length is never gathered whole; its parts in order of part and sub, joined, are the
+    dialogue.
 
     A null text is an empty message, a null role the speaker `unknown`, a null turn comes first in a part of its own
     (-1), a null conv_id is a conversation too. Messages that agree in all four columns are one. Several messages of a
-    turn are ordered by role and text; a part with more than `dense` of them is dealt over subs by a hash. Other
-    columns are left out; an empty table gives an empty result.
+    turn are ordered by role and text. Other columns are left out; an empty table gives an empty result.
     """
     turn = F.col(turn_col).cast("long")
     messages = turns.select(
@@ -38,12 +51,13 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     messages = cut(messages, "messages")
     speakers = cut(messages.where("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("speakers")), "speakers")
     full = messages.groupBy("conv_id", "part").agg(F.count("*").alias("n")).where(F.col("n") > dense)
-    if full.isEmpty():
+    if full.isEmpty():  # sub 0 holds all of every part
         dealt = messages.withColumn("sub", F.lit(0).cast("long"))
     else:
-        full = cut(full.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), "n"), "dense")
-        dealt = messages.join(full, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")), "left")
-        dealt = dealt.withColumn("sub", F.coalesce(F.floor(unit_hash(F.col("role"), F.col("text")) * F.ceil(F.col("n") / turns_per_part)), F.lit(0)).cast("long")).drop("_c", "_p", "n")
+        full = cut(full.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p")), "dense")
+        same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p"))
+        dealt = messages.join(full, same, "left_anti").withColumn("sub", F.lit(0).cast("long"))
+        dealt = dealt.unionByName(_subs(messages.join(full, same, "left_semi"), dense))
     parts = cut(dealt.groupBy("conv_id", "part", "sub").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")), "parts")
     sides = parts.join(speakers.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c").withColumn("speaker", F.explode("speakers"))
 

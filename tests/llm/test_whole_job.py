@@ -71,3 +71,15 @@ def test_added_tokens_have_the_ids_of_the_tokenizers_file(spark):
         assert part.doc_tokens.iloc[0] == len(ids)
         assert [zlib.crc32(np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes()) for r in part.itertuples()] == part.ids_crc32.tolist()
     assert packing.encode(packing.encoding(packing.default_tokenizer()), texts[0]) == [64, 220, 50256, 275]
+
+
+def test_dense_parts_are_cut_between_consecutive_messages(spark):
+    rows = [(conv, i // 6 if conv != 2 else None, f"r{i % 3}", f"t{i:03d}") for conv in (1, 2, None) for i in range(300)] + [(3, 0, "r0", "few")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(7)
+    got = chat_format.rotate(table, dense=40).where("speaker = 'r0'").collect()
+    for conv in (1, 2, None, 3):
+        parts = sorted((p for p in got if p.conv_id == conv), key=lambda p: (p.part, p.sub))
+        want = [t for _, _, t in sorted((-1 if r[1] is None else r[1], r[2], r[3]) for r in rows if r[0] == conv)]
+        lines = "".join(p.rendered for p in parts).split("\n")
+        assert [x.removesuffix("<|im_end|>") for x in lines if not x.startswith("<|im_start|>") and x] == want
+        assert [p.sub for p in parts] == list(range(len(parts))) and all(p.n_messages == 40 for p in parts[:-1])
