@@ -20,6 +20,8 @@ from corvida.llm.common import bounded_sample, cut, fold, unit_hash
 VOCAB, DIMS, SPOTS, NEAR, BLOCK = 1 << 14, 48, 4, 2, 256
 PIECE = re.compile(r"\w+|[^\w\s]+")
 STEP = 1 << 19
+#: Pieces whose rows a task keeps.
+CACHE = 1 << 20
 
 
 def index_vectors(seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
@@ -32,14 +34,21 @@ def index_vectors(seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
     return spots, signs
 
 
+def _row(piece: str) -> int:
+    return zlib.crc32(piece.encode()) & (VOCAB - 1)
+
+
 def _rows_of(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """Hashed rows of all pieces of a whole text: words with their case, runs of signs."""
+    """Hashed rows of all pieces of a whole text: words with their case, runs of signs. `known` is cleared between texts
+    once it would hold more than CACHE pieces; a text that alone has more of them is hashed without it."""
     found = PIECE.findall(text or "")
-    for w in set(found).difference(known):
-        if len(known) > 1 << 20:
-            known.clear()
-            return _rows_of(text, known)
-        known[w] = zlib.crc32(w.encode()) & (VOCAB - 1)
+    new = set(found).difference(known)
+    if len(known) + len(new) > CACHE:
+        known.clear()
+        new = set(found)
+    if len(new) > CACHE:
+        return np.fromiter(map(_row, found), dtype=np.int64, count=len(found))
+    known.update((w, _row(w)) for w in new)
     return np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))
 
 

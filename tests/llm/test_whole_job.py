@@ -83,3 +83,11 @@ def test_dense_parts_are_cut_between_consecutive_messages(spark):
         lines = "".join(p.rendered for p in parts).split("\n")
         assert [x.removesuffix("<|im_end|>") for x in lines if not x.startswith("<|im_start|>") and x] == want
         assert [p.sub for p in parts] == list(range(len(parts))) and all(p.n_messages == 40 for p in parts[:-1])
+
+
+def test_a_text_of_more_pieces_than_the_cache_holds_ends():
+    text = " ".join(f"w{i}" for i in range((1 << 20) + 5))
+    known = {"kept": 1}
+    rows = quality_classifier._rows_of(text, known)
+    assert len(rows) == (1 << 20) + 5 and rows[-1] == zlib.crc32(f"w{(1 << 20) + 4}".encode()) & (quality_classifier.VOCAB - 1)
+    assert quality_classifier._rows_of("a b a", known).tolist() == [zlib.crc32(w.encode()) & (quality_classifier.VOCAB - 1) for w in "aba"]
