@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What each open scratch() has to remove.
+_OPEN: list[list["Cut"]] = []
+
+
 class Cut:
     """A table written to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation of what lies before it."""
 
     def __init__(self, df: DataFrame, name: str):
         spark = df.sparkSession
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        for made in _OPEN[-1:]:
+            made.append(self)
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
@@ -49,6 +57,26 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return Cut(df, name).df
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables cut inside are removed at the end, so whatever is to stay must be written before that. A query that returns
+    a plan over such tables can't remove them: they stay in the shared folder, whose owner clears it after the job."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for made in _OPEN.pop():
+            made.drop()
+
+
+def unused(stem: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while stem.lower() in taken:
+        stem = f"{stem}_"
+    return stem
+
+
 def fold(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
