@@ -10,13 +10,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.llm.common import bounded_sample, fold
+from corvida.llm.common import bounded_sample, fold, unused
 
 WINDOW, WIDTHS, CHANNELS, FILTERS = 192, (2, 3, 4), 8, 20
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals such as one half or the Roman four that are no letters.
+LETTER_LIKE = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of Unicode's letter categories (Lu, Ll, Lt, Lm, Lo) is in the text."""
+    return any(m[0].isalpha() for m in LETTER_LIKE.finditer(text or ""))
+
+
 @dataclass
 class ByteCnn:
     """emb: (256, channels); filters: for each width (width * channels, filters); out: softmax layer. Byte 0 pads."""
@@ -117,7 +123,7 @@ def _window_udf(seed: int, per_text: int = 4):
     def pick(texts: pd.Series) -> pd.Series:
         def of(t: str | None) -> list[bytes]:
             b = (t or "").encode()
-            if not LETTER.search(t or ""):
+            if not has_letter(t):
                 return []
             rng = np.random.default_rng(seed + len(b))
             starts = rng.integers(0, max(1, len(b) - WINDOW + 1), per_text - 1)
@@ -173,7 +179,7 @@ def predict(text: Column, model: ByteCnn | None) -> Column:
 
         size = 0
         for i, t in enumerate(texts):
-            if t is None or not LETTER.search(t):
+            if not has_letter(t):
                 continue
             pending.append(t.encode())
             places.append(i)
@@ -199,5 +205,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.4) -> DataFrame:
     """docs without those that are `und` or scored under `least`; all columns stay as they are."""
     model = train(docs, id_col, text_col, lang_col)
-    p = predict(F.col(text_col), model)
-    return docs.withColumn("_language", p).where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= least)).drop("_language")
+    name = unused("language", docs)
+    told = docs.withColumn(name, predict(F.col(text_col), model))
+    return told.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= least)).drop(name)
