@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.llm.common import cut
+from corvida.llm.common import cut, unused
 
 #: kind, pattern, group whose length counts, least length. A run of a class is taken from its start only, which is
 #: what the leftmost longest match finds; so the least length of hex and access keys can stand in the pattern.
@@ -115,9 +115,11 @@ def _testable(t: Column) -> Column:
 def thresholds(candidates: DataFrame, q: float = 0.1, level: float = 0.01) -> list[tuple[int, float]]:
     """For each length class (the power of two in n), the least p from which tokens count as random.
 
-    Random tokens have even p-values, so twice the number over 0.5 estimates how many there are; what a class has
-    above a cut in excess of them are false discoveries. The cut is the least one (level at first) at which those are
-    at most the share q, give or take two standard deviations. Only counts by class and p-value step are gathered.
+    Random tokens have even p-values and others are taken to have ones under 0.5, so twice the number over 0.5
+    estimates how many random ones there are; what a class has above a cut in excess of them are false discoveries. The cut is the least one (level at first) at which those are
+    at most the share q, in a class of one token as in one of millions; at a half, where the estimate itself begins,
+    none are left. A small class so pays with missed tokens, never with false ones. Only counts by class and p-value
+    step are gathered.
     """
     bins = candidates.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("length"), F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int").alias("step")).count().collect()
     classes: dict[int, list[int]] = {}
@@ -129,7 +131,7 @@ def thresholds(candidates: DataFrame, q: float = 0.1, level: float = 0.01) -> li
         cut_at = 1.1
         for step in range(max(1, round(level * STEPS)), STEPS // 2 + 1):
             flagged = sum(counts[step:])
-            if flagged - random * (1 - step / STEPS) <= q * flagged + 2 * flagged**0.5:
+            if flagged - random * (1 - step / STEPS) <= q * flagged:
                 cut_at = step / STEPS
                 break
         found.append((length, cut_at))
@@ -148,21 +150,22 @@ def _tested(text: Column) -> Column:
     return F.filter(F.transform(_spans(text, TOKEN, 0, 20, len(BASE)), of), _testable)
 
 
-def find_spans(docs: DataFrame, text_col: str, q: float = 0.1, out: str = "_spans", text_kept: bool = True) -> DataFrame:
-    """docs with a column `out`: array<struct<start, kind, end>> by start and kind; kind 0 to 2 as in BASE, 3 for
-    tokens that pass the battery and overlap no base span. Null text: none.
+def find_spans(docs: DataFrame, text_col: str, q: float = 0.1, out: str = "spans", text_kept: bool = True) -> DataFrame:
+    """docs with a column `out`, a name that docs doesn't have: array<struct<start, kind, end>> by start and kind; kind 0
+    to 2 as in BASE, 3 for tokens that pass the battery and overlap no base span. Null text: none.
 
     One pass gathers base spans and tested tokens. The thresholds come from all documents' tokens; only counts reach
     the driver. Without text_kept the texts are left behind before that.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    scanned = docs.withColumn("_base", F.transform(_scan(text), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))).withColumn("_tested", _tested(text))
+    base, tested = unused("base", docs), unused("tested", docs)
+    scanned = docs.withColumn(base, F.transform(_scan(text), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))).withColumn(tested, _tested(text))
     scanned = cut(scanned if text_kept else scanned.drop(text_col), "spans")
-    limits = thresholds(scanned.select(F.explode("_tested").alias("t")).select("t.*"), q)
+    limits = thresholds(scanned.select(F.explode(tested).alias("t")).select("t.*"), q)
     limit = lambda n: F.coalesce(*[F.when(F.floor(F.log2(n.cast("double"))) == c, t) for c, t in limits], F.lit(1.1))
-    clear = lambda t: ~F.exists("_base", lambda b: (b.start < t.end) & (t.start < b.end))
-    more = F.transform(F.filter("_tested", lambda t: (t.p >= limit(t.n)) & clear(t)), lambda t: F.struct(t.start.alias("start"), t.kind.alias("kind"), t.end.alias("end")))
-    return scanned.withColumn(out, F.array_sort(F.concat("_base", more))).drop("_base", "_tested")
+    clear = lambda t: ~F.exists(base, lambda b: (b.start < t.end) & (t.start < b.end))
+    more = F.transform(F.filter(tested, lambda t: (t.p >= limit(t.n)) & clear(t)), lambda t: F.struct(t.start.alias("start"), t.kind.alias("kind"), t.end.alias("end")))
+    return scanned.withColumn(out, F.array_sort(F.concat(base, more))).drop(base, tested)
 
 
 def _listed(spans: Column) -> Column:
@@ -174,21 +177,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_random. Null and empty texts have
     none, and the digest of an empty list. Rows with null or repeated ids each keep their row; other columns are left
     out; an empty table gives an empty result."""
-    got = find_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text", q, text_kept=False)
-    of = lambda k: F.size(F.filter("_spans", lambda s: s.kind == k)).cast("long")
-    base = F.filter("_spans", lambda s: s.kind < len(BASE))
-    return got.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"), of(3).alias("n_random"))
+    got = find_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", q, text_kept=False)
+    of = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long")
+    base = F.filter("spans", lambda s: s.kind < len(BASE))
+    return got.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), of(3).alias("n_random"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", q: float = 0.1) -> DataFrame:
     """docs with every span of the text replaced by `mark`, overlapping spans by one. Texts without a span, null ones
     included, stay as they are, and so do all other columns."""
-    names = docs.columns
-    got = find_spans(docs, text_col, q)
+    names, spans = docs.columns, unused("spans", docs)
+    got = find_spans(docs, text_col, q, spans)
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col(text_col), acc.at + 1, s.start - acc.at)
         return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(s.start >= acc.at, F.concat(acc.out, gap, F.lit(mark))).otherwise(acc.out).alias("out"))
 
-    walked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc.out, F.substring(F.col(text_col), acc.at + 1, F.length(text_col))))
-    return got.withColumn(text_col, F.when(F.size("_spans") > 0, walked).otherwise(F.col(text_col))).select(*names)
+    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc.out, F.substring(F.col(text_col), acc.at + 1, F.length(text_col))))
+    return got.withColumn(text_col, F.when(F.size(spans) > 0, walked).otherwise(F.col(text_col))).select(*names)
