@@ -9,10 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvida.llm.common import WORD, bounded_sample, cut, unit_hash
+from corvida.llm.common import WORD, bounded_sample, cut, unit_hash, unused
 
 PAIRS, WORDS = 1024, 4096
 #: Domains of the labels table, and what share of the mixed tokens each shall have.
@@ -78,26 +79,29 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, domains: list[str], epochs: int =
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domains: tuple[str, ...] = DOMAINS, per_domain: int = 1500, seed: int = 2) -> Softmax:
     """A softmax regression on hashed features of a bounded sample of labelled rows: about per_domain of each domain,
-    and at most three times as many in all. The sampled ids, so bounded, are broadcast; the texts don't move. A domain
-    without a labelled document has posterior 0."""
-    marked = labels.select(F.col("doc_id").alias("_label_id"), domain(labels).alias("_domain")).where("_label_id is not null").groupBy("_label_id").agg(F.max("_domain").alias("_domain"))
-    some = bounded_sample(marked, "_domain", F.col("_label_id").cast("string"), per_domain, len(domains)).limit(3 * per_domain)
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_label_id")).select("_domain", F.col(text_col).alias("_text"))
+    and at most three times as many in all. The sampled ids, so bounded, are broadcast; the texts don't move, and their
+    feature rows, mostly zeros, reach the driver compressed. A domain without a labelled document has posterior 0."""
+    marked = labels.select(F.col("doc_id").alias("label_id"), domain(labels).alias("domain")).where("label_id is not null").groupBy("label_id").agg(F.max("domain").alias("domain"))
+    some = bounded_sample(marked, "domain", F.col("label_id").cast("string"), per_domain, len(domains)).limit(3 * per_domain)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(some), F.col("id") == F.col("label_id")).select("domain", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in (batch.slice(i, BATCH) for i in range(0, batch.num_rows, BATCH)):
-                x = hashed(part.column(1).to_pylist())[1]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype("<f2").tobytes() for r in x], type=pa.binary())], names=["_domain", "x"])
+                x = hashed(part.column(1).to_pylist())[1].astype("<f2")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([squeeze.compress(r.tobytes()) for r in x], type=pa.binary())], names=["domain", "x"])
 
-    got = rows.mapInArrow(features, "_domain string, x binary").orderBy("_domain", "x").collect()
+    got = rows.mapInArrow(features, "domain string, x binary").orderBy("domain", "x").collect()
     if not got:
         return Softmax(list(domains), np.zeros((PAIRS + WORDS, len(domains))), np.zeros(len(domains)))
-    x = np.stack([np.frombuffer(r[1], dtype="<f2") for r in got]).astype(np.float32)
+    expand = zstandard.ZstdDecompressor()
+    x = np.stack([np.frombuffer(expand.decompress(r[1]), dtype="<f2") for r in got]).astype(np.float32)
     y = np.array([domains.index(r[0]) for r in got])
     model = fit_softmax(x, y, list(domains), seed=seed)
     # the sample holds the domains more evenly than the labels do; posteriors are for the labels' shares
-    true = dict(marked.where(F.col("_domain").isNotNull()).groupBy("_domain").count().collect())
+    true = dict(marked.where(F.col("domain").isNotNull()).groupBy("domain").count().collect())
     sampled = np.bincount(y, minlength=len(domains))
     model.bias += np.log([max(true.get(d, 0), 0.5) / max(n, 0.5) for d, n in zip(domains, sampled, strict=True)])
     # nothing is known of a domain without a labelled document, so no document belongs to it
@@ -121,45 +125,63 @@ def memberships(text: Column, model: Softmax) -> Column:
     return of(text)
 
 
-def _rates(p: np.ndarray, steps: list[np.ndarray], stay: float) -> np.ndarray:
-    """The rates after these gradient steps, from 1 each; a negative rate is projected to 0."""
-    r = np.ones(len(p))
-    for g in steps:
-        r = np.maximum(0.0, r - p @ g - stay * (r - 1))
-    return r
-
-
-def solve(table: DataFrame, k: int, targets: np.ndarray, total: float, steps: int = 40, stay: float = 1e-4, tolerance: float = 1e-4) -> list[np.ndarray]:
-    """Projected gradient for the least squares of (sum of rate * tokens * p) - targets over the domains, with a slight
-    pull of every rate to 1. Residuals are weighted by the inverse Gram matrix of the posteriors, which makes the
-    problem as steep in every direction, so steps of length 1 fit. Rates are never gathered: each follows from its
-    document's posteriors and the steps so far, so a round is one pass over (tokens, p) with k sums per partition."""
-    done: list[np.ndarray] = []
-    if total <= 0:
-        return done
-    gram = _sums(table, [], stay, k, gram=True).reshape(k, k) / total
-    weigh = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(k))
-    for _ in range(steps):
-        residual = (_sums(table, done, stay, k) - targets) / total
-        if np.abs(residual).max() < tolerance:
-            break
-        done.append(weigh @ residual)
-    return done
-
-
-def _sums(table: DataFrame, steps: list[np.ndarray], stay: float, k: int, gram: bool = False) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k if gram else k)
-        for batch in batches:
-            tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            total += (p.T @ (p * tokens[:, None])).ravel() if gram else (tokens * _rates(p, steps, stay)) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "v"])
+def _lean(p: Column, push: np.ndarray) -> Column:
+    return sum((F.lit(float(x)) * p[i] for i, x in enumerate(push)), F.lit(1.0))
+
+
+def _rate(p: Column, push: np.ndarray, most: float | None) -> Column:
+    """1 and the push along the posteriors, projected to at least 0 and at most `most`."""
+    rate = F.greatest(F.lit(0.0), _lean(p, push))
+    return rate if most is None else F.least(F.lit(float(most)), rate)
+
+
+def solve(table: DataFrame, name: str, rows: np.ndarray, wanted: np.ndarray, total: float, most: float | None = None, at_most: bool = False, stay: float = 1e-6, tolerance: float = 1e-5, rounds: int = 200) -> np.ndarray:
+    """Projected gradient for the least squares of sum of rate * tokens * (rows @ p) against `wanted`, over rates from 0 to
+    `most`, with a slight pull (`stay`) of every rate to 1. With at_most only an excess over `wanted` counts.
 
-    found = np.zeros(k * k if gram else k)
-    for i, v in table.select("tokens", "p").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v")).collect():
-        found[i] = v
-    return found
+    Every gradient is a combination of the rows @ p, one number per row. The steps are added up and the projection is
+    applied to the sum (lazily projected gradient), so a document's rate follows from its posteriors and that sum alone:
+    rates are never gathered, and a round is one aggregation over (tokens, p), whatever came before it. Steps are scaled
+    by the inverse Gram matrix of the rows that the projection leaves free and halved until the objective falls. The
+    rounds end when the gradient is under `tolerance` of all tokens; it raises if `rounds` don't get there. Returns the
+    sum as a push per domain, for _rate().
+    """
+    n, k = rows.shape
+    if total <= 0 or not n:
+        return np.zeros(k)
+    p = F.col(f"{name}.p")
+    tokens = F.col(f"{name}.tokens")
+    along = [sum((F.lit(float(x)) * p[i] for i, x in enumerate(row)), F.lit(0.0)) for row in rows]
+
+    def look(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        push = rows.T @ step
+        rate, lean = _rate(p, push, most), _lean(p, push)
+        free = (rate == lean).cast("double")
+        sums = [F.sum(tokens * (rate * lean - rate * rate / 2))]
+        sums += [F.sum(tokens * rate * a) for a in along]
+        sums += [F.sum(tokens * free * along[i] * along[j]) for i in range(n) for j in range(n)]
+        got = np.array(table.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first(), dtype=float) / total
+        value = got[0] - step @ wanted / total + stay * step @ step / 2
+        return value, got[1 : 1 + n] - wanted / total + stay * step, got[1 + n :].reshape(n, n) + stay * np.eye(n)
+
+    at = np.zeros(n)
+    value, gradient, gram = look(at)
+    for _ in range(rounds):
+        free = ~((at >= 0) & (gradient < 0)) if at_most else np.ones(n, dtype=bool)
+        if np.abs(gradient[free]).max(initial=0.0) < tolerance:
+            return rows.T @ at
+        move = np.zeros(n)
+        move[free] = -np.linalg.solve(gram[np.ix_(free, free)], gradient[free])
+        size = 1.0
+        while size > 1e-12:
+            new = at + size * move
+            new = np.minimum(new, 0.0) if at_most else new
+            found = look(new)
+            if found[0] <= value + 1e-4 * gradient @ (new - at):
+                break
+            size /= 2
+        at, (value, gradient, gram) = new, found
+    raise RuntimeError(f"the rates did not settle in {rounds} rounds: gradient {np.abs(gradient).max():.2g}")
 
 
 def targets(domains: list[str], have: np.ndarray, weights: dict[str, float], known: frozenset[str], budget: float | None = None) -> np.ndarray:
@@ -175,8 +197,16 @@ def targets(domains: list[str], have: np.ndarray, weights: dict[str, float], kno
     return np.minimum(share * scale, have)
 
 
-def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, budget: float | None = None, name: str = "_mix") -> DataFrame:
-    """docs (all columns) with a column `name`: struct<tokens, p, rate>.
+def _told(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, np.ndarray, frozenset[str]]:
+    """docs with a column `name`: struct<tokens, p>; the tokens of each domain; the domains that labels tell of."""
+    model = train(docs, labels, id_col, text_col)
+    table = cut(docs.withColumn(name, memberships(F.col(text_col), model)), "memberships")
+    sums = table.agg(*[F.sum(F.col(f"{name}.tokens") * F.col(f"{name}.p")[i]).alias(d) for i, d in enumerate(DOMAINS)]).first()
+    return table, np.array([x or 0.0 for x in sums]), model.known
+
+
+def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, budget: float | None = None, name: str = "mix") -> DataFrame:
+    """docs (all columns) with a column `name`, which docs must not have: struct<tokens, p, rate>.
 
     Rates are nonnegative; over all documents the sum of rate * tokens * p comes to the targets of the domains, as near
     as nonnegative rates can. The weights are those of the domains with a labelled document and expected tokens, brought
@@ -186,49 +216,57 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Empty and null texts have no tokens and a rate that moves nothing. Without labels all posteriors are equal. An empty
     table gives an empty result.
     """
-    weights = weights or WEIGHTS
-    domains = list(DOMAINS)
-    model = train(docs, labels, id_col, text_col)
-    table = cut(docs.withColumn(name, memberships(F.col(text_col), model)), "memberships")
-    pairs = cut(table.select(F.col(f"{name}.tokens").alias("tokens"), F.col(f"{name}.p").alias("p")), "pairs")
-    have = _sums(pairs, [], 0.0, len(domains))
-    steps = solve(pairs, len(domains), targets(domains, have, weights, model.known, budget), float(have.sum()))
-
-    @F.pandas_udf("double")
-    def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(_rates(np.stack(p.to_list()), steps, 1e-4) if len(p) else np.empty(0))
-
-    return table.withColumn(name, F.struct(F.col(f"{name}.tokens").alias("tokens"), F.col(f"{name}.p").alias("p"), rate(F.col(f"{name}.p")).alias("rate")))
+    table, have, known = _told(docs, labels, id_col, text_col, name)
+    push = solve(table, name, np.eye(len(DOMAINS)), targets(list(DOMAINS), have, weights or WEIGHTS, known, budget), float(have.sum()))
+    return table.withColumn(name, F.struct(F.col(f"{name}.tokens").alias("tokens"), F.col(f"{name}.p").alias("p"), _rate(F.col(f"{name}.p"), push, None).alias("rate")))
 
 
 def rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
     """One row per input row: id, n_tokens, p_<domain> for each domain, rate, copies (the whole number of times that the
     mixture takes the row: the rate's whole part, and one more if a hash of id and text lies under its rest)."""
-    got = mix(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), labels, "doc_id", "_text", weights)
-    return got.select("doc_id", F.col("_mix.tokens").alias("n_tokens"), *[F.col("_mix.p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.col("_mix.rate").alias("rate"), _copies("doc_id", "_text").alias("copies"))
+    got = mix(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, "doc_id", "text", weights)
+    rate = F.col("mix.rate")
+    copies = F.floor(rate) + (_draw("doc_id", "text") < rate - F.floor(rate)).cast("long")
+    return got.select("doc_id", F.col("mix.tokens").alias("n_tokens"), *[F.col("mix.p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"), copies.cast("long").alias("copies"))
 
 
-def _copies(id_col: str, text_col: str) -> Column:
-    rate = F.col("_mix.rate")
-    draw = unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
-    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
+def _draw(id_col: str, text_col: str) -> Column:
+    return unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, weights: dict[str, float] | None, full: float) -> DataFrame:
-    got = mix(docs, labels, id_col, text_col, weights)
-    return got.where((F.col("_mix.rate") >= full) | (_copies(id_col, text_col) >= 1))
-
-
-def sample_mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, full: float = 0.9) -> DataFrame:
-    """docs drawn at their rates, once at most; a rate of `full` or more always keeps its row, so that clean documents,
-    whose expected rate is near 1, aren't lost to the draw. Columns and values stay as they are. sample_shares() tells
-    what shares the rows drawn really have."""
-    return _drawn(docs, labels, id_col, text_col, weights, full).select(*docs.columns)
-
-
-def sample_shares(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, full: float = 0.9) -> DataFrame:
-    """One row per domain: domain, tokens (expected ones in the rows that sample_mixture() draws) and their share."""
-    got = _drawn(docs, labels, id_col, text_col, weights, full)
-    each = F.array(*[F.struct(F.lit(d).alias("domain"), (F.col("_mix.tokens") * F.col("_mix.p")[i]).alias("tokens")) for i, d in enumerate(DOMAINS)])
-    sums = got.select(F.inline(each)).groupBy("domain").agg(F.sum("tokens").alias("tokens"))
-    return sums.crossJoin(sums.agg(F.sum("tokens").alias("total"))).select("domain", "tokens", (F.col("tokens") / F.col("total")).alias("share"))
+def _thinned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, weights: dict[str, float] | None, name: str) -> DataFrame:
+    """docs with struct<tokens, p, rate>, rates from 0 to 1: nearest to 1 among those at which no domain has more tokens
+    beside KEPT's than its weight beside KEPT's. Without a labelled document of KEPT every rate is 1."""
+    weights = weights or WEIGHTS
+    table, have, known = _told(docs, labels, id_col, text_col, name)
+    own = DOMAINS.index(KEPT)
+    capped = [i for i, d in enumerate(DOMAINS) if i != own and d in known] if KEPT in known and have[own] > 0 else []
+    if any(weights.get(DOMAINS[i], 0.0) <= 0 for i in [own, *capped]):
+        raise ValueError("every domain with labelled documents needs a weight over 0")
+    rows = np.zeros((len(capped), len(DOMAINS)))
+    for row, i in zip(rows, capped, strict=True):
+        row[i], row[own] = 1.0, -weights[DOMAINS[i]] / weights[KEPT]
+    push = solve(table, name, rows, np.zeros(len(rows)), float(have.sum()), most=1.0, at_most=True)
+    return table.withColumn(name, F.struct(F.col(f"{name}.tokens").alias("tokens"), F.col(f"{name}.p").alias("p"), _rate(F.col(f"{name}.p"), push, 1.0).alias("rate")))
+
+
+def sample_mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
+    """docs drawn once at most, each at its rate: nothing is rounded up, so the expected shares are those that the rates
+    reach. Rates are at most 1 and as near to it as the weights allow, see _thinned(); documents of KEPT end at 1 and are
+    all kept, and a domain that is scarcer than its weight loses nothing. Columns and values stay as they are.
+    sample_shares() tells the shares."""
+    name = unused("mix", docs)
+    got = _thinned(docs, labels, id_col, text_col, weights, name)
+    return got.where(_draw(id_col, text_col) < F.col(f"{name}.rate")).select(*docs.columns)
+
+
+def sample_shares(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
+    """One row per domain: domain, expected tokens at the rates and their share; drawn and drawn_share: the same of the
+    rows that sample_mixture() draws."""
+    name = unused("mix", docs)
+    got = _thinned(docs, labels, id_col, text_col, weights, name)
+    mix, kept = F.col(name), (_draw(id_col, text_col) < F.col(f"{name}.rate")).cast("double")
+    each = F.array(*[F.struct(F.lit(d).alias("domain"), (mix.tokens * mix.p[i] * mix.rate).alias("tokens"), (mix.tokens * mix.p[i] * kept).alias("drawn")) for i, d in enumerate(DOMAINS)])
+    sums = got.select(F.inline(each)).groupBy("domain").agg(F.sum("tokens").alias("tokens"), F.sum("drawn").alias("drawn"))
+    whole = Window.partitionBy(F.lit(1))
+    return sums.select("domain", "tokens", (F.col("tokens") / F.sum("tokens").over(whole)).alias("share"), "drawn", (F.col("drawn") / F.sum("drawn").over(whole)).alias("drawn_share"))
