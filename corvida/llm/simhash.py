@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -12,11 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvida.llm.common import WORD_BYTES, cut
+from corvida.llm.common import WORD_BYTES, cut, unused
 from corvida.llm.components import connected_components
 
 BITS = 64
-_POP8 = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+#: Children of a node; fingerprints of a top node, as long as there are at most MOST_NODES of these; what a task gathers before it passes it on.
+FAN, NODE, MOST_NODES, HELD = 8, 1 << 14, 4096, 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -73,95 +73,155 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def node_links(leaves: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places in one upper node whose two free bytes (leaves, 16-bit values in Gray order) differ in at
-    most `distance` bits.
+class GrayTree:
+    """An index over distinct fingerprints in Gray order. FAN neighbours have a node above them that holds the bits in
+    which they all agree, FAN of these nodes the next one, and so on. In Gray order neighbours differ in few bits
+    wherever a run begins, so a run keeps most of its leading bits in common. A node's own bits are those that the one
+    above it doesn't hold yet."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints[np.argsort(gray_rank(prints), kind="stable")]
+        low = high = self.prints
+        patterns, shared = [low], [np.full(len(low), ~np.uint64(0))]
+        while len(low) > FAN:
+            starts = np.arange(0, len(low), FAN)
+            low, high = np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)
+            patterns.append(low)
+            shared.append(low | ~high)
+        #: from the top down: pattern and own bits of each node; the lowest level is the fingerprints
+        self.levels = [(patterns[i], shared[i] & ~np.repeat(shared[i + 1], FAN)[: len(shared[i])] if i + 1 < len(shared) else shared[i]) for i in range(len(shared) - 1, -1, -1)]
+
+    def near(self, asked: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in asked, place in prints) of all pairs within `distance` bits. From the top down, the bits in which a
+        query differs from a node's own pattern add up, and with the sum over `distance` the whole node is pruned."""
+        who = np.repeat(np.arange(len(asked)), len(self.levels[0][0]))
+        node = np.tile(np.arange(len(self.levels[0][0])), len(asked))
+        apart = np.zeros(len(who), dtype=np.uint8)
+        for depth, (pattern, own) in enumerate(self.levels):
+            if depth:
+                who, apart = np.repeat(who, FAN), np.repeat(apart, FAN)
+                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                real = node < len(pattern)
+                who, node, apart = who[real], node[real], apart[real]
+            apart = apart + np.bitwise_count((asked[who] ^ pattern[node]) & own[node])
+            kept = apart <= distance
+            who, node, apart = who[kept], node[kept], apart[kept]
+        return who, node
+
+
+def _place(prints: pd.Series) -> pd.Series:
+    """Gray rank of each fingerprint, moved so that it sorts as a signed number."""
+    return pd.Series((gray_rank(prints.to_numpy(np.int64).view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64))
+
+
+def _deal(tops: np.ndarray, pattern: np.ndarray, shared: np.ndarray, distance: int):
+    """Rows (node, is_query, prints): a task's fingerprints as parts of their own top nodes, and as queries of each other
+    top node whose shared bits leave room for a link. Of two top nodes only one asks the other, by turns."""
+    schema = pa.schema([("node", pa.int64()), ("is_query", pa.bool_()), ("prints", pa.binary())])
 
-    The high byte forms the next level: equal ones lie together, because of the Gray order. A pair of such subnodes
-    whose high bytes differ too much is pruned as a whole; below the others the differences add up.
-    """
-    high, low = leaves >> 8, leaves & 255
-    first = np.flatnonzero(np.r_[True, high[1:] != high[:-1]])
-    size = np.diff(np.r_[first, len(high)])
-    left, right = [], []
-    apart = _POP8[high[first][:, None] ^ high[first][None, :]]
-    for i in range(len(first)):
-        near = np.flatnonzero(apart[i, i:] <= distance) + i
-        own = np.arange(first[i], first[i] + size[i])
-        other = np.concatenate([np.arange(first[j], first[j] + size[j]) for j in near])
-        budget = distance - np.repeat(apart[i, near].astype(np.int64), size[near])
-        a, b = np.nonzero(_POP8[low[own][:, None] ^ low[other][None, :]] <= budget[None, :])
-        a, b = own[a], other[b]
-        keep = a < b
-        left.append(a[keep])
-        right.append(b[keep])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _search(distance: int, byte_pairs: list[tuple[int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            own, prints = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            out = [(int(n), False, prints[own == n].tobytes()) for n in np.unique(own)]
+            asks: dict[int, list[np.ndarray]] = {}
+            for at in range(0, len(prints), 4096):
+                x, mine = prints[at : at + 4096], own[at : at + 4096]
+                asker = np.where(tops[None, :] > mine[:, None], (tops[None, :] + mine[:, None]) % 2 == 1, (tops[None, :] + mine[:, None]) % 2 == 0) & (tops[None, :] != mine[:, None])
+                who, node = np.nonzero(asker & (np.bitwise_count((x[:, None] ^ pattern[None, :]) & shared[None, :]) <= distance))
+                order = np.argsort(node, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+                    if len(part):
+                        asks.setdefault(int(tops[node[part[0]]]), []).append(x[who[part]])
+            out += [(n, True, np.concatenate(parts).tobytes()) for n, parts in asks.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
+            if sum(len(x) for x, _ in held) >= HELD:
+                yield rows()
+        if held:
+            yield rows()
+
+    return run
+
+
+def _search(distance: int):
+    """Rows of one top node come together, its parts first; then each row of queries is searched for in its tree."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def tree(mask: int, prints: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hi, lo = byte_pairs[mask]
-        leaves = (((prints >> np.uint64(8 * hi)) & np.uint64(255)) << np.uint64(8) | ((prints >> np.uint64(8 * lo)) & np.uint64(255))).astype(np.int64)
-        order = np.argsort(gray_rank(leaves.astype(np.uint64)), kind="stable")
-        a, b = node_links(leaves[order], distance)
-        if not len(a):
-            return a, b
-        reps = reps[order]
-        by_rep = np.argsort(reps, kind="stable")  # the smallest place is then the smallest representative
-        place = np.empty(len(reps), dtype=np.int64)
-        place[by_rep] = np.arange(len(reps))
-        root = _roots(len(reps), place[a], place[b])
-        ids = reps[by_rep]
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return ids[moved], ids[root[moved]]
+    def stars(tree: GrayTree, asked: np.ndarray, inside: bool) -> pa.RecordBatch | None:
+        pairs = []
+        for at in range(0, len(asked), 1024):
+            part = asked[at : at + 1024]
+            who, place = tree.near(part, distance)
+            other = (who + at < place) if inside else np.ones(len(who), dtype=bool)
+            pairs.append(np.stack([part[who[other]], tree.prints[place[other]]]).view(np.int64))
+            if sum(p.shape[1] for p in pairs) > HELD:
+                pairs = [_star(np.concatenate(pairs, axis=1))]
+        found = _star(np.concatenate(pairs, axis=1)) if pairs else np.empty((2, 0), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], schema=schema) if found.shape[1] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.int64))
-
-        def closed(parts: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            mask, node, prints, reps = parts
-            if not len(mask):
-                return
-            starts = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (node[1:] != node[:-1])])
-            ends = np.r_[starts[1:], len(mask)]
-            found = [tree(int(mask[s]), prints[s:e], reps[s:e]) for s, e in zip(starts, ends, strict=True) if e - s > 1]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in (0, 1)], schema=schema)
+        node, parts, tree = None, [], None
+
+        def grow() -> Iterator[pa.RecordBatch]:
+            nonlocal tree
+            if node is not None and tree is None:
+                tree = GrayTree(np.concatenate(parts))
+                found = stars(tree, tree.prints, True)
+                if found is not None:
+                    yield found
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            cols[2] = cols[2].view(np.uint64) if cols[2].dtype == np.int64 else cols[2]
-            parts = tuple(np.concatenate([r, c.astype(r.dtype)]) for r, c in zip(rest, cols, strict=True))
-            mask, node = parts[:2]
-            if not len(mask):
-                continue
-            last = np.flatnonzero((mask != mask[-1]) | (node != node[-1]))
-            edge = int(last[-1]) + 1 if len(last) else 0
-            yield from closed(tuple(p[:edge] for p in parts))
-            rest = tuple(p[edge:] for p in parts)
-        yield from closed(rest)
+            for at, is_query, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                prints = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+                if at != node:
+                    yield from grow()
+                    node, parts, tree = at, [], None
+                if not is_query:
+                    parts.append(prints)
+                    continue
+                yield from grow()
+                found = stars(tree, prints, False)
+                if found is not None:
+                    yield found
+        yield from grow()
 
     return run
 
 
-def fingerprint_links(classes: DataFrame, distance: int = 2) -> DataFrame:
-    """classes: (rep long, fp long), one row per fingerprint. Returns links (a, b) between representatives that join
-    exactly the classes within `distance` bits (2 at most); within one upper node they are reduced to a star.
+def _star(pairs: np.ndarray) -> np.ndarray:
+    """(2, n) links, reduced to one from each value to the smallest that it reaches."""
+    values, place = np.unique(pairs, return_inverse=True)
+    root = _roots(len(values), *place.reshape(pairs.shape)) if len(values) else np.empty(0, dtype=np.int64)
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return np.stack([values[moved], values[root[moved]]])
+
+
+def fingerprint_links(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """prints: (fp long), distinct and not null. Returns links (a, b) between fingerprints that join exactly those within
+    `distance` bits; what a task finds is reduced to stars.
 
-    A fingerprint has eight bytes. Two that differ in at most two bits agree in six bytes or more. So each is put
-    under 28 upper nodes, one per pair of free bytes: the node's pattern is the fingerprint with these bytes masked.
-    A node has at most 65,536 different leaves whatever the corpus holds, so no task gathers an unbounded group. Rows
-    are dealt by node and sorted by node and Gray rank; runs of one node go through node_links().
+    The fingerprints are range-sorted by Gray rank into top nodes of about NODE each (MOST_NODES at most, so that their
+    patterns, all that reaches the driver and every task, have a fixed bound). A fingerprint goes to its own top node
+    and, as a query, to those others whose shared bits differ from its own in `distance` bits at most. There it descends
+    a GrayTree. A fingerprint occurs once, and at most 2,081 others lie within two bits, so there is no hot group.
     """
-    if not 0 <= distance <= 2:
-        raise ValueError("distance is 0, 1 or 2")
-    pairs = list(combinations(range(7, -1, -1), 2))
-    masks = [_signed((1 << 64) - 1 ^ (255 << 8 * hi) ^ (255 << 8 * lo)) for hi, lo in pairs]
-    nodes = classes.select("rep", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "node"))
-    dealt = nodes.select(F.col("mask").cast("long").alias("mask"), "node", "fp", "rep").repartition("mask", "node").sortWithinPartitions("mask", "node")
-    return dealt.mapInArrow(_search(distance, pairs), "a long, b long")
+    n = prints.count()
+    if not n:
+        return prints.sparkSession.createDataFrame([], "a long, b long")
+    nodes = min(MOST_NODES, -(-n // NODE))
+    sorted_ = prints.select("fp", F.pandas_udf(_place, "long")("fp").alias("place")).repartitionByRange(nodes, "place").sortWithinPartitions("place")
+    placed = cut(sorted_.select(F.spark_partition_id().cast("long").alias("node"), "fp"), "placed")
+    tops = placed.groupBy("node").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")).orderBy("node").collect()
+    number, low, high = (np.array([r[i] for r in tops], dtype=np.int64) for i in range(3))
+    low, high = low.view(np.uint64), high.view(np.uint64)
+    dealt = placed.mapInArrow(_deal(number, low, low | ~high, distance), "node long, is_query boolean, prints binary")
+    return dealt.repartition(nodes, "node").sortWithinPartitions("node", "is_query").mapInArrow(_search(distance), "a long, b long")
 
 
 def _components(prints: DataFrame, distance: int) -> DataFrame:
@@ -169,7 +229,7 @@ def _components(prints: DataFrame, distance: int) -> DataFrame:
     fingerprint that it reaches, names the component; component_id is the smallest id there. The links join fingerprints,
     not ids: one id may stand on rows of several components."""
     classes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = connected_components(fingerprint_links(classes.select(F.col("fp").alias("rep"), "fp"), distance))
+    roots = connected_components(fingerprint_links(classes.select("fp"), distance))
     placed = cut(classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "placed")
     return cut(placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"), "known")
 
@@ -195,15 +255,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     once, if there are any, are then reduced to one each.
     """
     text_hash = F.xxhash64(F.col(text_col))
+    kept_id, kept_hash, place = unused("kept_id", docs), unused("kept_hash", docs), unused("place", docs)
     prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf()(F.col(text_col)).alias("fp"), text_hash.alias("text_hash")), "prints")
     rows = prints.where("doc_id is not null").groupBy("doc_id", "fp", "text_hash").agg(F.count("*").alias("n"))
     first = rows.join(_components(prints, distance), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_hash", "n")).alias("first"))
     kept = cut(first.select("first.*"), "kept")
-    ids = lambda which: which.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).hint("shuffle_hash")
-    by_row = (F.col(id_col).cast("long") == F.col("_kept_id")) & (text_hash == F.col("_kept_hash"))
+    ids = lambda which: which.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).hint("shuffle_hash")
+    by_row = (F.col(id_col).cast("long") == F.col(kept_id)) & (text_hash == F.col(kept_hash))
     out = docs.join(ids(kept.where("n = 1")), by_row, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     if not kept.where("n > 1").isEmpty():
         same = docs.join(ids(kept.where("n > 1")), by_row, "left_semi")
         order = Window.partitionBy(F.col(id_col).cast("long"), text_hash).orderBy(F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in docs.columns]))))
-        out = out.unionByName(same.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place"))
+        out = out.unionByName(same.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place))
     return out
