@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from corvida.llm.common import cut
 from corvida.llm.components import connected_components
 
-LINKS, BEAM, WIDE = 12, 32, 4
+LINKS, BEAM, WIDE, WIDEST = 12, 32, 4, 256
 SHARD = 8192
 
 
@@ -160,34 +161,41 @@ def descend(graph: Graph, q: np.ndarray) -> np.ndarray:
     return entry
 
 
-def linked(graph: Graph, unit: np.ndarray, q: np.ndarray, least: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """All (query, place) with a double-precision cosine of at least `least`.
+def _wider(graph: Graph, part: np.ndarray, entry: np.ndarray, width: int, near: float) -> np.ndarray:
+    """(len(part), len(graph.unit)) whether a beam of this width found the place at `near` or more."""
+    ids, sims = beam_search(graph.unit, graph.levels[-1][1], part, entry, width)
+    found = np.zeros((len(part), len(graph.unit)), dtype=bool)
+    r, c = np.nonzero((sims >= near) & (ids >= 0))
+    found[r, ids[r, c]] = True
+    return found
 
-    Every query's beam is audited: a block of queries is held against a scan of the shard, one matrix product, and a query
-    whose beam lacks any of its links gets those of the scan instead. No query is left out of the audit and none is judged
-    by what others found, so a lone pair beside a large group of near copies can't be lost.
+
+def linked(graph: Graph, unit: np.ndarray, q: np.ndarray, least: float, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (query, place) with a double-precision cosine of at least `least`, a block of queries at a time.
+
+    Every query is audited: a block is held against a scan of the shard, one matrix product. The beams of queries that
+    lack one of their links are doubled in width until their own audit passes or WIDEST is reached; a query with more
+    links than that, or still without one of them, takes those of the scan. No query is left out of the audit and none
+    is judged by what others found, so a lone pair beside a large group of near copies can't be lost.
     """
-    rows, cols = [], []
     near = least - 1e-4
     for at in range(0, len(q), block):
         part = q[at : at + block].astype(np.float32)
         entry = descend(Graph(graph.unit, graph.levels[:-1]), part) if len(graph.levels) > 1 else np.full((len(part), 1), graph.levels[0][0][0], dtype=np.int64)
-        ids, sims = beam_search(graph.unit, graph.levels[-1][1], part, entry, BEAM)
-        hit = (sims >= near) & (ids >= 0)
         true = part @ graph.unit.T >= near
-        found = np.zeros(true.shape, dtype=bool)
-        r, c = np.nonzero(hit)
-        found[r, ids[r, c]] = True
+        found = _wider(graph, part, entry, BEAM, near)
+        size, width = true.sum(axis=1), 2 * BEAM
+        while width <= WIDEST:
+            again = np.flatnonzero((true & ~found).any(axis=1) & (size <= width))
+            if len(again):
+                found[again] = _wider(graph, part[again], entry[again], width, near)
+            width *= 2
         missed = (true & ~found).any(axis=1)
         r, c = np.nonzero(np.where(missed[:, None], true, found))
-        rows.append(at + r), cols.append(c)
-    if not rows:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    r, c = np.concatenate(rows), np.concatenate(cols)
-    step = 1 << 18
-    ok = [np.einsum("ij,ij->i", q[r[i : i + step]], unit[c[i : i + step]]) >= least for i in range(0, len(r), step)]
-    ok = np.concatenate(ok) if ok else np.empty(0, dtype=bool)
-    return r[ok], c[ok]
+        step = 1 << 16
+        ok = [np.einsum("ij,ij->i", q[at + r[i : i + step]], unit[c[i : i + step]]) >= least for i in range(0, len(r), step)]
+        ok = np.concatenate(ok) if ok else np.empty(0, dtype=bool)
+        yield at + r[ok], c[ok]
 
 
 def _build_shard(part: pd.DataFrame) -> pd.DataFrame:
@@ -199,46 +207,46 @@ def _build_shard(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"group": [part["group"].iloc[0]], "shard": [part["shard"].iloc[0]], "dim": [raw.shape[1]], "reps": [part["rep"].to_numpy(np.int64).tobytes()], "copies": [part["copies"].to_numpy(np.int64).tobytes()], "unit": [unit.tobytes()], "graph": [kept]})
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    root = np.arange(n)
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, the smallest place that each place reaches, with the further links (a, b)."""
+    n = len(root)
+    pairs = np.unique(root[a] * n + root[b])
+    a, b = pairs // n, pairs % n
+    top = np.arange(n)
     while True:
-        before = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            return root
+        before = top.copy()
+        low = np.minimum(top[a], top[b])
+        np.minimum.at(top, a, low)
+        np.minimum.at(top, b, low)
+        top = top[top]
+        if (top == before).all():
+            return top[root]
 
 
 def _query_pairs(least: float):
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                sides = []
-                for k in ("a", "b"):
-                    unit = np.frombuffer(getattr(row, f"unit_{k}")).reshape(-1, row.dim)
-                    levels = [(m.astype(np.int64), x.astype(np.int64)) for m, x in pickle.loads(getattr(row, f"graph_{k}"))]
-                    sides.append((np.frombuffer(getattr(row, f"reps_{k}"), dtype=np.int64), np.frombuffer(getattr(row, f"copies_{k}"), dtype=np.int64), unit, Graph(unit.astype(np.float32), levels)))
-                (reps_a, copies_a, unit_a, _), (reps_b, copies_b, unit_b, graph_b) = sides
-                met = np.zeros((len(reps_a), len(reps_b)), dtype=bool)
-                q, x = linked(graph_b, unit_b, unit_a, least)
-                met[q, x] = True
-                if row.shard_a == row.shard_b:
-                    met |= met.T
-                    np.fill_diagonal(met, False)
+                whole = lambda k: (np.frombuffer(getattr(row, f"reps_{k}"), dtype=np.int64), np.frombuffer(getattr(row, f"copies_{k}"), dtype=np.int64), np.frombuffer(getattr(row, f"unit_{k}")).reshape(-1, row.dim))
+                (reps_a, copies_a, unit_a), (reps_b, copies_b, unit_b) = whole("a"), whole("b")
+                graph = Graph(unit_b.astype(np.float32), [(m.astype(np.int64), x.astype(np.int64)) for m, x in pickle.loads(row.graph)])
                 same = row.shard_a == row.shard_b
-                reps = reps_a if same else np.concatenate([reps_a, reps_b])
-                count = met @ copies_b if same else np.concatenate([met @ copies_b, copies_a @ met])
-                a, b = np.nonzero(met)
-                b = b if same else b + len(reps_a)
-                order = np.argsort(reps, kind="stable")
+                reps = reps_b if same else np.concatenate([reps_a, reps_b])
+                order = np.argsort(reps, kind="stable")  # the smallest place is then the smallest representative
                 place = np.empty(len(reps), dtype=np.int64)
                 place[order] = np.arange(len(reps))
-                root = _roots(len(reps), place[a], place[b])[place]
+                count, root = np.zeros(len(reps), dtype=np.int64), np.arange(len(reps))
+                for q, x in linked(graph, unit_b, unit_a, least):
+                    if same:  # each link is found from both ends
+                        q, x = q[q != x], x[q != x]
+                    count[: len(reps_a)] += np.bincount(q, weights=copies_b[x], minlength=len(reps_a)).astype(np.int64)
+                    if not same:
+                        count[len(reps_a) :] += np.bincount(x, weights=copies_a[q], minlength=len(reps_b)).astype(np.int64)
+                        x = len(reps_a) + x
+                    root = _merged(root, place[q], place[x])
                 some = np.flatnonzero(count > 0)
                 if len(some):
-                    yield pd.DataFrame({"rep": reps[some], "links": count[some].astype(np.int64), "root": reps[order][root[some]]})
+                    yield pd.DataFrame({"rep": reps[some], "links": count[some], "root": reps[order][root[place[some]]]})
 
     return run
 
@@ -255,8 +263,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Rows with the same label and the same vector are one class and linked; classes of a label (and vector length) are
     dealt by a hash into shards of about `shard`, each with its graph. Every pair of a label's shards, each with
     itself too, is searched: the vectors of one through the graph of the other, which finds the pair's links from either
-    end. A larger shard means fewer pairs; SHARD vectors and their graph take some tens of MB. What a pair of shards yields is counted there and reduced to links to the smallest id, so links
-    within a group of near copies are never listed. Rows with a null label, a vector that is not usable() or a null id
+    end. A larger shard means fewer pairs; SHARD vectors and their graph take some tens of MB. What a pair of shards
+    yields is counted there, block by block, and reduced to links to the smallest id, so links within a group of near
+    copies are never listed. Rows with a null label, a vector that is not usable() or a null id
     link with nothing: no links, own component. Rows with the same id each keep their row. Ids are integers. Other
     columns are left out; an empty table gives an empty result.
     """
@@ -270,7 +279,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     graphs = cut(placed.select("group", "shard", "rep", "copies", "embedding").groupBy("group", "shard").applyInPandas(_build_shard, "group string, shard long, dim long, reps binary, copies binary, unit binary, graph binary"), "graphs")
     numbers = sizes.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard_a"), "shards")
     numbers = numbers.select("group", "shard_a", F.explode(F.sequence(F.col("shard_a"), F.col("shards") - 1)).alias("shard_b"))
-    side = lambda k: graphs.select("group", F.col("shard").alias(f"shard_{k}"), *["dim"] * (k == "a"), *[F.col(c).alias(f"{c}_{k}") for c in ("reps", "copies", "unit", "graph")])
+    # one side brings its vectors, the other one its graph too
+    side = lambda k: graphs.select("group", F.col("shard").alias(f"shard_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("reps", "copies", "unit")], *[c for c in ("dim", "graph") if k == "b"])
     pairs = numbers.repartition("group", "shard_a", "shard_b").join(side("a"), ["group", "shard_a"]).join(side("b"), ["group", "shard_b"])
     found = cut(pairs.mapInPandas(_query_pairs(least), "rep long, links long, root long"), "found")
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
