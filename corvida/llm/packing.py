@@ -188,19 +188,20 @@ def _pieces(length: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, tokenizer: str | None = None, end_id: int = 1, at_once: int = 32 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, curve_key.
 
     Each whole text is tokenized once; its hashed token vector, projected to four dimensions, has a place on a Hilbert
     curve. Documents are range-partitioned and sorted by that place (ties by id, so that thousands of copies spread),
-    and each partition packs its own run of the curve into full sequences. Sequence ids are unique, in curve order,
-    with gaps between partitions. A null or empty text is one end id. Rows with null or repeated ids are packed like
+    and each partition, of about `at_once` bytes of ids, packs its own run of the curve into full sequences. Sequence ids
+    are unique, in curve order, with gaps between partitions. A null or empty text is one end id. Rows with null or repeated ids are packed like
     any other; other columns are left out; an empty table gives an empty result. `length` is a power of two.
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length is a power of two")
     path = tokenizer or default_tokenizer()
     ids = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_tokenize(path, end_id), "doc_id long, key long, n long, ids binary"), "ids")
-    along = ids.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    size = ids.agg(F.sum(F.octet_length("ids") + 24)).first()[0] or 0
+    along = ids.repartitionByRange(max(1, -(-size // at_once)), "key", "doc_id").sortWithinPartitions("key", "doc_id")
     names = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, curve_key long"
     return along.mapInArrow(_pieces(length), names)
