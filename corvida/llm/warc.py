@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
+import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,31 +111,109 @@ def derive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payl
     return rows.toDF("source_id", "record_id", "uri", "date", "http", "payload", "digest").mapInArrow(_derive, DDL)
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Records as .warc text files, gzip-compressed: header, empty line and block, with the two line ends that close a
-    record as the writer's row separator. Every partition writes its own file."""
-    records.select(F.concat("header", F.lit("\r\n\r\n"), "block").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def write_records(records: DataFrame, path: str) -> int:
+    """Writes records as .warc.gz files under `path`, each record a gzip member of its own, as readers seek by them; a
+    file for each partition. Returns the number of records.
+
+    `path` is a folder that the executors share, in any file system that pyarrow opens by a URI (a plain path is a
+    local one). A file has its partition's number and is moved to its name once it is whole, so a repeated task leaves
+    the same file, and a failed one no part of it. Existing files of the same names are replaced.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        where, folder = _file_system(path)
+        where.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{task.partitionId():05d}"
+        part, count = f"{name}.{task.taskAttemptId()}.tmp", 0
+        with where.open_output_stream(part) as out:
+            for batch in batches:
+                for header, block in zip(batch.column(0), batch.column(1), strict=True):
+                    out.write(gzip.compress(f"{header.as_py()}\r\n\r\n{block.as_py()}\r\n\r\n".encode(), mtime=0))
+                    count += 1
+        if count:
+            where.move(part, f"{name}.warc.gz")
+        else:
+            where.delete_file(part)
+        yield pa.RecordBatch.from_arrays([pa.array([count])], names=["n"])
+
+    return records.select("header", "block").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    scheme, rest = re.fullmatch(r"(?:([a-z][a-z0-9]*):)?(.*)", path, re.S).groups()
+    where, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}" if scheme else f"file://{quote(os.path.abspath(path))}")
+    return where, name.rstrip("/")
+
+
+def _members(stream: BinaryIO, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, piece by piece, expanded if they are gzip members."""
+    expand = None
+    data = stream.read(step)
+    zipped = data[:2] == b"\x1f\x8b"
+    while data:
+        if not zipped:
+            yield data
+        while zipped and data:
+            expand = expand or zlib.decompressobj(31)
+            yield expand.decompress(data)
+            data, expand = (expand.unused_data, None) if expand.eof else (b"", expand)
+        data = stream.read(step)
+
+
+def _records(stream: BinaryIO, path: str) -> Iterator[tuple[str, str]]:
+    """(header, block) of each record of a file. What is held is a record and a piece of the file."""
+    held, at = bytearray(), 0
+    pieces = _members(stream)
+
+    def reach(n: int) -> bool:
+        while len(held) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while reach(1):
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(0, len(held) - 3)
+            if not reach(len(held) + 1):
+                raise ValueError(f"no end of a header from byte {at} of {path}")
+        head = held[:end].decode(errors="replace")
+        size = re.search(r"(?im)^content-length:\s*(\d+)\s*$", head)
+        if not head.startswith("WARC/") or not size:
+            raise ValueError(f"no record at byte {at} of {path}")
+        stop = end + 4 + int(size[1])
+        if not reach(stop):
+            raise ValueError(f"the record at byte {at} of {path} is cut off")
+        yield head, held[end + 4 : stop].decode(errors="replace")
+        reach(stop + 4)
+        del held[: stop + 4]
+        at += stop + 4
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import gzip
+    def made(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.string()) for c in zip(*rows, strict=True)], names=["header", "block"])
 
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-            heads, blocks, at = [], [], 0
-            while (end := data.find(b"\r\n\r\n", at)) >= 0:
-                head = data[at:end].decode(errors="replace")
-                size = re.search(r"(?im)^content-length:\s*(\d+)\s*$", head)
-                if not head.startswith("WARC/") or not size:
-                    raise ValueError(f"no record at byte {at} of {path}")
-                heads.append(head)
-                blocks.append(data[end + 4 : end + 4 + int(size[1])].decode(errors="replace"))
-                at = end + 4 + int(size[1]) + 4
-            yield pa.RecordBatch.from_arrays([pa.array(heads, type=pa.string()), pa.array(blocks, type=pa.string())], names=["header", "block"])
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(header, block) of every record in .warc or .warc.gz files, by content length. A file is one row of Spark's
-    binary source, so one file must fit in a task's memory."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parse, "header string, block string")
+        for path in batch.column(0).to_pylist():
+            where, name = _file_system(path)
+            rows, size = [], 0
+            with where.open_input_stream(name, compression=None) as stream:
+                for head, block in _records(stream, path):
+                    rows.append((head, block))
+                    size += len(head) + len(block)
+                    if size > 1 << 22:
+                        yield made(rows)
+                        rows, size = [], 0
+            if rows:
+                yield made(rows)
+
+
+def read_records(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """(header, block) of every record in .warc or .warc.gz files, by content length. Spark lists the files, dealt over
+    `tasks` (by default as many as there are cores); a task streams its files, so memory is bounded by a record."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(tasks or spark.sparkContext.defaultParallelism).mapInArrow(_parse, "header string, block string")
