@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvida.llm.common import cut
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-TURNS = 64
+TURNS, DENSE = 64, 4096
 
 
 def _clean(c: Column) -> Column:
@@ -25,11 +25,11 @@ def _subs(messages: DataFrame, dense: int) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*part).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = cut(sizes.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), F.col("slice").alias("_s"), before.alias("start")), "starts")
     own = F.row_number().over(Window.partitionBy(*part, "slice").orderBy(*order)) - 1
-    found = slices.withColumn("own", own).join(F.broadcast(starts), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")) & (F.col("slice") == F.col("_s")))
+    found = slices.withColumn("own", own).join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")) & (F.col("slice") == F.col("_s")))
     return found.select(*messages.columns, F.floor((F.col("start") + F.col("own")) / dense).cast("long").alias("sub"))
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns_per_part: int = TURNS, dense: int = 4096) -> DataFrame:
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns_per_part: int = TURNS, dense: int = DENSE) -> DataFrame:
     """One row per conversation, participant and part: conv_id, speaker, part, sub, n_messages, n_trained, rendered, mask.
 
     Seen from `speaker`, their own messages are the assistant's, those of others are a named user's, and `system`
@@ -80,20 +80,21 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     )
 
 
-ORACLE = """
-with m as (
+ORACLE = f"""
+with d as (
   select distinct conv_id, turn, coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as text,
-         coalesce(cast(floor(turn / 64.0) as bigint), -1) as part from conversations),
+         coalesce(cast(floor(turn / {TURNS}.0) as bigint), -1) as part from conversations),
+m as (select *, (row_number() over (partition by conv_id, part order by turn nulls first, role, text) - 1) // {DENSE} as sub from d),
 s as (select distinct conv_id, role as speaker from m where role <> 'system'),
 l as (
-  select m.conv_id, s.speaker, m.part, m.turn, m.role, m.text, m.role = s.speaker as own,
+  select m.conv_id, s.speaker, m.part, m.sub, m.turn, m.role, m.text, m.role = s.speaker as own,
          '<|im_start|>' || case when m.role = s.speaker then 'assistant' when m.role = 'system' then 'system'
             else 'user name=' || regexp_replace(m.role, '[\\s<|>]+', '_', 'g') end || chr(10) as head, m.text || '<|im_end|>' as body
   from m join s on m.conv_id is not distinct from s.conv_id),
-o as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, speaker, part order by turn nulls first, role, text
+o as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, speaker, part, sub order by turn nulls first, role, text
          rows between unbounded preceding and 1 preceding), 0) as pos from l)
-select conv_id, speaker, part, cast(0 as bigint) as sub, cast(count(*) as integer) as n_messages, cast(count(*) filter (where own) as integer) as n_trained,
+select conv_id, speaker, part, cast(sub as bigint) as sub, cast(count(*) as integer) as n_messages, cast(count(*) filter (where own) as integer) as n_trained,
        string_agg(head || body || chr(10), '' order by turn nulls first, role, text) as rendered,
        coalesce(string_agg(cast(pos + length(head) as bigint) || ':' || cast(pos + length(head) + length(body) as bigint), ',' order by turn nulls first, role, text) filter (where own), '') as mask
-from o group by conv_id, speaker, part
+from o group by conv_id, speaker, part, sub
 """
