@@ -27,7 +27,7 @@ def test_lone_pairs_beside_groups_of_near_copies_are_found(monkeypatch):
         return np.where(lost, -1, ids), np.where(lost, -np.inf, sims)
 
     monkeypatch.setattr(hnsw_dedup, "beam_search", blind)
-    q, c = hnsw_dedup.linked(graph, x, x, 0.98)
+    q, c = (np.concatenate(v) for v in zip(*hnsw_dedup.linked(graph, x, x, 0.98)))
     found = np.zeros(true.shape, dtype=bool)
     found[q, c] = True
     assert (found == true).all() and len(q) == true.sum()
