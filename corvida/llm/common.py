@@ -38,10 +38,10 @@ _OPEN: list[list["Cut"]] = []
 class Cut:
     """A table written to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation of what lies before it."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, keep: bool = False):
         spark = df.sparkSession
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        for made in _OPEN[-1:]:
+        for made in _OPEN[-1:] if not keep else []:
             made.append(self)
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
