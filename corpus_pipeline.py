@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvida.llm import language_id, mixing, packing, secrets, simhash
-from corvida.llm.common import cut, read
+from corvida.llm.common import Cut, read, scratch
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the whole documents table; each one's rows are written and read again as the next one's."""
-    docs = read(spark, sf_dir, "documents")
+    """The stages in order over the whole documents table; each one's rows are written and read again as the next one's.
+    A stage's files are removed once the next one's rows are written; those of the last two stages stay, as the result
+    reads them."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch():  # what a stage cuts for itself goes with it
+            rows = stage(spark, docs, sf_dir)
+            made = Cut(rows, name, keep=True)
+        if before is not None:
+            before.drop()
+        docs, before = made.df, made
     return STAGES[-1][1](spark, docs, sf_dir)
