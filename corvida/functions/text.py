@@ -6,11 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Word lists, signals and limits that results depend on.
-QUESTION_STOP_WORDS = (
-    "a an and are as at be by can did do does for from had has have how i in is it its me of on or should show than "
-    "that the their these this to was were what when where which who with would you your"
-).split()
-KEY_WORDS = "ebitda capex revenue profit margin assets liabilities borrowings inventory stock trade o2c jio retail quarter cash flow expense income".split()
+QUESTION_STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "how", "i", "in", "is", "it", "its",
+    "me", "of", "on", "or", "should", "show", "than", "that", "the", "their", "these", "this", "to", "was", "were", "what", "when", "where", "which",
+    "who", "with", "would", "you", "your"
+]
+KEY_WORDS = [
+    "ebitda", "capex", "revenue", "profit", "margin", "assets", "liabilities", "borrowings", "inventory", "stock", "trade", "o2c", "jio", "retail",
+    "quarter", "cash", "flow", "expense", "income"
+]
 FUSION_SIGNALS = [
     "table", " col ", " column ", " row ", " under ", "amount", "value", "inventory turnover", "ebit", "ebitda", "revenue", "profit", "margin",
     "borrowings", "assets", "liabilities", "stock-in-trade", "in crore",
@@ -19,10 +23,10 @@ TABLE_SIGNALS = [
     "table", "column", " col ", "under ", "row", "value", "amount", "total", "sum", "combined", "highest", "largest", "lowest", "ratio", "revenue",
     "ebit", "ebitda", "profit", "assets", "liabilities", "borrowings", "inventory", "stock-in-trade", "expenses",
 ]
-TABLE_STOP_WORDS = (
-    "what which where when that this with from were was are the and for under column table value values listed according reported provide show does "
-    "did row rows in of to as by on a an"
-).split()
+TABLE_STOP_WORDS = [
+    "what", "which", "where", "when", "that", "this", "with", "from", "were", "was", "are", "the", "and", "for", "under", "column", "table", "value",
+    "values", "listed", "according", "reported", "provide", "show", "does", "did", "row", "rows", "in", "of", "to", "as", "by", "on", "a", "an"
+]
 JUNK_LINE = r"^(page\s+\d+\s+of\s+\d+|\(?₹\s*in\s*crore\)?|\(?rs\.?\s*in\s*crore\)?|\(?\$\s*in\s*millions?\)?|\||-|_|continued)$"
 FURNITURE_TERMS = ["registered office", "corporate communications", "telephone", "cin:", "www.ril.com"]
 TOKENS_PER_WORD = 1.3

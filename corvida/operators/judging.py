@@ -35,7 +35,7 @@ def trace_rollup(hits: DataFrame) -> DataFrame:
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x.chunk_id.cast("string")), ",")
     per = hits.groupBy("query_id", "retrieval_source").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "retrieval_source", F.col("n").cast("string")))).alias("s"))
     source = F.col("retrieval_source")
-    got = hits.groupBy("query_id").agg(F.count_if(source.isin("hybrid", "vector", "vector_fallback")).alias("vector_hits"), F.count_if(source.isin("hybrid", "keyword")).alias("lexical_hits"), F.countDistinct("expression").alias("expressions"), ids.alias("chunk_ids"))
+    got = hits.groupBy("query_id").agg(F.count_if(source.isin("hybrid", "vector", "vector_fallback")).alias("vector_hits"), F.count_if(source.isin("hybrid", "lexical")).alias("lexical_hits"), F.countDistinct("expression").alias("expressions"), ids.alias("chunk_ids"))
     return got.join(per, "query_id").select("query_id", "vector_hits", "lexical_hits", "expressions", "chunk_ids", F.array_join("s", ",").alias("sources"))
 
 
@@ -133,10 +133,11 @@ def valid_samples(samples: DataFrame, chunks: DataFrame, verdicts: DataFrame) ->
     return refused.unionByName(asked.join(verdicts.where(F.contains(F.upper("response"), F.lit("YES"))).select("id"), "id", "left_semi"))
 
 
-def read_dataset(raw: DataFrame) -> DataFrame:
-    """raw (json) of evaluation sets to one row per sample with version; unknown keys are ignored, missing ones get defaults."""
-    got = raw.select(F.from_json("json", f"version string, description string, samples array<struct<{SAMPLE.replace(' ', ':').replace(',:', ',')}>>").alias("d"))
-    got = got.select(F.coalesce("d.version", F.lit("v1")).alias("version"), F.inline("d.samples"))
+def read_dataset(raw: DataFrame, *keys: str) -> DataFrame:
+    """raw (json, keys) of evaluation sets to one row per sample with its set's keys and version; unknown fields are ignored,
+    missing ones get defaults."""
+    got = raw.select(*keys, F.from_json("json", f"version string, description string, samples array<struct<{SAMPLE.replace(' ', ':').replace(',:', ',')}>>").alias("d"))
+    got = got.select(*keys, F.coalesce("d.version", F.lit("v1")).alias("version"), F.inline("d.samples"))
     none = F.array().cast("array<string>")
     defaults = {"expected_chunk_ids": none, "expected_doc_ids": none, "gold_answer": F.lit(""), "rationale": F.lit(""), "difficulty": F.lit("medium"), "expected_refusal": F.lit(False)}
     return got.withColumns({c: F.coalesce(F.col(c), v) for c, v in defaults.items()})

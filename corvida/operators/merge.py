@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,25 +65,42 @@ def search_results(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.select("query_id").join(per, "query_id", "left").select("query_id", F.when(F.col("n").isNull(), "no_results").otherwise("success").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("result_count"), F.coalesce(F.array_join(F.transform("l", lambda x: x.p), "\n\n"), F.lit("")).alias("passages"))
 
 
-def ann_topk(questions: DataFrame, vectors: DataFrame, k: int = 5, clusters: int = 16, probes: int = 12, seed: int = 7) -> DataFrame:
-    """As `retrieve.vector_topk` over the `probes` clusters nearest to a question. K-means runs over all vectors, scaled to
-    unit length; questions meet vectors in an equi-join on the cluster. Vectors that are null or zero match nothing."""
+def ann_topk(questions: DataFrame, vectors: DataFrame, k: int = 5, per_cell: int = 1024, probes: float = 0.15, sample: int = 100_000, seed: int = 7) -> DataFrame:
+    """As `retrieve.vector_topk` over the cells nearest to a question, the share `probes` of them and four at least.
+
+    Cells are those of k-means over unit vectors, about one for each per_cell vectors and 4 at least, so they grow with
+    the table; the centres are fitted on a bounded sample (about `sample` vectors, picked by a hash of the id) and number
+    at most a sixteenth of it. Every vector is assigned. A cell's vectors and the questions that probe it meet in blocks, one matrix
+    product each, so a hot cell is many tasks. Vectors that are null or zero match nothing.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    def unit(df: DataFrame) -> DataFrame:
-        e = F.col("embedding").cast("array<double>")
-        norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x))
-        return df.where(F.col("embedding").isNotNull()).withColumn("_n", norm).where("_n > 0").withColumn("e", F.transform(e, lambda x: x / F.col("_n"))).drop("_n")
+    def unit(df: DataFrame, *columns: str) -> DataFrame:
+        e = R.usable_vectors(df, *columns)
+        norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+        return e.withColumn("_n", norm).where("_n > 0").withColumn("e", F.transform("e", lambda x: x / F.col("_n"))).drop("_n")
 
-    v = unit(vectors).withColumn("features", array_to_vector("e"))
-    if v.isEmpty():
+    v = unit(vectors, "chunk_id")
+    n, share = v.count(), 1.0
+    if not n:
         return R.vector_topk(questions, vectors, k)
-    model = KMeans(k=clusters, seed=seed, maxIter=10).fit(v)
-    assigned = model.transform(v).select("chunk_id", "e", F.col("prediction").alias("cluster"))
-    centers = F.array(*[F.struct(F.lit(i).alias("cluster"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(model.clusterCenters())])
-    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = F.slice(F.array_sort(F.transform(centers, lambda c: F.struct(apart(F.col("e"), c.c).alias("d"), c.cluster.alias("cluster")))), 1, probes)
-    asked = unit(questions).select("query_id", F.col("e").alias("q"), F.explode(F.transform(near, lambda n: n.cluster)).alias("cluster"))
-    dot = F.aggregate(F.zip_with("q", "e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return R.ranked(asked.join(assigned, "cluster").select("query_id", "chunk_id", dot.alias("vector_score")), "vector_score", k)
+    share = min(1.0, sample / n)
+    cells = int(max(4, min(-(-n // per_cell), sample // 16)))
+    some = v.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else v
+    model = KMeans(k=min(cells, n), seed=seed, maxIter=10).fit(some.withColumn("features", array_to_vector("e")))
+    centers = np.array(model.clusterCenters())
+    centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
+    tried = min(len(centers), max(4, math.ceil(probes * len(centers))))
+
+    def near(most: int):
+        @F.pandas_udf("array<int>")
+        def of(e: pd.Series) -> pd.Series:
+            sims = np.stack(e.to_list()) @ centers.T if len(e) else np.empty((0, len(centers)))
+            return pd.Series(list(np.argsort(-sims, axis=1, kind="stable")[:, :most].astype(np.int32)))
+
+        return of
+
+    held = v.withColumn("cell", near(1)("e")[0])
+    asked = unit(questions, "query_id").withColumn("cell", F.explode(near(tried)("e")))
+    return R.block_topk(asked, held, ["n", "cell"], k, (), 4096).select("query_id", "chunk_id", "vector_score", "rank")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +21,21 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def lexical_candidates(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, chunk_id): chunks with a token that starts with any plain term of the question, the first 6k in document
-    order. Tokens meet terms by equality: the vocabulary is exploded into its prefixes of the terms' lengths, so the
-    postings are joined on tokens only, and a question's rank cut runs before the shuffle as well."""
+    """(query_id, chunk_id, doc_id, chunk_index): chunks with a token that starts with any plain term of the question, the
+    first 6k in document order.
+
+    Tokens meet terms by equality: the vocabulary is exploded into its prefixes of the terms' lengths. The first 6k chunks
+    of a question are among the first 6k of each of its tokens, so postings are cut to those per token, a cut that runs
+    before the shuffle too; no token's or question's list is ever gathered, however frequent the word.
+    """
+    first = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("doc_id", "chunk_index", "chunk_id")) <= 6 * k
     terms = questions.select("query_id", F.explode(F.filter(T.query_terms(F.col("query")), lambda w: ~w.rlike("[-&]"))).alias("term"))
     post = postings(chunks)
     prefixes = post.select("token").distinct().select("token", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("token"), F.lit(2))), lambda n: F.substring("token", F.lit(1), n))).alias("term"))
     wanted = terms.join(prefixes, "term").select("query_id", "token").distinct()
-    hits = wanted.join(post, "token").select("query_id", "chunk_id", "doc_id", "chunk_index").distinct()
-    first = Window.partitionBy("query_id").orderBy("doc_id", "chunk_index")
-    return hits.withColumn("at", F.row_number().over(first)).where(F.col("at") <= 6 * k).select("query_id", "chunk_id")
+    heads = post.join(wanted.select("token").distinct(), "token", "left_semi").withColumn("_kept", first("token")).where("_kept").drop("_kept")
+    hits = wanted.join(heads, "token").select("query_id", "chunk_id", "doc_id", "chunk_index").distinct()
+    return hits.withColumn("_kept", first("query_id")).where("_kept").drop("_kept")
 
 
 def lexical_score(query: Column, content: Column, path: Column, file: Column, kind: Column, group: Column) -> Column:
@@ -44,84 +50,117 @@ def lexical_score(query: Column, content: Column, path: Column, file: Column, ki
 
 
 def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, chunk_id, lexical_score, lexical_rank, score): candidates with a positive score, best first."""
-    found = lexical_candidates(questions, chunks, k).join(chunks.drop("doc_id"), "chunk_id").join(questions, "query_id")
-    scored = found.select("query_id", "chunk_id", lexical_score(F.col("query"), F.col("content"), F.col("hierarchy_path"), F.col("file_name"), F.col("chunk_type"), F.col("group_id")).alias("lexical_score"))
-    return ranked(scored.where("lexical_score > 0"), "lexical_score", k).select("query_id", "chunk_id", "lexical_score", F.col("rank").alias("lexical_rank"), (1 / (RRF_K + F.col("rank"))).alias("score"))
+    """(query_id, chunk_id, lexical_score, lexical_rank, score): candidates with a positive score, best first, equal ones
+    in document order."""
+    found = lexical_candidates(questions, chunks, k).join(chunks.drop("doc_id", "chunk_index"), "chunk_id").join(questions, "query_id")
+    scored = found.select("query_id", "chunk_id", "doc_id", "chunk_index", lexical_score(F.col("query"), F.col("content"), F.col("hierarchy_path"), F.col("file_name"), F.col("chunk_type"), F.col("group_id")).alias("lexical_score"))
+    return ranked(scored.where("lexical_score > 0"), "lexical_score", k, ("doc_id", "chunk_index")).select("query_id", "chunk_id", "lexical_score", F.col("rank").alias("lexical_rank"), (1 / (RRF_K + F.col("rank"))).alias("score"))
 
 
-def ranked(hits: DataFrame, by: str, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc(by), "chunk_id")
+def ranked(hits: DataFrame, by: str, k: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The k best per question; equal ones by the columns `ties`, then by id."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(by), *ties, "chunk_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _nearest(asked: list[tuple[object, list[float]]], k: int):
-    """Best k of every Arrow batch for each question: one matrix product per batch."""
+def _matrix(rows: pa.ListScalar) -> tuple[pa.StructArray, np.ndarray]:
+    """The rows of a block and their vectors as a matrix of unit rows; zero vectors stay zero."""
+    block = rows.values
+    vectors = block.field("e")
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    return block, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def nearest(k: int, least: float | None, names: list[str]):
+    """Arrow batches of (questions, vectors) blocks to the k best vectors of the block for each question, by one matrix
+    product; equal ones (to nine places) by the columns `names`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(asked[0][1])
-        q = np.array([e for _, e in asked])
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = [i for i, v in enumerate(rows) if v is not None and len(v) == size]
-            if not good:
-                continue
-            x = np.array([rows[i] for i in good])
-            sims = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            found = [(asked[r][0], ids[good[c]], float(sims[r, c])) for r in range(len(asked)) for c in best[r]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["query_id", "chunk_id", "vector_score"])
+            for asked, held in zip(batch.column(0), batch.column(1), strict=True):
+                (q_rows, q), (v_rows, x) = _matrix(asked), _matrix(held)
+                order = pc.sort_indices(pa.RecordBatch.from_struct_array(v_rows).select(names), sort_keys=[(n, "ascending") for n in names]).to_numpy()
+                sims = np.round(q @ x[order].T, 9)
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                who = np.repeat(np.arange(len(q)), best.shape[1])
+                value = np.take_along_axis(sims, best, axis=1).ravel()
+                place = order[best.ravel()]
+                if least is not None:
+                    who, place, value = who[value >= least], place[value >= least], value[value >= least]
+                columns = [q_rows.field("query_id").take(pa.array(who)), *[v_rows.field(n).take(pa.array(place)) for n in names], pa.array(value)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", *names, "vector_score"])
 
     return run
 
 
-def vector_topk(questions: DataFrame, vectors: DataFrame, k: int = 5, at_once: int = 4096) -> DataFrame:
-    """(query_id, chunk_id, vector_score, rank): exact cosine of every question's vector with every chunk's, the best k.
+def usable_vectors(df: DataFrame, *columns: str) -> DataFrame:
+    """df's columns, e (the embedding as doubles) and n (its length), without null, empty or partly null embeddings."""
+    good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
+    return df.where(good).select(*columns, F.col("embedding").cast("array<double>").alias("e"), F.size("embedding").alias("n"))
+
 
-    Questions go to the tasks in blocks of about `at_once` vectors, however many there are: a block's matrix meets every
-    Arrow batch of chunk vectors, and only the k best of a batch leave it. Vectors that are null or of another length
-    than a question's are no match for it.
+def blocks_of(rows: DataFrame, at_once: int, by: list[str], name: str) -> DataFrame:
+    """rows dealt, within each value of `by`, by a hash into blocks of about `at_once`: by, parts, block, one array per
+    block with all other columns."""
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / at_once).cast("int").alias(f"{name}_parts"))
+    others = [c for c in rows.columns if c not in by]
+    dealt = rows.join(sizes, by).withColumn(f"{name}_block", F.pmod(F.xxhash64(*others), F.col(f"{name}_parts")).cast("int"))
+    return dealt.groupBy(*by, f"{name}_parts", f"{name}_block").agg(F.collect_list(F.struct(*others)).alias(name))
+
+
+def block_topk(asked: DataFrame, held: DataFrame, by: list[str], k: int, ties: tuple[str, ...], at_once: int, least: float | None = None) -> DataFrame:
+    """The k nearest of held (by, chunk_id, ties, e) for each of asked (by, query_id, e) with the same values of `by`.
+
+    Both sides become blocks of about `at_once` vectors on Spark; every question block meets every vector block of its
+    `by` once, in a task of its own, which keeps k hits a question. Nothing reaches the driver.
     """
-    asked = questions.where("embedding is not null and size(embedding) > 0").select("query_id", F.col("embedding").cast("array<double>").alias("e"), F.size("embedding").alias("n"))
-    kinds = dict(questions.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
-    schema = f"query_id {kinds[0]}, chunk_id {kinds[1]}, vector_score double"
-    found = questions.sparkSession.createDataFrame([], schema)
-    for n, count in sorted(asked.groupBy("n").count().collect()):
-        parts = -(-count // at_once)
-        for part in range(parts):
-            block = asked.where((F.col("n") == n) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)).select("query_id", "e").collect()
-            if block:
-                found = found.unionByName(vectors.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_nearest([tuple(r) for r in block], k), schema))
-    return ranked(found, "vector_score", k)
+    names = [*dict.fromkeys([*ties, "chunk_id"])]
+    q, v = blocks_of(asked, at_once, by, "asked"), blocks_of(held, at_once, by, "held")
+    q = q.join(v.select(*by, "held_parts").distinct(), by).withColumn("held_block", F.explode(F.sequence(F.lit(0), F.col("held_parts") - 1)))
+    met = q.repartition(*by, "asked_block", "held_block").join(v.drop("held_parts"), [*by, "held_block"]).select("asked", "held")
+    types = dict(asked.dtypes) | dict(held.dtypes)
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in ["query_id", *names]) + ", vector_score double"
+    return ranked(met.mapInArrow(nearest(k, least, names), ddl), "vector_score", k, ties)
+
+
+def vector_topk(questions: DataFrame, vectors: DataFrame, k: int = 5, at_once: int = 4096, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, chunk_id, vector_score, rank): exact cosine, to nine places, of every question's vector with every
+    chunk's, the best k; equal ones by the columns `ties` of vectors, then by id. Null, empty or partly null vectors, or
+    ones of another length than a question's, are no match for it; a zero vector has cosine 0."""
+    asked, held = usable_vectors(questions, "query_id"), usable_vectors(vectors, "chunk_id", *ties)
+    return block_topk(asked, held, ["n"], k, ties, at_once).select("query_id", "chunk_id", "vector_score", "rank")
 
 
 def vector_threshold(hits: DataFrame, least: float = 0.5, floor: float = 0.3, k: int = 5) -> DataFrame:
-    """Hits at or over the model's threshold; a question without any keeps its k best over the floor as `vector_fallback`."""
+    """hits (query_id, chunk_id, vector_score, rank): those at or over the model's threshold; a question without any keeps
+    its k best over the floor as `vector_fallback`. The order of the hits stays."""
     any_passes = F.max(F.col("vector_score") >= least).over(Window.partitionBy("query_id"))
     got = hits.withColumn("passes", any_passes)
-    got = got.where(F.when(F.col("passes"), F.col("vector_score") >= least).otherwise(F.col("vector_score") >= floor))
-    return ranked(got.withColumn("retrieval_source", F.when(F.col("passes"), "vector").otherwise("vector_fallback")).drop("passes"), "vector_score", k)
+    got = got.where(F.when(F.col("passes"), F.col("vector_score") >= least).otherwise(F.col("vector_score") >= floor) & (F.col("rank") <= k))
+    return got.withColumn("retrieval_source", F.when(F.col("passes"), "vector").otherwise("vector_fallback")).drop("passes")
 
 
 def hybrid(questions: DataFrame, vector_hits: DataFrame, lexical_hits: DataFrame, k: int = 5) -> DataFrame:
-    """Weighted reciprocal ranks of both sides, ties by vector then lexical score; a question with one empty side keeps
-    the other's order and raw scores. vector_hits: rank, vector_score; lexical_hits: lexical_rank, lexical_score, score."""
-    v = vector_hits.select("query_id", "chunk_id", "vector_score", F.col("rank").alias("v_rank"))
+    """Weighted reciprocal ranks of both sides, ties by vector then lexical score, then in the order of the sides; a
+    question with one empty side keeps the other's order and raw scores. vector_hits: rank, vector_score and
+    retrieval_source (vector or vector_fallback); lexical_hits: lexical_rank, lexical_score, score. A hit of both sides
+    is `hybrid`, one of the lexical side `lexical`."""
+    v = vector_hits.select("query_id", "chunk_id", "vector_score", F.col("rank").alias("v_rank"), F.col("retrieval_source").alias("v_source"))
     x = lexical_hits.select("query_id", "chunk_id", "lexical_score", "lexical_rank", F.col("score").alias("l_score"))
     both = v.join(x, ["query_id", "chunk_id"], "full_outer").join(questions.select("query_id", T.vector_weight(F.col("query")).alias("weight")), "query_id")
     per = Window.partitionBy("query_id")
     both = both.withColumn("n_v", F.count("v_rank").over(per)).withColumn("n_l", F.count("lexical_rank").over(per))
     fused = F.coalesce(F.col("weight") / (RRF_K + F.col("v_rank")), F.lit(0.0)) + F.coalesce((1 - F.col("weight")) / (RRF_K + F.col("lexical_rank")), F.lit(0.0))
     score = F.when(F.col("n_l") == 0, F.col("vector_score")).when(F.col("n_v") == 0, F.col("l_score")).otherwise(fused)
-    source = F.when(F.col("v_rank").isNotNull() & F.col("lexical_rank").isNotNull(), "hybrid").when(F.col("v_rank").isNotNull(), "vector").otherwise("keyword")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc_nulls_last(F.round("vector_score", 9)), F.desc_nulls_last("lexical_score"), "chunk_id")
+    source = F.when(F.col("v_rank").isNotNull() & F.col("lexical_rank").isNotNull(), F.lit("hybrid")).when(F.col("v_rank").isNotNull(), F.col("v_source")).otherwise("lexical")
+    zero = lambda c: F.desc(F.coalesce(F.col(c), F.lit(0.0)))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), zero("vector_score"), zero("lexical_score"), F.asc_nulls_last("v_rank"), F.asc_nulls_last("lexical_rank"))
     got = both.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return got.select("query_id", "chunk_id", "rank", "score", source.alias("retrieval_source"))
 
 
 def _resorted(hits: DataFrame) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_index", "added", "chunk_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_index", "added", "chunk_id")
     return hits.withColumn("rank", F.row_number().over(w))
 
 

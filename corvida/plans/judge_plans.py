@@ -8,8 +8,8 @@ from corvida.functions import text as T
 from corvida.operators import evaluate, judging
 from corvida.operators import retrieve as R
 from corvida.operators import store as S
-from corvida.plans.retrieve_plans import SIDES, sides
-from corvida.plans.shape_plans import PAIRS, RANKED, pairs, scores
+from corvida.plans.retrieve_plans import SIDES, hybrid_questions, sides
+from corvida.plans.shape_plans import PAIRS, RANKED, pairs, scores, traces
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
 
@@ -31,12 +31,13 @@ def _(s, d):
     return judging.trace_chunks(pairs(s, d).where("rank < 5").select("query_id", "rank", "chunk_id", "content")).drop("content_hash")
 
 
-@query("trace_rollup", f"""with {SIDES}, t as (select *, case when retrieval_source <> 'vector' then 'term' || chunk_id % 3 end as expression from h where rank <= 5),
+@query("trace_rollup", with_("chunks") + f""", {SIDES}, t as (select h.*, case when retrieval_source in ('hybrid', 'lexical') then array_to_string(list_transform(list_filter(terms, lambda t: not regexp_matches(t, '[-&]')), lambda t: t || '*'), ' OR ') end as expression from h join terms using (query_id) where rank <= 5),
 n as (select query_id, retrieval_source, count(*) as n from t group by all), p as (select query_id, string_agg(retrieval_source || ':' || n, ',' order by retrieval_source) as sources from n group by query_id)
-select query_id, count(*) filter (where retrieval_source in ('hybrid', 'vector')) as vector_hits, count(*) filter (where retrieval_source in ('hybrid', 'keyword')) as lexical_hits, count(distinct expression) as expressions, string_agg(cast(chunk_id as varchar), ',' order by rank) as chunk_ids, any_value(sources) as sources from t join p using (query_id) group by query_id""")
+select query_id, count(*) filter (where retrieval_source in ('hybrid', 'vector', 'vector_fallback')) as vector_hits, count(*) filter (where retrieval_source in ('hybrid', 'lexical')) as lexical_hits, count(distinct expression) as expressions, string_agg(cast(chunk_id as varchar), ',' order by rank) as chunk_ids, any_value(sources) as sources from t join p using (query_id) group by query_id""")
 def _(s, d):
-    h = R.hybrid(*sides(s, d))
-    return judging.trace_rollup(h.withColumn("expression", F.when(F.col("retrieval_source") != "vector", F.concat(F.lit("term"), (F.col("chunk_id") % 3).cast("string")))))
+    q, v, x = sides(s, d)
+    h = R.hybrid(q, v, x).join(q, "query_id")
+    return judging.trace_rollup(h.withColumn("expression", F.when(F.col("retrieval_source").isin("hybrid", "lexical"), T.match_expression(F.col("query")))))
 
 
 @query("evidence_order", with_("chunks") + ", t as (select doc_id as query_id, coalesce(list(chunk_id order by chunk_index) filter (where chunk_index > 2), []) as final, list(chunk_id order by chunk_index) as deduped from chunks group by doc_id) select query_id, array_to_string(case when len(final) > 0 then final else deduped end, ',') as evidence from t")
@@ -110,13 +111,10 @@ def _(s, d):
     return judging.resolve_scores(r, r, r.select((F.col("query_id") - 1).cast("int").alias("query_id"), "raw"), r.where("query_id % 5 = 0"))
 
 
-@query("score_run", f"with {RANKED}, r as (select query_id, count(*) as hits from ranked where query_id % 40 = 0 group by query_id) select query_id, hits, round(cast(recall_5 as double), 6) as recall_5, round(cast(mrr as double), 6) as mrr from r join scores using (query_id)")
+@query("score_run", with_("chunks") + f", {RANKED}, r as (select query_id, count(*) as hits from trace group by query_id) select query_id, hits, round(cast(recall_5 as double), 6) as recall_5, round(cast(mrr as double), 6) as mrr from r join scores using (query_id)")
 def _(s, d):
-    from corvida.plans.retrieve_plans import vectors
-
-    q, c = vectors(s, d)
-    traces = R.vector_topk(q, c, 10).where("query_id % 40 = 0").groupBy("query_id").agg(F.count("*").alias("hits"))
-    return judging.score_run(q.select("query_id"), traces, scores(s, d).select("query_id", F.round("recall_5", 6).alias("recall_5"), F.round("mrr", 6).alias("mrr")))
+    runs = traces(s, d).groupBy("query_id").agg(F.count("*").alias("hits"))
+    return judging.score_run(hybrid_questions(s, d).select("query_id"), runs, scores(s, d).select("query_id", F.round("recall_5", 6).alias("recall_5"), F.round("mrr", 6).alias("mrr")))
 
 
 ENDINGS = ["", " under col 3 and col 4", " in the first chunk", " of Chunk 1", " Col 2"]
@@ -172,17 +170,14 @@ def _(s, d):
     return judging.valid_samples(samples, ev.select("chunk_id", "content"), verdicts)
 
 
-@query("eval_dataset_json", "select item_id % 3 as set_no, cast(item_id as varchar) as id, case when item_id % 2 = 0 then 'g' || item_id else '' end as gold_answer, 'medium' as difficulty, false as expected_refusal, case item_id % 3 when 0 then 'v1' else 'v' || item_id % 3 end as version from benchmark")
+#: Sets of 50 items, each one JSON document; every third has no version.
+@query("eval_dataset_json", "select item_id // 50 as set_no, cast(item_id as varchar) as id, case when item_id % 2 = 0 then text else '' end as gold_answer, 'medium' as difficulty, false as expected_refusal, case when item_id // 50 % 3 = 0 then 'v1' else 'v' || item_id // 50 end as version from benchmark")
 def _(s, d):
     i = F.col("item_id")
-    one = F.struct(i.cast("string").alias("id"), F.lit("single_hop").alias("type"), F.lit("q").alias("question"), F.when(i % 2 == 0, F.concat(F.lit("g"), i.cast("string"))).alias("gold_answer"), F.lit(1).alias("unknown"))
-    sets = X.table(s, d, "benchmark").groupBy((i % 3).alias("set_no")).agg(F.collect_list(one).alias("samples"))
-    json = sets.select("set_no", F.to_json(F.struct(F.when(F.col("set_no") > 0, F.concat(F.lit("v"), F.col("set_no").cast("string"))).alias("version"), "samples")).alias("json"))
-    got = None
-    for n in range(3):
-        part = judging.read_dataset(json.where(F.col("set_no") == n)).select(F.lit(n).alias("set_no"), "id", "gold_answer", "difficulty", "expected_refusal", "version")
-        got = part if got is None else got.unionByName(part)
-    return got
+    one = F.struct(i.cast("string").alias("id"), F.lit("single_hop").alias("type"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("question"), F.when(i % 2 == 0, F.col("text")).alias("gold_answer"), F.lit(1).alias("unknown"))
+    sets = X.table(s, d, "benchmark").groupBy(F.floor(i / 50).cast("long").alias("set_no")).agg(F.collect_list(one).alias("samples"))
+    json = sets.select("set_no", F.to_json(F.struct(F.when(F.col("set_no") % 3 > 0, F.concat(F.lit("v"), F.col("set_no").cast("string"))).alias("version"), "samples")).alias("json"))
+    return judging.read_dataset(json, "set_no").select("set_no", "id", "gold_answer", "difficulty", "expected_refusal", "version")
 
 
 @query("run_artifacts_json", with_("messages") + "select cast(session_id as varchar) as run_id, cast(turn as varchar) as query_id, role as route, id as chunk_ids, turn * 10 as latency_ms, content as answer from messages")

@@ -11,7 +11,7 @@ from corvida.operators import chunking as C
 from corvida.operators import ingest as I
 from corvida.operators import layout as L
 from corvida.plans.ingest_plans import LAYOUT, layout
-from corvida.plans.shape_plans import MARKDOWN, part_chunks
+from corvida.plans.shape_plans import MARKDOWN, part_chunks, part_tables
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
 
@@ -209,7 +209,7 @@ def _(s, d):
 
 @query("split_large_tables")
 def _(s, d):
-    p = X.table(s, d, "part").groupBy(F.col("p_brand").alias("table_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.array("p_name", F.col("p_size").cast("string")).alias("r")))).alias("l"))
+    p = part_tables(s, d).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.array("p_name", F.col("p_size").cast("string")).alias("r")))).alias("l"))
     return C.split_large_tables(p.select("table_id", F.array(F.lit("Name"), F.lit("Size")).alias("headers"), F.transform("l", lambda x: x.r).alias("rows")), 120)
 
 

@@ -103,19 +103,19 @@ def _(s, d):
 
 
 # D: hits of the vector questions
-MODES = "modes as (select vec_id as query_id, case vec_id // 20 % 3 when 0 then 'VECTOR' when 1 then 'BM25' else 'HYBRID' end as mode, case vec_id // 20 % 2 when 0 then 'SUPPLEMENT' else 'USE' end as action from embeddings where vec_id % 20 = 0)"
+MODES = "modes as (select doc_id as query_id, case doc_id // 20 % 3 when 0 then 'VECTOR' when 1 then 'BM25' else 'HYBRID' end as mode, case doc_id // 20 % 2 when 0 then 'SUPPLEMENT' else 'USE' end as action from documents where doc_id % 20 = 0)"
 
 
 def modes(s, d):
-    n = F.floor(F.col("vec_id") / 20)
-    return X.table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.when(n % 3 == 0, "VECTOR").when(n % 3 == 1, "BM25").otherwise("HYBRID").alias("mode"), F.when(n % 2 == 0, "SUPPLEMENT").otherwise("USE").alias("action"))
+    n = F.floor(F.col("doc_id") / 20)
+    return X.table(s, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.when(n % 3 == 0, "VECTOR").when(n % 3 == 1, "BM25").otherwise("HYBRID").alias("mode"), F.when(n % 2 == 0, "SUPPLEMENT").otherwise("USE").alias("action"))
 
 
 def shown(hits):
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("retrieve_by_mode", f"""with {SIDES}, {MODES}, u as (select 'VECTOR' as mode, query_id, chunk_id, v_rank as rank, vector_score as score from v where v_rank <= 5 union all select 'BM25', query_id, chunk_id, lexical_rank, 1.0 / (60 + lexical_rank) from l where lexical_rank <= 5 union all select 'HYBRID', query_id, chunk_id, rank, score from h where rank <= 5)
+@query("retrieve_by_mode", with_("chunks") + f""", {SIDES}, {MODES}, u as (select 'VECTOR' as mode, query_id, chunk_id, v_rank as rank, vector_score as score from v where v_rank <= 5 union all select 'BM25', query_id, chunk_id, lexical_rank, 1.0 / (60 + lexical_rank) from l where lexical_rank <= 5 union all select 'HYBRID', query_id, chunk_id, rank, score from h where rank <= 5)
 select query_id, chunk_id, rank, round(score, 6) as score from u join modes using (query_id, mode)""")
 def _(s, d):
     q, v, x = sides(s, d)
@@ -135,7 +135,7 @@ def _(s, d):
     return shown(merge.requery(top.where("attempt = 0"), tries, actions))
 
 
-@query("supplement_and_gap_merge", f"""with {SIDES}, {MODES}, v5 as (select * from v where v_rank <= 5), l3 as (select *, 1.0 / (60 + lexical_rank) as score from l where lexical_rank <= 3),
+@query("supplement_and_gap_merge", with_("chunks") + f""", {SIDES}, {MODES}, v5 as (select * from v where v_rank <= 5), l3 as (select *, 1.0 / (60 + lexical_rank) as score from l where lexical_rank <= 3),
 b as (select query_id, chunk_id, v_rank as pos, vector_score as score from v5 union all select query_id, chunk_id, 100 + lexical_rank, score from l3 semi join (select query_id from modes where action = 'SUPPLEMENT') m using (query_id)),
 o as (select query_id, chunk_id, min(pos) as pos, arg_min(score, pos) as score from b group by all), s as (select *, row_number() over (partition by query_id order by score desc, pos, chunk_id) as rank from o qualify rank <= 5),
 gaps as (select query_id, chunk_id, v_rank as pos, vector_score as score from v5 union all select query_id, chunk_id, 100 + lexical_rank, score from l3 anti join v5 using (query_id, chunk_id))
@@ -176,11 +176,9 @@ def _(s, d):
     return context.reduce_table_lines(c, 60).select("chunk_id", "content")
 
 
-# F: each brand's first rows; the question names the size and the third column
+# F: the question names the size and the third column, so all rows of a table score alike and its first ones are best
 def table_rows(s, d, most):
-    _, c, _, rows = table_questions(s, d)
-    q = c.select(F.col("chunk_id").alias("query_id"), F.lit("what is the combined size and col 3 of part").alias("query"))
-    return q, c, rows.where(F.col("place") < most)
+    return table_questions(s, d, F.lit("what is the combined size and col 3 of part"), most)
 
 
 @query("requested_columns", f"with {MARKDOWN} select distinct chunk_id as query_id, 'Size|Col 3' as labels from ordered")
@@ -189,7 +187,7 @@ def _(s, d):
     return answers.requested_columns(q, rows).select("query_id", F.array_join("labels", "|").alias("labels"))
 
 
-@query("table_lookup", f"with {MARKDOWN} select chunk_id as query_id, 'Part ' || p_partkey || ' — Size: ' || p_size || '; Col 3: ' || price || ' (Source: ' || chunk_id || '.txt)' as answer, false as confident from ordered where row_no = 0")
+@query("table_lookup", f"with {MARKDOWN} select chunk_id as query_id, 'Part ' || p_partkey || ' — Size: ' || p_size || '; Col 3: ' || price || ' (Source: ' || chunk_id || '.txt)' as answer, true as confident from ordered where row_no = 0")
 def _(s, d):
     q, _, rows = table_rows(s, d, 5)
     return answers.lookup(q, rows)

@@ -83,9 +83,9 @@ LEXICAL = f"""{POSTINGS}, {TERMS},
 plain as (select query_id, unnest(list_filter(terms, lambda t: not regexp_matches(t, '[-&]'))) as term from terms),
 vocabulary as (select distinct token from postings),
 wanted as (select distinct p.query_id, v.token from plain p join vocabulary v on starts_with(v.token, p.term)),
-hits as (select distinct w.query_id, p.chunk_id, p.doc_id, p.chunk_index from wanted w join postings p using (token)),
-candidates as (select query_id, chunk_id from hits qualify row_number() over (partition by query_id order by doc_id, chunk_index) <= 30),
-scored as (select c.query_id, c.chunk_id,
+found as (select distinct w.query_id, p.chunk_id, p.doc_id, p.chunk_index from wanted w join postings p using (token)),
+candidates as (select query_id, chunk_id from found qualify row_number() over (partition by query_id order by doc_id, chunk_index) <= 30),
+scored as (select c.query_id, c.chunk_id, k.doc_id, k.chunk_index,
     3.0 * len(list_filter(t.terms, lambda x: contains(lower(k.content), x))) + 1.5 * len(list_filter(t.terms, lambda x: contains(lower(k.hierarchy_path), x)))
     + 0.5 * len(list_filter(t.terms, lambda x: contains(lower(k.file_name), x)))
     + 8 * len(list_filter(list_filter(list_transform(regexp_split_to_array(lower(t.query), '[,;?]'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) >= 8), lambda p: contains(lower(k.content), p)))
@@ -94,12 +94,12 @@ scored as (select c.query_id, c.chunk_id,
     + 4 * len(list_filter(list_distinct(list_filter(regexp_extract_all(lower(t.query), '[-(]?\\d[\\d,]*(?:\\.\\d+)?%?[)]?'), lambda n: length(n) >= 2)), lambda n: contains(lower(k.content), n)))
     + case when k.group_id is not null then 0.5 else 0 end as lexical_score
   from candidates c join chunks k using (chunk_id) join terms t using (query_id)),
-lexical as (select query_id, chunk_id, cast(lexical_score as double) as lexical_score, row_number() over (partition by query_id order by lexical_score desc, chunk_id) as lexical_rank from scored where lexical_score > 0)"""
+lexical as (select query_id, chunk_id, cast(lexical_score as double) as lexical_score, row_number() over (partition by query_id order by lexical_score desc, doc_id, chunk_index) as lexical_rank from scored where lexical_score > 0)"""
 
 
 @query("lexical_candidates", with_("chunks", "questions") + f", {LEXICAL} select * from candidates")
 def _(s, d):
-    return R.lexical_candidates(X.questions(s, d), X.chunks(s, d))
+    return R.lexical_candidates(X.questions(s, d), X.chunks(s, d)).select("query_id", "chunk_id")
 
 
 @query("lexical_topk", with_("chunks", "questions") + f", {LEXICAL} select query_id, chunk_id, lexical_score, lexical_rank, round(1.0 / (60 + lexical_rank), 6) as score from lexical where lexical_rank <= 5")
@@ -112,23 +112,23 @@ def _(s, d):
     return X.chunks(s, d).where("collection_id = 'src1'").select("chunk_id")
 
 
-@query("document_section", with_("chunks") + ", questions as (select distinct collection_id as query_id, list_first(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda t: length(t) >= 5)) as query from chunks where chunk_index = 0 and doc_id < 20), " + LEXICAL + " select q.query_id, l.chunk_id, coalesce(l.lexical_score, 0) as lexical_score, case when l.chunk_id is null then 'not_found' else 'ok' end as status from (select query_id from questions) q left join (select * from lexical where lexical_rank <= 3) l using (query_id)")
+@query("document_section", with_("chunks") + ", keyed as (select doc_id as query_id, list_first(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda t: length(t) >= 5)) as query from chunks where chunk_index = 0), questions as (select * from keyed where query is not null), " + LEXICAL.replace("<= 30", "<= 18") + " select q.query_id, l.chunk_id, coalesce(l.lexical_score, 0) as lexical_score, case when l.chunk_id is null then 'not_found' else 'ok' end as status from keyed q left join (select * from lexical where lexical_rank <= 3) l using (query_id)")
 def _(s, d):
     c = X.chunks(s, d)
-    q = c.where("chunk_index = 0 and doc_id < 20").select(F.col("collection_id").alias("query_id"), F.get(F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda t: F.length(t) >= 5), F.lit(0)).alias("query")).distinct()
-    hits = R.lexical_topk(q, c, 5).where("lexical_rank <= 3")
+    q = c.where("chunk_index = 0").select(F.col("doc_id").alias("query_id"), F.get(F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda t: F.length(t) >= 5), F.lit(0)).alias("query"))
+    hits = R.lexical_topk(q, c, 3)
     return q.select("query_id").join(hits, "query_id", "left").select("query_id", "chunk_id", F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"), F.when(F.col("chunk_id").isNull(), "not_found").otherwise("ok").alias("status"))
 
 
-#: Questions are the vectors whose id is divisible by 20, chunks all others.
+#: Questions are the vectors whose id is divisible by 20, against all vectors.
 VECTORS = """unit as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
-sims as (select q.vec_id as query_id, c.vec_id as chunk_id, list_cosine_similarity(q.e, c.e) as vector_score from unit q join unit c on q.vec_id % 20 = 0 and c.vec_id % 20 <> 0),
+sims as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_cosine_similarity(q.e, c.e), 9) as vector_score from unit q join unit c on q.vec_id % 20 = 0),
 vector as (select *, row_number() over (partition by query_id order by vector_score desc, chunk_id) as rank from sims)"""
 
 
 def vectors(s, d):
     e = X.table(s, d, "embeddings")
-    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
 @query("vector_topk", f"with {VECTORS} select query_id, chunk_id, round(vector_score, 6) as vector_score, cast(rank as integer) as rank from vector where rank <= 5")
@@ -136,58 +136,78 @@ def _(s, d):
     return R.vector_topk(*vectors(s, d)).withColumn("vector_score", F.round("vector_score", 6))
 
 
-@query("vector_threshold", f"with {VECTORS}, f as (select *, max(vector_score) over (partition by query_id) >= 0.9 as passes from vector where rank <= 5) select query_id, chunk_id, round(vector_score, 6) as vector_score, case when passes then 'vector' else 'vector_fallback' end as retrieval_source from f where case when passes then vector_score >= 0.9 else vector_score >= 0.3 end")
+@query("vector_threshold", f"with {VECTORS}, f as (select *, max(vector_score) over (partition by query_id) >= 0.9 as passes from vector where rank <= 5 and query_id <> chunk_id) select query_id, chunk_id, round(vector_score, 6) as vector_score, case when passes then 'vector' else 'vector_fallback' end as retrieval_source from f where case when passes then vector_score >= 0.9 else vector_score >= 0.3 end")
 def _(s, d):
-    return R.vector_threshold(R.vector_topk(*vectors(s, d)).drop("rank"), 0.9).select("query_id", "chunk_id", F.round("vector_score", 6).alias("vector_score"), "retrieval_source")
+    others = R.vector_topk(*vectors(s, d)).where("query_id <> chunk_id")
+    return R.vector_threshold(others, 0.9).select("query_id", "chunk_id", F.round("vector_score", 6).alias("vector_score"), "retrieval_source")
 
 
-#: A lexical side over the same keys: chunks whose label equals the question's, by id.
-SIDES = f"""{VECTORS}, v as (select query_id, chunk_id, vector_score, rank as v_rank from vector where rank <= 20),
-x as (select q.vec_id as query_id, c.vec_id as chunk_id, cast(100 - (c.vec_id % 50) as double) as lexical_score from unit q join unit c on q.label = c.label and q.vec_id % 20 = 0 and c.vec_id % 20 <> 0 and q.vec_id % 40 = 0),
-l as (select *, row_number() over (partition by query_id order by lexical_score desc, chunk_id) as lexical_rank from x qualify lexical_rank <= 20),
-both_sides as (select coalesce(v.query_id, l.query_id) as query_id, coalesce(v.chunk_id, l.chunk_id) as chunk_id, vector_score, v_rank, lexical_score, lexical_rank from v full join l on v.query_id = l.query_id and v.chunk_id = l.chunk_id),
-f as (select *, count(lexical_rank) over (partition by query_id) as n_l, coalesce(0.75 / (60 + v_rank), 0) + coalesce(0.25 / (60 + lexical_rank), 0) as fused from both_sides),
-g as (select *, case when n_l = 0 then vector_score else fused end as score, case when v_rank is not null and lexical_rank is not null then 'hybrid' when v_rank is not null then 'vector' else 'keyword' end as retrieval_source from f),
-h as (select *, row_number() over (partition by query_id order by round(score, 9) desc, round(vector_score, 9) desc nulls last, lexical_score desc nulls last, chunk_id) as rank from g)"""
+#: Both retrievers over the same chunks. Questions are the documents whose id is divisible by 20, by the first twelve words
+#: of their first line and, where there is one, by the vector of that id; a chunk has its document's vector.
+QUESTIONS = "questions as (select doc_id as query_id, array_to_string(list_slice(string_split(string_split(text, chr(10))[1], ' '), 1, 12), ' ') as query from documents where doc_id % 20 = 0)"
+VECTOR_HITS = """cv as (select c.chunk_id, c.doc_id, c.chunk_index, cast(m.embedding as double[]) as e from chunks c join embeddings m on m.vec_id = c.doc_id),
+cs as (select q.query_id, cv.chunk_id, cv.doc_id, cv.chunk_index, round(list_cosine_similarity(cast(m.embedding as double[]), cv.e), 9) as vector_score from questions q join embeddings m on m.vec_id = q.query_id join cv on true),
+cr as (select *, row_number() over (partition by query_id order by vector_score desc, doc_id, chunk_index) as v_rank, max(vector_score) over (partition by query_id) >= 0.5 as passes from cs qualify v_rank <= 20),
+v as (select query_id, chunk_id, vector_score, v_rank, case when passes then 'vector' else 'vector_fallback' end as v_source from cr where case when passes then vector_score >= 0.5 else vector_score >= 0.3 end)"""
+SIDES = f"""{QUESTIONS},
+{LEXICAL.replace("<= 30", "<= 120")},
+{VECTOR_HITS},
+l as (select query_id, chunk_id, lexical_score, lexical_rank from lexical where lexical_rank <= 20),
+both_sides as (select coalesce(v.query_id, l.query_id) as query_id, coalesce(v.chunk_id, l.chunk_id) as chunk_id, vector_score, v_rank, v_source, lexical_score, lexical_rank from v full join l on v.query_id = l.query_id and v.chunk_id = l.chunk_id),
+weighed as (select *, case when len(list_filter({FUSE}, lambda x: contains(lower(query), x))) > 0 then 0.45 else 0.75 end as w, count(lexical_rank) over (partition by query_id) as n_l, count(v_rank) over (partition by query_id) as n_v from both_sides join questions using (query_id)),
+g as (select *, case when n_l = 0 then vector_score when n_v = 0 then 1.0 / (60 + lexical_rank) else coalesce(w / (60 + v_rank), 0) + coalesce((1 - w) / (60 + lexical_rank), 0) end as score,
+  case when v_rank is not null and lexical_rank is not null then 'hybrid' when v_rank is not null then v_source else 'lexical' end as retrieval_source from weighed),
+h as (select *, row_number() over (partition by query_id order by round(score, 9) desc, coalesce(vector_score, 0) desc, coalesce(lexical_score, 0) desc, v_rank nulls last, lexical_rank nulls last) as rank from g)"""
+
+
+def hybrid_questions(s, d):
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    return X.table(s, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split(line, " "), 1, 12), " ").alias("query"))
+
+
+def vector_side(s, d):
+    """(questions, their 20 best chunks by vectors, at the threshold)."""
+    q, c = hybrid_questions(s, d), X.chunks(s, d)
+    e = X.table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = q.join(e.withColumnRenamed("doc_id", "query_id"), "query_id").select("query_id", "embedding")
+    held = c.join(e, "doc_id").select("chunk_id", "doc_id", "chunk_index", "embedding")
+    return q, R.vector_threshold(R.vector_topk(asked, held, 20, ties=("doc_id", "chunk_index")), k=20)
 
 
 def sides(s, d):
-    q, c = vectors(s, d)
-    questions = q.select("query_id", F.lit("which passage").alias("query"))
-    labels = X.table(s, d, "embeddings").where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    x = labels.join(c.select("chunk_id", "label"), "label").select("query_id", "chunk_id", (100 - F.col("chunk_id") % 50).cast("double").alias("lexical_score"))
-    lexical = R.ranked(x, "lexical_score", 20).withColumn("score", 1 / (60 + F.col("rank"))).withColumnRenamed("rank", "lexical_rank")
-    return questions, R.vector_topk(q, c, 20), lexical
+    """(questions, hits by vectors, lexical hits), 20 of each side for a question."""
+    q, v = vector_side(s, d)
+    return q, v, R.lexical_topk(q, X.chunks(s, d), 20)
 
 
-@query("hybrid_rrf", f"with {SIDES} select query_id, chunk_id, cast(rank as integer) as rank, round(score, 6) as score, retrieval_source from h where rank <= 5")
+@query("hybrid_rrf", with_("chunks") + f", {SIDES} select query_id, chunk_id, cast(rank as integer) as rank, round(score, 6) as score, retrieval_source from h where rank <= 5")
 def _(s, d):
     return R.hybrid(*sides(s, d)).withColumn("score", F.round("score", 6))
 
 
-@query("hybrid_one_sided", f"with {SIDES} select query_id, count(*) as hits, bool_and(retrieval_source = 'vector') as only_vector from h where rank <= 5 group by query_id")
+@query("hybrid_one_sided", with_("chunks") + f", {SIDES} select query_id, count(*) as hits, bool_and(retrieval_source in ('vector', 'vector_fallback')) as only_vector, bool_and(retrieval_source = 'lexical') as only_lexical from h where rank <= 5 group by query_id")
 def _(s, d):
-    return R.hybrid(*sides(s, d)).groupBy("query_id").agg(F.count("*").alias("hits"), F.bool_and(F.col("retrieval_source") == "vector").alias("only_vector"))
+    source = F.col("retrieval_source")
+    return R.hybrid(*sides(s, d)).groupBy("query_id").agg(F.count("*").alias("hits"), F.bool_and(source.isin("vector", "vector_fallback")).alias("only_vector"), F.bool_and(source == "lexical").alias("only_lexical"))
 
 
-#: Hits for the expansions: of each source, the chunks of index 2 of its documents, scored by document.
-HITS = "h0 as (select collection_id as query_id, chunk_id, cast(1000000 - doc_id as double) as score, chunk_index, group_id, parent_chunk_id, section_id from chunks where chunk_index = 2), hits as (select * from h0 qualify row_number() over (partition by query_id order by score desc) <= 3)"
+#: The hybrid hits of every question, to be expanded.
+HITS = f"{SIDES}, hits as (select h.query_id, h.chunk_id, h.score, c.chunk_index, c.group_id from h join chunks c using (chunk_id) where rank <= 5)"
 
 
 def hits(s, d):
-    h = X.chunks(s, d).where("chunk_index = 2").select(F.col("collection_id").alias("query_id"), "chunk_id", (1000000 - F.col("doc_id")).cast("double").alias("score"))
-    return R.ranked(h, "score", 3).drop("rank")
+    return R.hybrid(*sides(s, d)).select("query_id", "chunk_id", "score")
 
 
 GROUPS = HITS + """, m as (select distinct h.query_id, h.group_id, c.chunk_id, c.chunk_index, c.is_group_head from hits h join chunks c using (group_id) where c.is_group_head or abs(c.chunk_index - h.chunk_index) <= 1),
 p as (select * from m qualify row_number() over (partition by query_id, group_id order by is_group_head desc, chunk_index, chunk_id) <= 3),
-e as (select query_id, chunk_id, score, chunk_index from hits union all select query_id, chunk_id, 0.0, chunk_index from p where (query_id, chunk_id) not in (select query_id, chunk_id from hits)),
-er as (select *, row_number() over (partition by query_id order by score desc, chunk_index, chunk_id) as rank from e)"""
+e as (select query_id, chunk_id, score, chunk_index, 0 as added from hits union all select query_id, chunk_id, 0.0, chunk_index, 1 from p where (query_id, chunk_id) not in (select query_id, chunk_id from hits)),
+er as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_index, added, chunk_id) as rank from e)"""
 
 
-@query("expand_groups", with_("chunks") + f", {GROUPS} select query_id, chunk_id, score, chunk_index, cast(rank as integer) as rank from er")
+@query("expand_groups", with_("chunks") + f", {GROUPS} select query_id, chunk_id, round(score, 6) as score, chunk_index, cast(rank as integer) as rank from er")
 def _(s, d):
-    return R.expand_groups(hits(s, d), X.chunks(s, d))
+    return R.expand_groups(hits(s, d), X.chunks(s, d)).withColumn("score", F.round("score", 6))
 
 
 @query("expand_sections", with_("chunks") + f""", {GROUPS}, o as (select er.*, c.parent_chunk_id, c.section_id from er join chunks c using (chunk_id)),
@@ -195,10 +215,10 @@ offered as (select o.query_id, o.rank, 0 as step, c.chunk_id, c.chunk_index from
   union all select o.query_id, o.rank, 1, c.chunk_id, c.chunk_index from o join chunks c on c.section_id = o.section_id and c.chunk_type <> 'SECTION' and abs(c.chunk_index - o.chunk_index) <= 1),
 once as (select query_id, chunk_id, chunk_index, min(rank * 10 + step) as pos from offered where (query_id, chunk_id) not in (select query_id, chunk_id from er) group by all),
 n as (select * from once qualify row_number() over (partition by query_id order by pos, chunk_index, chunk_id) <= 4)
-select query_id, chunk_id, score, chunk_index from er union all select query_id, chunk_id, 0.0, chunk_index from n""")
+select query_id, chunk_id, round(score, 6) as score, chunk_index from er union all select query_id, chunk_id, 0.0, chunk_index from n""")
 def _(s, d):
     c = X.chunks(s, d)
-    return R.expand_sections(R.expand_groups(hits(s, d), c), c).select("query_id", "chunk_id", "score", "chunk_index")
+    return R.expand_sections(R.expand_groups(hits(s, d), c), c).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "chunk_index")
 
 
 @query("merge_subqueries", f"""with {VECTORS}, b as (select query_id // 100 as query_id, query_id % 100 // 20 as sub_no, rank, chunk_id, vector_score as score from vector where rank <= 5),
