@@ -29,6 +29,12 @@ TABLE_STOP_WORDS = [
 ]
 JUNK_LINE = r"^(page\s+\d+\s+of\s+\d+|\(?₹\s*in\s*crore\)?|\(?rs\.?\s*in\s*crore\)?|\(?\$\s*in\s*millions?\)?|\||-|_|continued)$"
 FURNITURE_TERMS = ["registered office", "corporate communications", "telephone", "cin:", "www.ril.com"]
+#: Lines that are page furniture wherever they stand, in lower case with single blanks: what they match, are, hold or begin with.
+FURNITURE = [
+    ("matches", r"page\s+\d+\s+of\s+\d+"), ("matches", r"\d{1,2}(?:st|nd|rd|th)?\s+[a-z]+,?\s+\d{4}"), ("is", "|"), ("is", "-"), ("is", "_"), ("is", "continued"),
+    ("holds", "registered office:"), ("holds", "corporate communications:"), ("holds", "telephone"), ("holds", "telefax"), ("is", "internet"), ("holds", "maker chambers"),
+    ("holds", "nariman point"), ("holds", "mumbai 400"), ("holds", "www.ril.com"), ("begins", r"cin\b"), ("begins", r"\s*:l\d"),
+]
 TOKENS_PER_WORD = 1.3
 
 
@@ -111,3 +117,19 @@ def is_junk(c: Column) -> Column:
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: trimmed(F.regexp_replace(F.lower(x), r"\s+", " "))), lambda x: x != "")
     whole = trimmed(F.regexp_replace(F.lower(c), r"\s+", " "))
     return ((F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(JUNK_LINE))) | (F.length(whole) <= 1) | whole.rlike(JUNK_LINE)
+
+
+def is_furniture(c: Column) -> Column:
+    """Boilerplate of pages, by FURNITURE."""
+    low = trimmed(F.regexp_replace(F.lower(c), r"\s+", " "))
+    tests = {"matches": lambda v: low.rlike(f"^(?:{v})$"), "is": lambda v: low == v, "holds": lambda v: F.contains(low, F.lit(v)), "begins": lambda v: low.rlike(f"^{v}")}
+    found = F.lit(False)
+    for how, value in FURNITURE:
+        found = found | tests[how](value)
+    return F.coalesce(found, F.lit(False))
+
+
+def furniture_key(signature: Column) -> Column:
+    """Of a digit-masked signature, the first of FURNITURE_TERMS in it, or `page` for a page mark; null for any other."""
+    terms = [F.when(F.contains(signature, F.lit(t)), F.lit(t)) for t in FURNITURE_TERMS]
+    return F.coalesce(*terms, F.when(signature == "page # of #", F.lit("page")))

@@ -52,6 +52,12 @@ def corpus_stats(documents: DataFrame) -> DataFrame:
     return documents.agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("long").alias("chunks"), F.coalesce(F.bool_and(F.col("status") == "READY"), F.lit(True)).alias("all_ready"), F.count("*").alias("documents"))
 
 
+def embedded_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, chunk_count, embedded): chunks of each document and how many of them have an embedding."""
+    n = chunks.groupBy("doc_id").agg(F.count_if(F.col("embedding").isNotNull()).alias("n"))
+    return documents.join(n, F.col("id") == F.col("doc_id"), "left").select("id", "chunk_count", F.coalesce("n", F.lit(0)).cast("long").alias("embedded"))
+
+
 def encode_path(parts: Column) -> Column:
     return F.array_join(parts, "§")
 
@@ -82,6 +88,34 @@ def read_csv(spark, path: str) -> DataFrame:
     return got.select(F.col("Chunk_ID").alias("chunk_id"), F.col("Token_Count").alias("token_count"), F.when(F.trim("Group_ID") != "", F.col("Group_ID")).alias("group_id"), F.coalesce("Is_Group_Head", F.lit(False)).alias("is_group_head"), F.when(F.trim("Hierarchy_Path") == "", F.array().cast("array<string>")).otherwise(F.split("Hierarchy_Path", " > ")).alias("hierarchy_path"), F.col("Content").alias("content"))
 
 
+#: Fields of an exported chunk: its name, the column, the type, and what stands for a null.
+EXPORT = (
+    ("id", "chunk_id", "string"), ("chunkType", "chunk_type", "string"), ("parentChunkId", "parent_chunk_id", "string"), ("sectionId", "section_id", "string"),
+    ("groupId", "group_id", "string"), ("isGroupHead", "is_group_head", "boolean"), ("pageStart", "page_start", "int"), ("pageEnd", "page_end", "int"),
+    ("tokenCount", "token_count", "int"), ("hierarchyPath", "hierarchy_path", "array<string>"), ("bbox", "bbox", "array<struct<page:int,x:double,y:double,width:double,height:double>>"),
+    ("rowRange", "row_range", "struct<start:bigint,end:bigint>"), ("content", "content", "string"),
+)
+
+
+def export_json(chunks: DataFrame) -> DataFrame:
+    """(json): one object of 13 fields per chunk (columns as in EXPORT), nulls written, no boxes as an empty array."""
+    boxes = F.coalesce("bbox", F.array().cast(dict((n, t) for n, _, t in EXPORT)["bbox"]))
+    fields = [(boxes if c == "bbox" else F.col(c)).alias(n) for n, c, _ in EXPORT]
+    return chunks.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def import_json(exported: DataFrame) -> DataFrame:
+    got = exported.select(F.from_json("json", ", ".join(f"{n} {t}" for n, _, t in EXPORT)).alias("r"))
+    return got.select(*[F.col(f"r.{n}").alias(c) for n, c, _ in EXPORT])
+
+
+def export_csv(chunks: DataFrame) -> DataFrame:
+    """The 13 fields as CSV columns: paths joined by " > ", boxes and row range as JSON, nulls as empty text."""
+    as_text = {"hierarchy_path": lambda c: F.array_join(c, " > "), "bbox": lambda c: F.coalesce(F.to_json(c), F.lit("[]")), "row_range": lambda c: F.to_json(c)}
+    names = {"bbox": "bboxJson", "rowRange": "rowRangeJson"}
+    return chunks.select(*[F.coalesce(as_text.get(c, lambda x: x.cast("string"))(F.col(c)), F.lit("")).alias(names.get(n, n)) for n, c, _ in EXPORT])
+
+
 def decode_blob(blob: Column) -> Column:
     """Little-endian float32 bytes to array<float>; null for null."""
 
@@ -100,17 +134,22 @@ def encode_blob(vector: Column) -> Column:
     return of(vector)
 
 
+GRID = 1 << 24
+
+
 def content_hash(text: Column) -> Column:
-    """FNV-1a, 64 bits, over the UTF-8 bytes of the trimmed lower-case text, as signed hex. A batch's texts step together,
-    byte place by byte place, in wrapping 64-bit arithmetic."""
+    """FNV-1a, 64 bits, over the UTF-8 bytes of the trimmed lower-case text, as signed hex. Texts of like length step
+    together, byte place by byte place, in wrapping 64-bit arithmetic; a grid of them holds GRID bytes at most, or one text."""
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         raw = [None if t is None else t.strip().lower().encode() for t in texts]
         order = sorted((i for i, b in enumerate(raw) if b is not None), key=lambda i: -len(raw[i]))
         out: list[str | None] = [None] * len(raw)
-        for at in range(0, len(order), 512):
-            part = order[at : at + 512]
+        at = 0
+        while at < len(order):
+            part = order[at : at + max(1, GRID // max(1, len(raw[order[at]])))]
+            at += len(part)
             size = np.array([len(raw[i]) for i in part])
             grid = np.zeros((len(part), int(size.max()) if len(part) else 0), dtype=np.uint8)
             for r, i in enumerate(part):

@@ -51,9 +51,17 @@ def _(s, d):
     return I.drop_junk(m)
 
 
-@query("dedupe_chunks", with_("lines") + f", m as (select doc_id, line_no as chunk_index, case when line_no % 3 = 0 then 'Line ' || line_no else line end as content, row_number() over (partition by doc_id, trim(regexp_replace(regexp_replace(lower(case when line_no % 3 = 0 then 'Line ' || line_no else line end), '\\d+', '#', 'g'), '\\s+', ' ', 'g')) order by line_no) as n from lines) select doc_id, chunk_index, content from m where n = 1")
+MASKED = "trim(regexp_replace(regexp_replace(lower({}), '\\d+', '#', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("dedupe_chunks", with_("lines") + f""", m as (select doc_id, line_no as chunk_index, case when line_no % 3 = 0 then 'Line ' || line_no when line_no % 7 = 1 then 'Telephone of desk ' || line_no || line else line end as content, case when line_no % 5 = 4 then 'g' end as group_id from lines),
+s as (select *, {MASKED.format("content")} as s from m), n as (select * from (select *, row_number() over (partition by doc_id, s order by chunk_index) as n from s) where n = 1 or group_id is not null),
+k as (select *, case {" ".join(f"when contains(s, '{t}') then '{t}'" for t in T.FURNITURE_TERMS)} when s = 'page # of #' then 'page' end as k from n)
+select doc_id, chunk_index, content from (select *, row_number() over (partition by doc_id, k order by chunk_index) as first from k) where k is null or first = 1""")
 def _(s, d):
-    m = X.lines(s, d).select("doc_id", F.col("line_no").alias("chunk_index"), F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("Line "), F.col("line_no").cast("string"))).otherwise(F.col("line")).alias("content"), F.lit(None).cast("string").alias("group_id"))
+    n = F.col("line_no")
+    content = F.when(n % 3 == 0, F.concat(F.lit("Line "), n.cast("string"))).when(n % 7 == 1, F.concat(F.lit("Telephone of desk "), n.cast("string"), F.col("line"))).otherwise(F.col("line"))
+    m = X.lines(s, d).select("doc_id", n.alias("chunk_index"), content.alias("content"), F.when(n % 5 == 4, "g").alias("group_id"))
     return I.dedupe(m).drop("group_id")
 
 
@@ -74,14 +82,29 @@ def layout(s, d):
     )
 
 
-@query("heading_level_font", with_("lines") + f", {LAYOUT} select doc_id, page, y, case when font_size > 18 then 1 when font_size > 15 then 2 when (is_bold or font_size > 13) and length(text) < 120 then 3 else 0 end as level from layout")
+LEVEL = "case when font_size > 18 then 1 when font_size > 15 then 2 when (is_bold or font_size > 13) and length(text) < 120 then 3 else 0 end"
+
+
+@query("heading_level_font", with_("lines") + f""", {LAYOUT}, w as (select *, list_filter(regexp_split_to_array({TRIM.format('text')}, '\\s+'), lambda x: x <> '') as w from layout)
+select doc_id, page, y, {LEVEL} as level, case when len(list_filter(w, lambda x: regexp_full_match(regexp_replace(x, '[,.%()₹$\\-]', '', 'g'), '\\d+'))) >= 2 or (len(w) between 2 and 6 and len(list_filter(w, lambda x: regexp_matches(x, '\\d'))) = len(w)) then 0 else {LEVEL} end as strict_level from w""")
 def _(s, d):
-    return layout(s, d).select("doc_id", "page", "y", I.heading_level(F.col("font_size"), F.col("is_bold"), F.col("text"), F.lit(12)).alias("level"))
+    size = F.col("font_size"), F.col("is_bold"), F.col("text"), F.lit(12)
+    return layout(s, d).select("doc_id", "page", "y", I.heading_level(*size).alias("level"), I.strict_heading_level(*size).alias("strict_level"))
 
 
-@query("drop_page_furniture", with_("lines") + f", {LAYOUT}, s as (select *, regexp_replace(lower({TRIM.format('text')}), '\\d+', '#', 'g') as k from layout), o as (select doc_id, k from s group by doc_id, k having count(distinct page) >= 3) select doc_id, page, y, text from s where not ((y <= 0.12 * page_height or y >= 0.86 * page_height) and (doc_id, k) in (select doc_id, k from o))")
+_LOW = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
+_IS_FURNITURE = " or ".join({"matches": f"regexp_full_match({_LOW}, '{v}')", "is": f"{_LOW} = '{v}'", "holds": f"contains({_LOW}, '{v}')", "begins": f"regexp_matches({_LOW}, '^{v}')"}[how] for how, v in T.FURNITURE)
+
+
+@query("drop_page_furniture", with_("lines") + f""", {LAYOUT}, p as (select * replace (case when y = 54 then 'Telephone: ' || doc_id when y = 72 then 'page ' || page || ' of 9' when y = 86.4 then 'on the line' else text end as text) from (select * replace (case when y = 90 then 86.4 else y end as y) from layout)),
+s as (select *, {MASKED.format("text")} as k from p), o as (select doc_id, k from s group by doc_id, k having count(distinct page) >= 3)
+select doc_id, page, y, text from s where not ({_IS_FURNITURE}) and not ((y < 0.12 * page_height or y > 0.86 * page_height) and (doc_id, k) in (select doc_id, k from o))""")
 def _(s, d):
-    return I.drop_page_furniture(layout(s, d)).select("doc_id", "page", "y", "text")
+    # boilerplate in the margin and below it, and a repeated line exactly on the margin's limit
+    y = F.col("y")
+    lines = layout(s, d).withColumn("y", F.when(y == 90, 86.4).otherwise(y))
+    text = F.when(y == 54, F.concat(F.lit("Telephone: "), F.col("doc_id").cast("string"))).when(y == 72, F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" of 9"))).when(y == 86.4, "on the line").otherwise(F.col("text"))
+    return I.drop_page_furniture(lines.withColumn("text", text)).select("doc_id", "page", "y", "text")
 
 
 @query("page_bboxes", with_("lines") + f", {LAYOUT} select doc_id, page, min(x) as x, min(y) as y, floor((max(end_x) - min(x)) * 10) / 10 as width, floor((max(end_y) - min(y)) * 10) / 10 as height from layout group by doc_id, page")
@@ -94,9 +117,24 @@ def _(s, d):
     return I.ingest_summary(X.chunks(s, d))
 
 
-@query("markup_blocks", f"with b as (select page_id, regexp_extract_all(html, '(?s)<(?:h[1-4]|p|li)(?:\\s[^>]*)?>.*?</(?:h[1-4]|p|li)>') as b from pages), e as (select page_id, i as block_no, b[i + 1] as b from (select *, unnest(range(len(b))) as i from b)) select page_id, block_no, regexp_extract(b, '^<(h[1-4]|p|li)', 1) as kind, regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g') as text from e")
+# each page ends with a table of its own; a test holds nested and unclosed elements against a parser
+_ELEMENTS = "(?is)" + "|".join([f"<{t}(?:\\s[^>]*)?>.*?</{t}>" for t in ("table", "h1", "h2", "h3", "h4", "li")] + ["<p(?:\\s[^>]*)?>.*?(?:</p>|$)"])
+_ABOVE = "over (partition by page_id order by block_no rows between unbounded preceding and 1 preceding)"
+_OPEN = [f"case when p{n} is not null and (level = 0 or level > {n})" + "".join(f" and coalesce(p{m} < p{n}, true)" for m in range(1, n)) + f" then t{n} end" for n in range(1, 5)]
+BLOCKS = f"""f as (select page_id, regexp_extract_all(html || '<h4>Facts</h4><table class=x><tr><th>Name</th><th>Value</th></tr><tr><td>page</td><td><b>' || page_id || '</b></td></tr></table><p>end', '{_ELEMENTS}') as l from pages),
+e as (select page_id, i, l[i + 1] as b, lower(regexp_extract(l[i + 1], '(?i)^<(table|h[1-4]|p|li)', 1)) as kind from (select *, unnest(range(len(l))) as i from f)),
+t as (select *, case kind when 'table' then '| Name | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| page | ' || page_id || ' |' else (case kind when 'li' then '- ' else '' end) || trim(regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) end as text from e),
+n as (select *, sum(start) over (partition by page_id order by i) - 1 as block_no from (select *, case when kind = 'li' and coalesce(lag(kind) over (partition by page_id order by i) = 'li', false) then 0 else 1 end as start from t where text not in ('', '- '))),
+g as (select page_id, cast(block_no as bigint) as block_no, case any_value(kind) when 'li' then 'list' else any_value(kind) end as kind, case when any_value(kind) in ('h1', 'h2', 'h3', 'h4') then cast(any_value(kind)[2] as integer) else 0 end as level, string_agg(text, chr(10) order by i) as text from n group by page_id, block_no),
+w as (select *, {", ".join(f"max(case when level = {k} then block_no end) {_ABOVE} as p{k}, last_value(case when level = {k} then text end ignore nulls) {_ABOVE} as t{k}" for k in range(1, 5))} from g)"""
+
+
+@query("markup_blocks", f"with {BLOCKS} select page_id, block_no, kind, level, array_to_string(list_filter([{', '.join(_OPEN)}], lambda x: x is not null), ' > ') as path, text from w")
 def _(s, d):
-    return I.markup_blocks(X.table(s, d, "pages"))
+    extra = "<h4>Facts</h4><table class=x><tr><th>Name</th><th>Value</th></tr><tr><td>page</td><td><b>"
+    p = X.table(s, d, "pages")
+    html = F.concat("html", F.lit(extra), F.col("page_id").cast("string"), F.lit("</b></td></tr></table><p>end"))
+    return I.markup_blocks(p.withColumn("html", html)).withColumn("path", F.array_join("path", " > "))
 
 
 QUERIES, ORACLES = Q, O

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from corvida.functions import text as T
 from corvida.operators import store as S
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
+from corvida.sources.folders import shared_folder
 
 Q, O = {}, {}
 
@@ -82,6 +86,13 @@ def _(s, d):
     return S.corpus_stats(X.documents(s, d))
 
 
+@query("embedded_counts", with_("chunks", "docs") + ", n as (select doc_id, count(*) filter (where vec_id is not null) as n from chunks left join embeddings on vec_id = doc_id and chunk_index % 2 = 0 group by doc_id) select id, chunk_count, coalesce(n, 0) as embedded from docs left join n on doc_id = id")
+def _(s, d):
+    e = X.table(s, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    c = X.chunks(s, d).join(e, (F.col("doc_id") == F.col("v")) & (F.col("chunk_index") % 2 == 0), "left")
+    return S.embedded_counts(X.documents(s, d), c)
+
+
 @query("hierarchy_path_codec", with_("chunks") + "select chunk_id, collection_id || '§' || hierarchy_path as path, 2 as depth from chunks")
 def _(s, d):
     p = X.chunks(s, d).select("chunk_id", S.encode_path(F.array("collection_id", "hierarchy_path")).alias("path"))
@@ -101,27 +112,58 @@ def _(s, d):
     return S.cache_misses(c, cache, "content")
 
 
-@query("ingest_manifest")
-def _(s, d):
-    return S.manifest(X.documents(s, d), X.chunks(s, d))
-
-
 @query("embedding_blob_decode", "select vec_id, len(embedding) as n, round(list_sum(list_transform(embedding, lambda x: abs(x))), 3) as total from (select vec_id, cast(embedding as double[]) as embedding from embeddings)")
 def _(s, d):
     e = X.table(s, d, "embeddings").select("vec_id", S.decode_blob(S.encode_blob(F.col("embedding"))).alias("v"))
     return e.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + F.abs(x)), 3).alias("total"))
 
 
-@query("content_hash")
+#: FNV-1a over the bytes of a text, in 128-bit numbers.
+FNV = "list_reduce(list_transform(list_prepend(14695981039346656037::uhugeint, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1)::uhugeint[]), lambda x: x), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
+HASHED = "(case when {0} >= 9223372036854775808::uhugeint then '-' || lower(to_hex(cast(18446744073709551616::uhugeint - {0} as ubigint))) else lower(to_hex(cast({0} as ubigint))) end)"
+
+
+@query("content_hash", with_("chunks") + f", h as (select chunk_id, {FNV.format('lower(trim(content))')} as h from chunks) select chunk_id, {HASHED.format('h')} as hash from h")
 def _(s, d):
     return X.chunks(s, d).select("chunk_id", S.content_hash(F.col("content")).alias("hash"))
 
 
-@query("chunk_json_export", with_("chunks") + "select chunk_id, length(content) as chars, chunk_type, chunk_index + 1 as row_end from chunks")
+@query("ingest_manifest", with_("chunks", "docs") + f", h as (select doc_id, chunk_index, {FNV.format('lower(trim(content))')} as h from chunks), l as (select doc_id, list({HASHED.format('h')} order by chunk_index) as hashes from h group by doc_id) select id, status, chunk_count, size_bytes, coalesce(hashes, []) as hashes from docs left join l on doc_id = id")
+def _(s, d):
+    return S.manifest(X.documents(s, d), X.chunks(s, d))
+
+
+def exported(s, d):
+    """Chunks with all the columns of an export: pages and boxes by their place, parts of three with a row range."""
+    n = F.col("chunk_index")
+    box = F.array(F.struct(n.cast("int").alias("page"), F.lit(1.5).alias("x"), (n * 2).cast("double").alias("y"), F.lit(100.0).alias("width"), F.lit(40.0).alias("height")))
+    return X.chunks(s, d).select(
+        "chunk_id", "chunk_type", "parent_chunk_id", "section_id", F.when(n % 2 == 0, F.col("group_id")).alias("group_id"), "is_group_head", n.cast("int").alias("page_start"), (n + 1).cast("int").alias("page_end"),
+        T.token_estimate(F.col("content")).alias("token_count"), F.array("collection_id", "hierarchy_path").alias("hierarchy_path"), F.when(n % 2 == 1, box).alias("bbox"), F.when(n % 3 == 0, F.struct(n.alias("start"), (n + 3).alias("end"))).alias("row_range"), "content",
+    )
+
+
+EXPORTED = """x as (select *, case when chunk_index % 2 = 0 then group_id end as g, collection_id || ' > ' || hierarchy_path as path, greatest(1, cast(floor(len(regexp_split_to_array(content, '\\s+')) * 1.3) as integer)) as tokens from chunks)"""
+
+
+@query("chunk_json_export", with_("chunks") + f", {EXPORTED} select chunk_id, chunk_type, parent_chunk_id, section_id, g as group_id, is_group_head, cast(chunk_index as integer) as page_start, cast(chunk_index + 1 as integer) as page_end, tokens as token_count, path as hierarchy_path, case when chunk_index % 2 = 1 then 1 else 0 end as boxes, case when chunk_index % 2 = 1 then chunk_index * 2.0 end as box_y, case when chunk_index % 3 = 0 then chunk_index + 3 end as row_end, content from x")
+def _(s, d):
+    back = S.import_json(S.export_json(exported(s, d)))
+    got = back.withColumn("hierarchy_path", F.array_join("hierarchy_path", " > ")).withColumn("boxes", F.size("bbox")).withColumn("box_y", F.get("bbox", F.lit(0)).y).withColumn("row_end", F.col("row_range.end"))
+    return got.drop("bbox", "row_range")
+
+
+@query("chunk_csv_export", with_("chunks") + f""", {EXPORTED} select chunk_id as id, chunk_type as "chunkType", coalesce(parent_chunk_id, '') as "parentChunkId", section_id as "sectionId", coalesce(g, '') as "groupId", cast(is_group_head as varchar) as "isGroupHead", cast(chunk_index as varchar) as "pageStart", cast(chunk_index + 1 as varchar) as "pageEnd", cast(tokens as varchar) as "tokenCount", path as "hierarchyPath",
+  case when chunk_index % 2 = 1 then '[{{"page":' || chunk_index || ',"x":1.5,"y":' || chunk_index * 2 || '.0,"width":100.0,"height":40.0}}]' else '[]' end as "bboxJson", case when chunk_index % 3 = 0 then '{{"start":' || chunk_index || ',"end":' || chunk_index + 3 || '}}' else '' end as "rowRangeJson", content from x""")
+def _(s, d):
+    return S.export_csv(exported(s, d))
+
+
+@query("chunk_csv_roundtrip", with_("chunks") + f", {EXPORTED} select chunk_id, tokens as token_count, g as group_id, is_group_head, path as hierarchy_path, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as content from x where trim(content) <> ''")
 def _(s, d):
-    c = X.chunks(s, d).withColumn("token_count", F.lit(1)).select("chunk_id", F.to_json(F.struct("chunk_id", "content", "chunk_type", F.struct(F.col("chunk_index").alias("start"), (F.col("chunk_index") + 1).alias("end")).alias("row_range"))).alias("j"))
-    back = c.select(F.from_json("j", "chunk_id string, content string, chunk_type string, row_range struct<start:bigint,end:bigint>").alias("r"))
-    return back.select("r.chunk_id", F.length("r.content").cast("long").alias("chars"), "r.chunk_type", F.col("r.row_range.end").alias("row_end"))
+    folder = f"{shared_folder(s)}/chunks-{uuid.uuid4().hex}"
+    S.write_csv(exported(s, d), folder)
+    return S.read_csv(s, folder).withColumn("hierarchy_path", F.array_join("hierarchy_path", " > ")).withColumn("content", F.regexp_replace("content", "\r\n?", "\n"))
 
 
 @query("assign_chunk_ids", with_("lines") + "select doc_id, line, row_number() over (partition by doc_id order by line_no) - 1 as chunk_index, doc_id || '_' || (row_number() over (partition by doc_id order by line_no) - 1) as chunk_id from lines where line <> ''")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
+from corvida.sources.folders import shared_folder
 from corvida.streaming import streams as S
 
 Q, O = {}, {}
@@ -24,11 +24,7 @@ def query(name: str, sql: str):
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; in local mode a temporary one will do."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='spark-streams-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
