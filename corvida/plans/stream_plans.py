@@ -42,12 +42,23 @@ def _last(counts: DataFrame, path: str) -> DataFrame:
     return counts.sparkSession.read.schema(counts.schema).parquet(f"{path}/table")
 
 
-@query("stream_ingest", with_("chunks") + "select doc_id, chunk_id, content from chunks")
-def _(s, d):
+def ingested(s, d):
+    """The folder of an ingestion whose every third document has lost its text."""
     path = folder(s)
-    chunk = lambda b: X.blocks(b).select("doc_id", "chunk_id", "content")
-    S.ingest(stream(s, d, "documents"), chunk, f"{path}/chunks", f"{path}/state").awaitTermination()
-    return s.read.parquet(f"{path}/chunks").select("doc_id", "chunk_id", "content")
+    docs = stream(s, d, "documents").withColumn("text", F.when(F.col("doc_id") % 3 > 0, F.col("text")))
+    chunk = lambda b: X.blocks(b.where("text is not null")).select("doc_id", "chunk_id", "content")
+    S.ingest(docs, chunk, path, f"{path}/state").awaitTermination()
+    return path
+
+
+@query("stream_ingest", with_("chunks") + "select doc_id, chunk_id, content from chunks where doc_id % 3 > 0")
+def _(s, d):
+    return s.read.parquet(f"{ingested(s, d)}/chunks").select("doc_id", "chunk_id", "content")
+
+
+@query("stream_ingest_status", with_("docs") + "select id as doc_id, case when id % 3 > 0 then 'READY' else 'FAILED' end as status, case when id % 3 > 0 then chunk_count else 0 end as chunks from docs")
+def _(s, d):
+    return S.ingest_status(s, ingested(s, d))
 
 
 @query("stream_collection_counts", "select source as collection_id, count(*) as documents, cast(sum((len(string_split(text, chr(10))) + 3) // 4) as bigint) as chunks from documents group by source")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvida.operators.chat import MARKS
@@ -18,15 +18,31 @@ def session_activity(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.count("*").alias("message_count"), F.max("created_at").alias("updated_at"))
 
 
-def ingest(documents: DataFrame, chunk, path: str, checkpoint: str):
-    """Writes chunk(batch) of every micro-batch under its own batch folder, so that a repeated batch replaces itself."""
+def ingest(documents: DataFrame, chunk, path: str, checkpoint: str, id_col: str = "doc_id"):
+    """Chunks of a document stream under path/chunks and the documents' states under path/status.
+
+    Every micro-batch marks its documents PROCESSING, writes chunk(batch), then marks each READY with its number of chunks
+    or FAILED if it has none. Each of these is a table of the batch's own, which a repeated batch replaces, so a batch that
+    broke off leaves its documents PROCESSING until it is run again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        chunk(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        table = lambda name, step: f"{path}/{name}/batch={number}" + (f"/step={step}" if name == "status" else "")
+        ids = batch.select(F.col(id_col).alias("doc_id")).distinct()
+        ids.select("doc_id", F.lit("PROCESSING").alias("status"), F.lit(0).cast("long").alias("chunks")).write.mode("overwrite").parquet(table("status", 0))
+        chunk(batch).write.mode("overwrite").parquet(table("chunks", 0))
+        made = batch.sparkSession.read.parquet(table("chunks", 0)).groupBy("doc_id").agg(F.count("*").alias("n"))
+        done = ids.join(made, "doc_id", "left").select("doc_id", F.when(F.col("n") > 0, "READY").otherwise("FAILED").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("chunks"))
+        done.write.mode("overwrite").parquet(table("status", 1))
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_status(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, status, chunks): where each document of ingest() stands, by its last batch and step."""
+    last = F.struct("batch", "step")
+    return spark.read.parquet(f"{path}/status").groupBy("doc_id").agg(F.max_by("status", last).alias("status"), F.max_by("chunks", last).alias("chunks"))
+
+
 #: Columns of split fragments, and of the state kept between them: the text held back and the mark that is open.
 PARTS = "message_id string, part_no long, is_reasoning boolean, text string"
 STATE = "held string, open int, parts long"
