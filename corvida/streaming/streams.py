@@ -96,7 +96,11 @@ def thinking_split(fragments: DataFrame) -> DataFrame:
 def eval_progress(traces: DataFrame, score, path: str, checkpoint: str):
     """Traces of a stream to a running summary: every micro-batch writes score(batch), rows (query_id, recall, mrr), under its
     own folder, so that a repeated batch replaces itself; `eval_summary` reads them all."""
-    return ingest(traces, score, path, checkpoint)
+
+    def write(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return traces.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def eval_summary(spark, path: str) -> DataFrame:
