@@ -25,17 +25,18 @@ def lexical_candidates(questions: DataFrame, chunks: DataFrame, k: int = 5) -> D
     first 6k in document order.
 
     Tokens meet terms by equality: the vocabulary is exploded into its prefixes of the terms' lengths. The first 6k chunks
-    of a question are among the first 6k of each of its tokens, so postings are cut to those per token, a cut that runs
-    before the shuffle too; no token's or question's list is ever gathered, however frequent the word.
+    of a question are among the first 6k of each of its terms, and those among the first 6k of each of the term's tokens.
+    So postings are cut per token, then per term, whoever asks for it, then per question; every cut runs before its
+    shuffle too, and no list is ever gathered, however frequent the word.
     """
-    first = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("doc_id", "chunk_index", "chunk_id")) <= 6 * k
-    terms = questions.select("query_id", F.explode(F.filter(T.query_terms(F.col("query")), lambda w: ~w.rlike("[-&]"))).alias("term"))
+    first = lambda df, by: df.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy("doc_id", "chunk_index", "chunk_id"))).where(F.col("_at") <= 6 * k).drop("_at")
+    asked = questions.select("query_id", F.explode(F.filter(T.query_terms(F.col("query")), lambda w: ~w.rlike("[-&]"))).alias("term"))
     post = postings(chunks)
     prefixes = post.select("token").distinct().select("token", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("token"), F.lit(2))), lambda n: F.substring("token", F.lit(1), n))).alias("term"))
-    wanted = terms.join(prefixes, "term").select("query_id", "token").distinct()
-    heads = post.join(wanted.select("token").distinct(), "token", "left_semi").withColumn("_kept", first("token")).where("_kept").drop("_kept")
-    hits = wanted.join(heads, "token").select("query_id", "chunk_id", "doc_id", "chunk_index").distinct()
-    return hits.withColumn("_kept", first("query_id")).where("_kept").drop("_kept")
+    wanted = prefixes.join(asked.select("term").distinct(), "term", "left_semi")
+    by_token = first(post.join(wanted.select("token").distinct(), "token", "left_semi"), "token")
+    by_term = first(wanted.join(by_token, "token").select("term", "chunk_id", "doc_id", "chunk_index").distinct(), "term")
+    return first(asked.join(by_term, "term").select("query_id", "chunk_id", "doc_id", "chunk_index").distinct(), "query_id")
 
 
 def lexical_score(query: Column, content: Column, path: Column, file: Column, kind: Column, group: Column) -> Column:

@@ -8,6 +8,7 @@ from corvida.functions import text as T
 from corvida.operators import retrieve as R
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
+from corvida.sources.folders import written
 
 Q, O = {}, {}
 
@@ -196,7 +197,7 @@ HITS = f"{SIDES}, hits as (select h.query_id, h.chunk_id, h.score, c.chunk_index
 
 
 def hits(s, d):
-    return R.hybrid(*sides(s, d)).select("query_id", "chunk_id", "score")
+    return written(R.hybrid(*sides(s, d)).select("query_id", "chunk_id", "score"), "hits")
 
 
 GROUPS = HITS + """, m as (select distinct h.query_id, h.group_id, c.chunk_id, c.chunk_index, c.is_group_head from hits h join chunks c using (group_id) where c.is_group_head or abs(c.chunk_index - h.chunk_index) <= 1),
