@@ -24,37 +24,47 @@ def lexical_candidates(questions: DataFrame, chunks: DataFrame, k: int = 5) -> D
     """(query_id, chunk_id, doc_id, chunk_index): chunks with a token that starts with any plain term of the question, the
     first 6k in document order.
 
-    Tokens meet terms by equality: the vocabulary is exploded into its prefixes of the terms' lengths. The first 6k chunks
-    of a question are among the first 6k of each of its terms, and those among the first 6k of each of the term's tokens.
-    So postings are cut per token, then per term, whoever asks for it, then per question; every cut runs before its
-    shuffle too, and no list is ever gathered, however frequent the word.
+    The first 6k chunks of a question are among the first 6k of each of its terms, and those among the first 6k of each of
+    the term's tokens. So the texts are read once, postings are cut per token, then per term, whoever asks for it, then per
+    question; every cut runs before its shuffle too. A token's row carries its first 6k chunks at most, however frequent
+    the word, and meets terms by equality of its prefixes.
     """
-    first = lambda df, by: df.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy("doc_id", "chunk_index", "chunk_id"))).where(F.col("_at") <= 6 * k).drop("_at")
+    most = 6 * k
+    first = lambda df, by: df.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy("doc_id", "chunk_index", "chunk_id"))).where(F.col("_at") <= most).drop("_at")
     asked = questions.select("query_id", F.explode(F.filter(T.query_terms(F.col("query")), lambda w: ~w.rlike("[-&]"))).alias("term"))
-    post = postings(chunks)
-    prefixes = post.select("token").distinct().select("token", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("token"), F.lit(2))), lambda n: F.substring("token", F.lit(1), n))).alias("term"))
-    wanted = prefixes.join(asked.select("term").distinct(), "term", "left_semi")
-    by_token = first(post.join(wanted.select("token").distinct(), "token", "left_semi"), "token")
-    by_term = first(wanted.join(by_token, "token").select("term", "chunk_id", "doc_id", "chunk_index").distinct(), "term")
+    by_token = first(postings(chunks), "token").groupBy("token").agg(F.collect_list(F.struct("chunk_id", "doc_id", "chunk_index")).alias("places"))
+    prefixes = F.transform(F.sequence(F.lit(2), F.greatest(F.length("token"), F.lit(2))), lambda n: F.substring("token", F.lit(1), n))
+    offered = by_token.select(F.explode(prefixes).alias("term"), "places").join(asked.select("term").distinct(), "term", "left_semi")
+    by_term = first(offered.select("term", F.inline("places")).distinct(), "term")
     return first(asked.join(by_term, "term").select("query_id", "chunk_id", "doc_id", "chunk_index").distinct(), "query_id")
 
 
-def lexical_score(query: Column, content: Column, path: Column, file: Column, kind: Column, group: Column) -> Column:
-    terms, low = T.query_terms(query), F.lower(content)
-    count = lambda test: F.size(F.filter(terms, test)).cast("double")
-    score = 3 * count(lambda t: F.contains(low, t)) + 1.5 * count(lambda t: F.contains(F.lower(path), t)) + 0.5 * count(lambda t: F.contains(F.lower(file), t))
-    score += 8 * F.size(F.filter(T.query_phrases(query), lambda p: F.contains(low, p)))
+def asked_words(query: Column) -> list[Column]:
+    """What the lexical score looks for: terms, phrases and numbers of a question."""
+    return [T.query_terms(query).alias("terms"), T.query_phrases(query).alias("phrases"), T.query_numbers(F.lower(query)).alias("numbers")]
+
+
+def lexical_score(low: Column, path: Column, file: Column, kind: Column, group: Column) -> Column:
+    """Score of a chunk, by its content in lower case, for the question whose `asked_words` stand beside it."""
+    count = lambda test, of="terms": F.size(F.filter(F.col(of), test)).cast("double")
+    score = 3 * count(lambda t: F.contains(low, t)) + 1.5 * count(lambda t: F.contains(path, t)) + 0.5 * count(lambda t: F.contains(file, t))
+    score += 8 * count(lambda p: F.contains(low, p), "phrases")
     score += F.when(F.startswith(low, F.lit("table:")) | F.contains(low, F.lit("\ntable:")), 1 + 2.5 * count(lambda t: F.contains(low, F.concat(t, F.lit(":"))))).otherwise(0)
     score += F.when(kind.isin("TABLE", "TABLE_PART"), 1 + 2.5 * count(lambda t: F.contains(low, F.concat(t, F.lit(":"))) | F.contains(low, F.concat(F.lit("| "), t)))).otherwise(0)
-    score += 4 * F.size(F.filter(T.query_numbers(F.lower(query)), lambda n: F.contains(low, n)))
+    score += 4 * count(lambda n: F.contains(low, n), "numbers")
     return score + F.when(group.isNotNull(), 0.5).otherwise(0)
 
 
 def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, chunk_id, lexical_score, lexical_rank, score): candidates with a positive score, best first, equal ones
-    in document order."""
-    found = lexical_candidates(questions, chunks, k).join(chunks.drop("doc_id", "chunk_index"), "chunk_id").join(questions, "query_id")
-    scored = found.select("query_id", "chunk_id", "doc_id", "chunk_index", lexical_score(F.col("query"), F.col("content"), F.col("hierarchy_path"), F.col("file_name"), F.col("chunk_type"), F.col("group_id")).alias("lexical_score"))
+    in document order. A question's words are taken once, before it meets its candidates, a chunk's text is lower-cased
+    once for each."""
+    asked = questions.select("query_id", *asked_words(F.col("query")))
+    lower = lambda c: F.lower(c).alias(c)
+    texts = chunks.select("chunk_id", lower("content"), lower("hierarchy_path"), lower("file_name"), "chunk_type", "group_id")
+    found = lexical_candidates(questions, chunks, k).join(texts, "chunk_id").join(asked, "query_id")
+    score = lexical_score(*[F.col(c) for c in ("content", "hierarchy_path", "file_name", "chunk_type", "group_id")])
+    scored = found.select("query_id", "chunk_id", "doc_id", "chunk_index", score.alias("lexical_score"))
     return ranked(scored.where("lexical_score > 0"), "lexical_score", k, ("doc_id", "chunk_index")).select("query_id", "chunk_id", "lexical_score", F.col("rank").alias("lexical_rank"), (1 / (RRF_K + F.col("rank"))).alias("score"))
 
 
