@@ -13,13 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work on their texts. A table whose files give fewer splits than there are cores (one row group is
+    one task, however long) is dealt over the cores; what moves is a split a core at most. A larger one is read as it lies."""
+    d, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     return d.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(table(spark, sf_dir, "documents"))
+    return blocks(texts(spark, sf_dir))
 
 
 def blocks(documents: DataFrame) -> DataFrame:
@@ -62,7 +69,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), key("text").alias("key"))
     windows = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))
     keys = F.element_at(F.transform(F.array(F.split("text", r"\s+")), windows), 1)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(keys)).alias("key"))
+    d = texts(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(keys)).alias("key"))
     wanted = b.select("key").distinct()
     d = d.join(wanted, "key", "left_semi")
     return d.join(b, "key").where(F.contains("text", "passage")).select("query_id", "doc_id").distinct()
