@@ -26,9 +26,9 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("trace_chunks", with_("chunks", "lines") + f", {PAIRS} select query_id, rank, chunk_id, left(content, 600) as content_preview from pairs where rank < 5")
+@query("trace_chunks", with_("chunks", "lines") + f", {PAIRS} select query_id, rank, chunk_id, left(content, 600) as content_preview from pairs")
 def _(s, d):
-    return judging.trace_chunks(pairs(s, d).where("rank < 5").select("query_id", "rank", "chunk_id", "content")).drop("content_hash")
+    return judging.trace_chunks(pairs(s, d).select("query_id", "rank", "chunk_id", "content")).drop("content_hash")
 
 
 @query("trace_rollup", with_("chunks") + f""", {SIDES}, t as (select h.*, case when retrieval_source in ('hybrid', 'lexical') then array_to_string(list_transform(list_filter(terms, lambda t: not regexp_matches(t, '[-&]')), lambda t: t || '*'), ' OR ') end as expression from h join terms using (query_id) where rank <= 5),
@@ -48,7 +48,7 @@ def _(s, d):
     return t.select("query_id", F.array_join(judging.evidence_order(F.col("final"), F.col("deduped")), ",").alias("evidence"))
 
 
-PROMPTS = f"""{PAIRS}, e as (select query_id, string_agg('[' || chunk_id || ' | ' || file_name || ']' || chr(10) || left(content, 600), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context from pairs where rank between 1 and 2 group by query_id),
+PROMPTS = f"""{PAIRS}, e as (select query_id, string_agg('[' || chunk_id || ' | ' || file_name || ']' || chr(10) || left(content, 600), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context from pairs group by query_id),
 sm as (select doc_id as query_id, line as question, 'gold ' || doc_id as gold_answer, doc_id % 5 = 0 as expected_refusal, 'answer ' || doc_id as answer from lines where line_no = 0),
 prompts as (select query_id, 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Gold answer:' || chr(10) || gold_answer || chr(10) || chr(10) || 'Expected refusal: ' || expected_refusal || chr(10) || chr(10)
   || 'Retrieved context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Answer:' || chr(10) || answer as prompt from sm left join e using (query_id))"""
@@ -57,7 +57,7 @@ prompts as (select query_id, 'Question:' || chr(10) || question || chr(10) || ch
 def prompts(s, d):
     i = F.col("doc_id").cast("string")
     samples = X.lines(s, d).where("line_no = 0").select(F.col("doc_id").alias("query_id"), F.col("line").alias("question"), F.concat(F.lit("gold "), i).alias("gold_answer"), (F.col("doc_id") % 5 == 0).alias("expected_refusal"), F.concat(F.lit("answer "), i).alias("answer"))
-    evidence = pairs(s, d).where("rank between 1 and 2").select("query_id", "rank", "chunk_id", "file_name", F.substring("content", 1, 600).alias("preview"))
+    evidence = pairs(s, d).select("query_id", "rank", "chunk_id", "file_name", F.substring("content", 1, 600).alias("preview"))
     return judging.judge_prompts(samples, evidence)
 
 
@@ -75,27 +75,33 @@ def _(s, d):
     return judging.judge_cache_misses(p, p.where("query_id % 3 = 0").select(judging.judge_key(F.col("prompt")).alias("key")))
 
 
-#: Responses of a judge: good ones, one without a field, one out of range, one with a blank rationale, one without JSON.
-RAW = """raw as (select doc_id as query_id, case doc_id % 5 when 0 then 'no object' when 1 then '{"faithfulness": 0.5, "correctness": 1, "citationCorrectness": 0, "rationale": "r"}'
-  when 2 then 'x {"faithfulness": 0.5, "correctness": 1.5, "citationCorrectness": 0, "refusalCorrectness": 1, "rationale": "r"}'
+#: Responses of a judge with a document's whole text for a rationale: good ones, one without a field, one out of range, one
+#: with a blank rationale, one without JSON.
+RAW = """raw as (select doc_id as query_id, case doc_id % 5 when 0 then translate(text, '{}', '')
+  when 1 then '{"faithfulness": 0.5, "correctness": 1, "citationCorrectness": 0, "rationale": ' || to_json(text) || '}'
+  when 2 then 'x {"faithfulness": 0.5, "correctness": 1.5, "citationCorrectness": 0, "refusalCorrectness": 1, "rationale": ' || to_json(text) || '}'
   when 3 then '{"faithfulness": 0.5, "correctness": 1, "citationCorrectness": 0, "refusalCorrectness": 1, "rationale": " "}'
-  else 'Here: {"faithfulness": 0.' || doc_id % 10 || ', "correctness": 0.25, "citationCorrectness": 1, "refusalCorrectness": 0, "rationale": "doc ' || doc_id || '"} done' end as raw from documents)"""
+  else 'Here: {"faithfulness": 0.' || n_chars % 10 || ', "correctness": 0.25, "citationCorrectness": 1, "refusalCorrectness": 0, "rationale": ' || to_json(text) || '} done' end as raw from documents)"""
+
+
+def json_text(name: str):
+    """`"name":"…"}`: the end of an object whose last field holds the text."""
+    return F.expr(f"substring(to_json(named_struct('{name}', text)), 2)")
 
 
 def raw(s, d):
     i = F.col("doc_id")
-    good = F.concat(F.lit('Here: {"faithfulness": 0.'), (i % 10).cast("string"), F.lit(', "correctness": 0.25, "citationCorrectness": 1, "refusalCorrectness": 0, "rationale": "doc '), i.cast("string"), F.lit('"} done'))
-    text = (
-        F.when(i % 5 == 0, "no object").when(i % 5 == 1, '{"faithfulness": 0.5, "correctness": 1, "citationCorrectness": 0, "rationale": "r"}')
-        .when(i % 5 == 2, 'x {"faithfulness": 0.5, "correctness": 1.5, "citationCorrectness": 0, "refusalCorrectness": 1, "rationale": "r"}')
-        .when(i % 5 == 3, '{"faithfulness": 0.5, "correctness": 1, "citationCorrectness": 0, "refusalCorrectness": 1, "rationale": " "}').otherwise(good)
-    )
-    return X.table(s, d, "documents").select(i.alias("query_id"), text.alias("raw"))
+    good = F.concat(F.lit('Here: {"faithfulness": 0.'), (F.col("n_chars") % 10).cast("string"), F.lit(', "correctness": 0.25, "citationCorrectness": 1, "refusalCorrectness": 0, '), json_text("rationale"), F.lit(" done"))
+    lacking = F.concat(F.lit('{"faithfulness": 0.5, "correctness": 1, "citationCorrectness": 0, '), json_text("rationale"))
+    beyond = F.concat(F.lit('x {"faithfulness": 0.5, "correctness": 1.5, "citationCorrectness": 0, "refusalCorrectness": 1, '), json_text("rationale"))
+    blank = F.lit('{"faithfulness": 0.5, "correctness": 1, "citationCorrectness": 0, "refusalCorrectness": 1, "rationale": " "}')
+    text = F.when(i % 5 == 0, F.translate("text", "{}", "")).when(i % 5 == 1, lacking).when(i % 5 == 2, beyond).when(i % 5 == 3, blank).otherwise(good)
+    return X.texts(s, d).select(i.alias("query_id"), text.alias("raw"))
 
 
 NAMES = ", ".join(f"try_cast(j->>'{x}' as double) as {x}" for x in judging.SCORES)
 VALID = f"""{RAW}, j as (select query_id, try_cast(nullif(regexp_extract(raw, '(?s)\\{{.*\\}}'), '') as json) as j from raw), f as (select query_id, {NAMES}, j->>'rationale' as rationale from j),
-valid as (select * from f where {' and '.join(f'{x} between 0 and 1' for x in judging.SCORES)} and trim(rationale) <> '')"""
+valid as (select * from f where {' and '.join(f'{x} between 0 and 1' for x in judging.SCORES)} and regexp_replace(rationale, '^\\s+|\\s+$', '', 'g') <> '')"""
 
 
 @query("judge_scores_valid", f"with {VALID} select * from valid")
@@ -128,12 +134,11 @@ def _(s, d):
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat("text", end).alias("q")).where(judging.is_natural(F.col("q"))).select("query_id")
 
 
-@query("generated_item_parse", "select doc_id, case doc_id % 3 when 1 then 'cost of 5% ' else 'what ' end || doc_id as question, 'a' || doc_id as gold_answer, '' as rationale, case doc_id % 3 when 0 then 'hard' else 'medium' end as difficulty from documents where doc_id % 3 <> 2")
+@query("generated_item_parse", "select doc_id, case doc_id % 3 when 1 then 'cost of 5% ' else '' end || text as question, source as gold_answer, '' as rationale, case doc_id % 3 when 0 then 'hard' else 'medium' end as difficulty from documents where doc_id % 3 <> 2 and text is not null and source is not null")
 def _(s, d):
-    i = F.col("doc_id").cast("string")
-    wrong = F.concat(F.lit('Item: {"question": "cost of 5\\% '), i, F.lit('", "goldAnswer": "a'), i, F.lit('"}'))
-    good = F.concat(F.lit('{"question": "what '), i, F.lit('", "goldAnswer": "a'), i, F.lit('", "difficulty": "hard", "unknown": 1}'))
-    r = X.table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, wrong).otherwise("{broken").alias("raw"))
+    good = F.expr("to_json(named_struct('question', text, 'goldAnswer', source, 'difficulty', 'hard', 'unknown', 1))")
+    wrong = F.concat(F.lit('Item: {"question": "cost of 5\\% '), F.expr("substring(to_json(named_struct('question', text)), 14, length(to_json(named_struct('question', text))) - 14)"), F.lit(", "), F.expr("substring(to_json(named_struct('goldAnswer', source)), 2)"))
+    r = X.texts(s, d).where("text is not null").select("doc_id", F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, wrong).otherwise(F.concat(F.lit("{broken "), F.translate("text", "{}", ""))).alias("raw"))
     return r.select("doc_id", judging.generated_item(F.col("raw")).alias("g")).where("g is not null").select("doc_id", "g.*")
 
 

@@ -71,14 +71,14 @@ def _(s, d):
     return context.budgeted_chunks(questions, hits.drop("query"), INSTRUCTIONS, 1000, 200).select("query_id", "chunk_id", "budget")
 
 
-@query("context_string", with_("chunks", "lines") + f", {PAIRS} select query_id, string_agg('[Source: ' || file_name || ', relevance: ' || printf('%.2f', score) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context from pairs where rank < 3 group by query_id")
+@query("context_string", with_("chunks", "lines") + f", {PAIRS} select query_id, string_agg('[Source: ' || file_name || ', relevance: ' || printf('%.2f', score) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context from pairs group by query_id")
 def _(s, d):
-    return context.context_strings(pairs(s, d).where("rank < 3"))
+    return context.context_strings(pairs(s, d))
 
 
-@query("citations", with_("chunks", "lines") + f", {PAIRS} select query_id, count(*) as n, min(file_name) as title, cast(sum(length(left(content, 200))) as bigint) as chars from pairs where rank < 3 group by query_id")
+@query("citations", with_("chunks", "lines") + f", {PAIRS} select query_id, count(*) as n, min(file_name) as title, cast(sum(length(left(content, 200))) as bigint) as chars from pairs group by query_id")
 def _(s, d):
-    c = context.citations(pairs(s, d).where("rank < 3")).select("query_id", context.parse_citations(F.col("sources")).alias("s"))
+    c = context.citations(pairs(s, d)).select("query_id", context.parse_citations(F.col("sources")).alias("s"))
     return c.select("query_id", F.size("s").cast("long").alias("n"), F.element_at("s", 1).title.alias("title"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x.snippet)).alias("chars"))
 
 
