@@ -71,7 +71,7 @@ def _(s, d):
     return context.budgeted_chunks(questions, hits.drop("query"), INSTRUCTIONS, 1000, 200).select("query_id", "chunk_id", "budget")
 
 
-@query("context_string", with_("chunks", "lines") + f", {PAIRS} select query_id, string_agg('[Source: ' || file_name || ', relevance: ' || printf('%.2f', score) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context from pairs group by query_id")
+@query("context_string", with_("chunks", "lines") + f", {PAIRS} select query_id, string_agg('[Source: ' || file_name || ', relevance: ' || printf('%.2f', round(score, 2)) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context from pairs group by query_id")
 def _(s, d):
     return context.context_strings(pairs(s, d))
 
