@@ -1,7 +1,7 @@
 """Answers from table rows: requested columns, lookups, sums, facts in front of the evidence.
 
-Rows are those of `tables.rank_rows`: (query_id, place, chunk_id, file_name, row_no, row_score, cells), a handful for each
-question, so that a question's rows may meet in one group.
+Rows are those of `tables.rank_rows`: (query_id, place, chunk_id, file_name, row_no, row_score, headers, cells), a handful
+for each question, so that a question's rows may meet in one group. Rows that score 0 give facts alone.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvida.functions import text as T
 from corvida.functions.questions import first_of_each
-from corvida.operators.tables import normalized, table_terms
+from corvida.operators.tables import extremes, facts, normalized, table_terms
 
 # The wording around facts, and the score that puts them first.
 VERIFIED = "VERIFIED ANSWER extracted from table data: "
@@ -23,11 +23,12 @@ FIRST_SCORE = 3.4028234663852886e38
 
 
 def _by_question(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "file_name", "row_score", "cells"))).alias("rows"))
+    return rows.where("row_score > 0").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "file_name", "row_score", "headers", "cells"))).alias("rows"))
 
 
 def _labels(query: Column, rows: Column) -> Column:
-    labels = F.array_distinct(F.flatten(F.transform(rows, lambda r: F.transform(r.cells, lambda c: c.label))))
+    """Labels of each row's cells, then its table's headers, blank cells' ones too; and each `col n`."""
+    labels = F.array_distinct(F.flatten(F.transform(rows, lambda r: F.concat(F.transform(r.cells, lambda c: c.label), r.headers))))
     named = F.filter(labels, lambda x: (F.length(normalized(x)) > 1) & F.contains(normalized(query), normalized(x)))
     numbers = F.regexp_extract_all(F.lower(query), F.lit(r"\bcol(?:umn)?\s*(\d+)\b"), F.lit(1))
     return first_of_each(F.concat(named, F.transform(numbers, lambda n: F.concat(F.lit("Col "), n))), normalized)
@@ -53,13 +54,14 @@ def sums(questions: DataFrame, rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, answer) `a + b = c` over numeric cells of rows that share a term with the question (in chunk text, label
     or value); each label and value of a chunk once; only where 2 to 8 of them are left and the question asks for a sum."""
     q = F.lower("query")
-    asked = questions.where(F.contains(q, F.lit("sum")) | F.contains(q, F.lit("combined")) | F.contains(q, F.lit("total of")))
-    got = rows.join(asked, "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
-    row_text = F.concat_ws(" ", "file_name", "content", F.array_join(F.transform("cells", lambda c: F.concat_ws(" ", c.label, c.value)), " "))
-    got = got.withColumn("_found", F.exists(table_terms(F.col("query")), lambda t: F.contains(normalized(row_text), t)))
-    got = got.select("query_id", "place", "chunk_id", "file_name", "_found", table_terms(F.col("query")).alias("_t"), F.posexplode("cells").alias("at", "c"))
-    cell = normalized(F.concat_ws(" ", "c.label", "c.value"))
-    got = got.withColumn("number", T.parse_number(F.col("c.value"))).where(F.col("number").isNotNull() & (F.col("_found") | F.exists("_t", lambda t: F.contains(cell, t))))
+    asked = questions.where(F.contains(q, F.lit("sum")) | F.contains(q, F.lit("combined")) | F.contains(q, F.lit("total of"))).select("query_id", table_terms(F.col("query")).alias("terms"))
+    texts = chunks.select("chunk_id", normalized(F.concat_ws(" ", "file_name", "content")).alias("text"))
+    used = rows.where("row_score > 0").join(asked, "query_id")
+    found = used.select("query_id", "chunk_id", "terms").distinct().join(texts, "chunk_id").select("query_id", "chunk_id", F.exists("terms", lambda t: F.contains("text", t)).alias("found"))
+    got = used.join(found, ["query_id", "chunk_id"])
+    own = F.transform("cells", lambda c: normalized(F.concat_ws(" ", c.label, c.value)))
+    got = got.withColumn("found", F.col("found") | F.exists(own, lambda c: F.exists("terms", lambda t: F.contains(c, t))))
+    got = got.where("found").select("query_id", "place", "chunk_id", "file_name", F.posexplode("cells").alias("at", "c")).withColumn("number", T.parse_number(F.col("c.value"))).where("number is not null")
     once = got.groupBy("query_id", "chunk_id", F.col("c.label").alias("label"), F.col("c.value").alias("value")).agg(F.min(F.struct("place", "at", "file_name", "number")).alias("m"))
     all_ = once.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("m.place", "m.at", "m.number", "m.file_name", "value"))).alias("l")).where("n between 2 and 8")
     total = F.aggregate("l", F.lit(0.0), lambda a, x: a + x.number)
@@ -79,11 +81,12 @@ def inject_facts(hits: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def table_answers(questions: DataFrame, rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, facts, answer, confidence) of questions with rows: a calculation, else a sure lookup (HIGH), else facts
-    alone (MEDIUM)."""
-    from corvida.operators.tables import extremes, facts
-
-    computed = extremes(rows, questions).unionByName(sums(questions, rows, chunks)).groupBy("query_id").agg(F.min("answer").alias("computed"))
-    looked = lookup(questions, rows).where("confident").select("query_id", F.col("answer").alias("looked"))
-    got = facts(rows).join(computed, "query_id", "left").join(looked, "query_id", "left").withColumn("answer", F.coalesce("computed", "looked"))
+    """(query_id, facts, answer, confidence) of table questions with rows: an extreme, else a sum, else a sure lookup (HIGH),
+    else facts alone (MEDIUM), those of the first rows where none shares a term with the question. Others have no row."""
+    asked = questions.where(T.is_table_question(F.col("query")))
+    answered = [t.select("query_id", F.col("answer").alias(name)) for t, name in ((extremes(rows, asked), "extreme"), (sums(asked, rows, chunks), "total"), (lookup(asked, rows).where("confident"), "looked"))]
+    got = facts(rows).join(asked.select("query_id"), "query_id", "left_semi")
+    for part in answered:
+        got = got.join(part, "query_id", "left")
+    got = got.withColumn("answer", F.coalesce("extreme", "total", "looked"))
     return got.select("query_id", "facts", "answer", F.when(F.col("answer").isNotNull(), "HIGH").otherwise("MEDIUM").alias("confidence"))

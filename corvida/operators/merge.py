@@ -1,15 +1,14 @@
-"""Merges of retrieval results: by mode, after another try, with supplements, as tool answers; and search by clusters."""
+"""Merges of retrieval results: by mode, after another try, with supplements, as tool answers."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvida.operators import retrieve as R
+from corvida.sources.folders import written
 
 HIT = ["query_id", "chunk_id", "rank", "score"]
 
@@ -21,19 +20,31 @@ def by_mode(modes: DataFrame, vector: DataFrame, keyword: DataFrame, hybrid: Dat
     for mode, side in (("VECTOR", vector), ("BM25", keyword), ("HYBRID", hybrid)):
         part = side.select(*HIT).join(modes.where(F.col("mode") == mode).select("query_id"), "query_id", "left_semi")
         got = part if got is None else got.unionByName(part)
-    return got if chunks is None else R.expand_sections(R.expand_groups(got, chunks), chunks)
+    return got if chunks is None else expanded(got, chunks)
 
 
-def requery(hits: DataFrame, attempts: DataFrame, actions: DataFrame, most: int = 2) -> DataFrame:
-    """hits and attempts (query_id, attempt 1, 2, …, chunk_id, rank, score); actions (query_id, attempt, action) labels the
-    set of each attempt, 0 being hits. While a set is labelled REQUERY the next attempt replaces it; an empty one ends
-    the search and the old set stays."""
-    found = attempts.where(F.col("attempt") <= most).groupBy("query_id").agg(F.collect_set("attempt").alias("found"))
-    again = actions.where("action = 'REQUERY'").groupBy("query_id").agg(F.collect_set("attempt").alias("again"))
-    missing = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: ~(F.array_contains("found", n) & F.array_contains("again", n - 1)))
-    last = found.join(again, "query_id").select("query_id", (F.coalesce(F.array_min(missing), F.lit(most + 1)) - 1).alias("last"))
-    every = hits.select(*HIT).withColumn("attempt", F.lit(0)).unionByName(attempts.select(*HIT, "attempt"))
-    return every.join(last, "query_id", "left").where(F.col("attempt") == F.coalesce("last", F.lit(0))).drop("last")
+def expanded(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits with the neighbours of their groups, then those of their sections."""
+    return R.expand_sections(R.expand_groups(hits, chunks), chunks)
+
+
+def requery(search: Callable[[DataFrame], DataFrame], tries: DataFrame, most: int = 2) -> DataFrame:
+    """Hits of an iterated search. tries (query_id, attempt, query, action): a question's text at attempt 0 and its
+    rephrasings, and the label of what each attempt found. `search` takes (query_id, query) and gives HIT.
+
+    While a set is labelled REQUERY and there is a rephrasing, the next attempt is searched for, by these questions alone,
+    and replaces it; one that finds nothing ends the search and the old set stays. Each attempt's rows are written, so
+    that the next one's search doesn't run those before it again.
+    """
+    ask = tries.where("attempt = 0")
+    hits = written(search(ask.select("query_id", "query")).select(*HIT), "hits")
+    open_ = ask.where("action = 'REQUERY'").select("query_id")
+    for attempt in range(1, most + 1):
+        ask = tries.where(F.col("attempt") == attempt).join(open_, "query_id", "left_semi")
+        found = written(search(ask.select("query_id", "query")).select(*HIT), "hits")
+        hits = hits.join(found, "query_id", "left_anti").unionByName(found)
+        open_ = ask.where("action = 'REQUERY'").select("query_id").join(found, "query_id", "left_semi")
+    return hits
 
 
 def supplement(hits: DataFrame, extra: DataFrame, actions: DataFrame, k: int = 5) -> DataFrame:
@@ -63,44 +74,3 @@ def search_results(questions: DataFrame, hits: DataFrame) -> DataFrame:
     passage = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("file_name"), F.lit(" ("), F.format_string("%.3f", F.col("score").cast("double")), F.lit(")\n"), F.col("content"))
     per = told.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", passage.alias("p")))).alias("l"))
     return questions.select("query_id").join(per, "query_id", "left").select("query_id", F.when(F.col("n").isNull(), "no_results").otherwise("success").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("result_count"), F.coalesce(F.array_join(F.transform("l", lambda x: x.p), "\n\n"), F.lit("")).alias("passages"))
-
-
-def ann_topk(questions: DataFrame, vectors: DataFrame, k: int = 5, per_cell: int = 1024, probes: float = 0.15, sample: int = 100_000, seed: int = 7) -> DataFrame:
-    """As `retrieve.vector_topk` over the cells nearest to a question, the share `probes` of them and four at least.
-
-    Cells are those of k-means over unit vectors, about one for each per_cell vectors and 4 at least, so they grow with
-    the table; the centres are fitted on a bounded sample (about `sample` vectors, picked by a hash of the id) and number
-    at most a sixteenth of it. Every vector is assigned. A cell's vectors and the questions that probe it meet in blocks, one matrix
-    product each, so a hot cell is many tasks. Vectors that are null or zero match nothing.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, *columns: str) -> DataFrame:
-        e = R.usable_vectors(df, *columns)
-        norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-        return e.withColumn("_n", norm).where("_n > 0").withColumn("e", F.transform("e", lambda x: x / F.col("_n"))).drop("_n")
-
-    v = unit(vectors, "chunk_id")
-    n, share = v.count(), 1.0
-    if not n:
-        return R.vector_topk(questions, vectors, k)
-    share = min(1.0, sample / n)
-    cells = int(max(4, min(-(-n // per_cell), sample // 16)))
-    some = v.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else v
-    model = KMeans(k=min(cells, n), seed=seed, maxIter=10).fit(some.withColumn("features", array_to_vector("e")))
-    centers = np.array(model.clusterCenters())
-    centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
-    tried = min(len(centers), max(4, math.ceil(probes * len(centers))))
-
-    def near(most: int):
-        @F.pandas_udf("array<int>")
-        def of(e: pd.Series) -> pd.Series:
-            sims = np.stack(e.to_list()) @ centers.T if len(e) else np.empty((0, len(centers)))
-            return pd.Series(list(np.argsort(-sims, axis=1, kind="stable")[:, :most].astype(np.int32)))
-
-        return of
-
-    held = v.withColumn("cell", near(1)("e")[0])
-    asked = unit(questions, "query_id").withColumn("cell", F.explode(near(tried)("e")))
-    return R.block_topk(asked, held, ["n", "cell"], k, (), 4096).select("query_id", "chunk_id", "vector_score", "rank")

@@ -22,17 +22,26 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def lexical_candidates(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, chunk_id, doc_id, chunk_index): chunks with a token that starts with any plain term of the question, the
-    first 6k in document order.
+    first 6k in document order. The texts are read once."""
+    return first_chunks(plain_terms(questions), postings(chunks), 6 * k)
 
-    The first 6k chunks of a question are among the first 6k of each of its terms, and those among the first 6k of each of
-    the term's tokens. So the texts are read once, postings are cut per token, then per term, whoever asks for it, then per
-    question; every cut runs before its shuffle too. A token's row carries its first 6k chunks at most, however frequent
-    the word, and meets terms by equality of its prefixes.
+
+def plain_terms(questions: DataFrame) -> DataFrame:
+    """(query_id, term): the terms that tokens are sought by."""
+    return questions.select("query_id", F.explode(F.filter(T.query_terms(F.col("query")), lambda w: ~w.rlike("[-&]"))).alias("term"))
+
+
+def first_chunks(asked: DataFrame, postings: DataFrame, most: int) -> DataFrame:
+    """For each question of asked (query_id, term) the first `most` chunks, in document order, of the postings (token,
+    chunk_id, doc_id, chunk_index) whose token starts with one of its terms.
+
+    The first chunks of a question are among the first of each of its terms, and those among the first of each of the
+    term's tokens. So postings are cut per token, then per term, whoever asks for it, then per question; every cut runs
+    before its shuffle too. A token's row carries its first chunks alone, however frequent the word, and meets terms by
+    equality of its prefixes.
     """
-    most = 6 * k
     first = lambda df, by: df.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy("doc_id", "chunk_index", "chunk_id"))).where(F.col("_at") <= most).drop("_at")
-    asked = questions.select("query_id", F.explode(F.filter(T.query_terms(F.col("query")), lambda w: ~w.rlike("[-&]"))).alias("term"))
-    by_token = first(postings(chunks), "token").groupBy("token").agg(F.collect_list(F.struct("chunk_id", "doc_id", "chunk_index")).alias("places"))
+    by_token = first(postings, "token").groupBy("token").agg(F.collect_list(F.struct("chunk_id", "doc_id", "chunk_index")).alias("places"))
     prefixes = F.transform(F.sequence(F.lit(2), F.greatest(F.length("token"), F.lit(2))), lambda n: F.substring("token", F.lit(1), n))
     offered = by_token.select(F.explode(prefixes).alias("term"), "places").join(asked.select("term").distinct(), "term", "left_semi")
     by_term = first(offered.select("term", F.inline("places")).distinct(), "term")
@@ -59,10 +68,15 @@ def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFra
     """(query_id, chunk_id, lexical_score, lexical_rank, score): candidates with a positive score, best first, equal ones
     in document order. A question's words are taken once, before it meets its candidates, a chunk's text is lower-cased
     once for each."""
+    return scored_topk(questions, lexical_candidates(questions, chunks, k), chunks, k)
+
+
+def scored_topk(questions: DataFrame, candidates: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """candidates (query_id, chunk_id, doc_id, chunk_index), scored by their chunks' texts, the k best of each question."""
     asked = questions.select("query_id", *asked_words(F.col("query")))
     lower = lambda c: F.lower(c).alias(c)
     texts = chunks.select("chunk_id", lower("content"), lower("hierarchy_path"), lower("file_name"), "chunk_type", "group_id")
-    found = lexical_candidates(questions, chunks, k).join(texts, "chunk_id").join(asked, "query_id")
+    found = candidates.join(texts, "chunk_id").join(asked, "query_id")
     score = lexical_score(*[F.col(c) for c in ("content", "hierarchy_path", "file_name", "chunk_type", "group_id")])
     scored = found.select("query_id", "chunk_id", "doc_id", "chunk_index", score.alias("lexical_score"))
     return ranked(scored.where("lexical_score > 0"), "lexical_score", k, ("doc_id", "chunk_index")).select("query_id", "chunk_id", "lexical_score", F.col("rank").alias("lexical_rank"), (1 / (RRF_K + F.col("rank"))).alias("score"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvida.functions import questions as U
 from corvida.functions import text as T
-from corvida.operators import answers, context, merge, tables
+from corvida.operators import answers, context, merge, tables, text_index, vector_index
 from corvida.operators import retrieve as R
-from corvida.plans.retrieve_plans import SIDES, USER_QUESTIONS, VECTORS, sides, user_questions, vectors
-from corvida.plans.shape_plans import MARKDOWN, PAIRS, TOKENS, pairs, part_chunks, table_questions
+from corvida.plans.retrieve_plans import GROUP_STEPS, LEXICAL, QUESTIONS, SECTION_STEPS, SIDES, TABLE, USER_QUESTIONS, hybrid_questions, sides, user_questions, vectors
+from corvida.plans.shape_plans import _TABLE_TERMS, MARKDOWN, PAIRS, PARTS, TOKENS, pairs, part_chunks, part_tables, table_questions
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
+from corvida.sources.folders import shared_folder, written
 
 Q, O = {}, {}
 
@@ -115,24 +118,39 @@ def shown(hits):
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("retrieve_by_mode", with_("chunks") + f""", {SIDES}, {MODES}, u as (select 'VECTOR' as mode, query_id, chunk_id, v_rank as rank, vector_score as score from v where v_rank <= 5 union all select 'BM25', query_id, chunk_id, lexical_rank, 1.0 / (60 + lexical_rank) from l where lexical_rank <= 5 union all select 'HYBRID', query_id, chunk_id, rank, score from h where rank <= 5)
-select query_id, chunk_id, rank, round(score, 6) as score from u join modes using (query_id, mode)""")
+@query("retrieve_by_mode", with_("chunks") + f""", {SIDES}, {MODES}, u as (select 'VECTOR' as mode, query_id, chunk_id, vector_score as score from v where v_rank <= 5 union all select 'BM25', query_id, chunk_id, 1.0 / (60 + lexical_rank) from l where lexical_rank <= 5 union all select 'HYBRID', query_id, chunk_id, score from h where rank <= 5),
+hits as (select query_id, chunk_id, score, chunk_index, group_id from u join modes using (query_id, mode) join chunks using (chunk_id)){GROUP_STEPS}{SECTION_STEPS}
+select query_id, chunk_id, rank, round(score, 6) as score from placed""")
 def _(s, d):
     q, v, x = sides(s, d)
     vector = v.where("rank <= 5").withColumnRenamed("vector_score", "score")
-    return shown(merge.by_mode(modes(s, d), vector, x.where("lexical_rank <= 5").withColumnRenamed("lexical_rank", "rank"), R.hybrid(q, v, x)))
+    hits = merge.by_mode(modes(s, d), vector, x.where("lexical_rank <= 5").withColumnRenamed("lexical_rank", "rank"), R.hybrid(q, v, x))
+    return shown(merge.expanded(written(hits, "hits"), X.chunks(s, d)))
+
+
+#: Documents' first three lines, the first twelve words of each, are a question and its two rephrasings. What it is labelled
+#: after each try goes by its number: used at once, after one try, or never.
+TRIES = """tries as (select doc_id as query_id, n - 1 as attempt, array_to_string(list_slice(string_split(string_split(text, chr(10))[n], ' '), 1, 12), ' ') as query, doc_id // 20 % 3 as patience from documents, range(1, 4) t(n) where doc_id % 20 = 0 and len(string_split(text, chr(10))) >= n)"""
+
 
+def tries(s, d):
+    """(query_id, attempt, query, action)."""
+    line = lambda x: F.array_join(F.slice(F.split(x, " "), 1, 12), " ")
+    docs = X.table(s, d, "documents").where("doc_id % 20 = 0")
+    got = docs.select(F.col("doc_id").alias("query_id"), (F.floor(F.col("doc_id") / 20) % 3).alias("patience"), F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("attempt", "l"))
+    return got.select("query_id", "attempt", line(F.col("l")).alias("query"), F.when(F.col("attempt") < F.col("patience"), "REQUERY").otherwise("USE").alias("action"))
 
-@query("requery_replace", f"""with {VECTORS}, a as (select query_id, chunk_id, rank, vector_score as score, query_id // 20 % 4 as kind from vector where rank <= 9),
-picked as (select query_id, case kind when 0 then 0 when 1 then 1 when 2 then 2 else 0 end as last, chunk_id, rank, score, (rank - 1) // 3 as attempt from a)
-select query_id, chunk_id, rank, round(score, 6) as score from picked where attempt = last""")
+
+@query("requery_replace", with_("chunks") + f""", {TRIES}, questions as (select query_id * 10 + attempt as query_id, query from tries), {LEXICAL},
+found as (select query_id // 10 as query_id, query_id % 10 as attempt, chunk_id, lexical_rank as rank, 1.0 / (60 + lexical_rank) as score from lexical where lexical_rank <= 5),
+has as (select query_id, bool_or(attempt = 1) as one, bool_or(attempt = 2) as two from found group by query_id),
+used as (select distinct t.query_id, case when patience >= 2 and one and two then 2 when patience >= 1 and one then 1 else 0 end as attempt from tries t join has using (query_id))
+select query_id, chunk_id, rank, round(score, 6) as score from found join used using (query_id, attempt)""".replace("found as (select distinct w", "matched as (select distinct w").replace("from found qualify", "from matched qualify"))
 def _(s, d):
-    # kind 0: no new try; 1: one; 2: two; 3: asked for, but the try is empty
-    top = R.vector_topk(*vectors(s, d), 9).select("query_id", "chunk_id", "rank", F.col("vector_score").alias("score"), F.floor((F.col("rank") - 1) / 3).cast("int").alias("attempt"), (F.floor(F.col("query_id") / 20) % 4).alias("kind"))
-    labels = top.select("query_id", "kind", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("attempt")).distinct()
-    actions = labels.select("query_id", "attempt", F.when((F.col("kind") == 3) | (F.col("attempt") < F.col("kind")), "REQUERY").otherwise("USE").alias("action"))
-    tries = top.where("attempt > 0 and not (kind = 3 and attempt = 1)")
-    return shown(merge.requery(top.where("attempt = 0"), tries, actions))
+    t = written(tries(s, d), "tries")
+    index = text_index.create(X.chunks(s, d), f"{shared_folder(s)}/index-{uuid.uuid4().hex}")
+    search = lambda q: text_index.topk(index, q).withColumnRenamed("lexical_rank", "rank")
+    return shown(merge.requery(search, t))
 
 
 @query("supplement_and_gap_merge", with_("chunks") + f""", {SIDES}, {MODES}, v5 as (select * from v where v_rank <= 5), l3 as (select *, 1.0 / (60 + lexical_rank) as score from l where lexical_rank <= 3),
@@ -146,20 +164,27 @@ def _(s, d):
     return shown(merge.supplement(hits, extra, modes(s, d))).withColumn("kind", F.lit("supplement")).unionByName(shown(merge.gap_merge(hits, extra)).withColumn("kind", F.lit("gap")))
 
 
-@query("search_documents", with_("chunks") + """, q as (select distinct doc_id as query_id, doc_id % 14 - 2 as max_results from chunks),
-h as (select doc_id as query_id, chunk_index + 1 as rank, 1.0 / (2 + chunk_index) as score, file_name, content from chunks where doc_id % 3 <> 0),
-t as (select h.* from h join q using (query_id) where rank <= least(greatest(max_results, 1), 10)), p as (select query_id, count(*) as n, string_agg(rank || '. ' || file_name || ' (' || printf('%.3f', cast(score as double)) || ')' || chr(10) || content, chr(10) || chr(10) order by rank) as t from t group by query_id)
-select q.query_id, case when n is null then 'no_results' else 'success' end as status, coalesce(n, 0) as result_count, coalesce(t, '') as passages from q left join p using (query_id)""")
+@query("search_documents", with_("chunks") + f""", {QUESTIONS}, {LEXICAL.replace("<= 30", "<= 60")}, most as (select query_id, least(greatest(query_id // 20 % 14 - 2, 1), 10) as most from questions),
+t as (select l.query_id, lexical_rank as rank, 1.0 / (60 + lexical_rank) as score, file_name, content from lexical l join chunks c using (chunk_id) join most m on m.query_id = l.query_id where lexical_rank <= most),
+p as (select query_id, count(*) as n, string_agg(rank || '. ' || file_name || ' (' || printf('%.3f', cast(score as double)) || ')' || chr(10) || content, chr(10) || chr(10) order by rank) as t from t group by query_id)
+select q.query_id, case when n is null then 'no_results' else 'success' end as status, coalesce(n, 0) as result_count, coalesce(t, '') as passages from questions q left join p using (query_id)""")
 def _(s, d):
-    c = X.chunks(s, d)
-    q = X.table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 14 - 2).alias("max_results"))
-    h = c.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), (1 / (2 + F.col("chunk_index"))).alias("score"), "file_name", "content")
-    return merge.search_results(q, h)
+    q, c = hybrid_questions(s, d), X.chunks(s, d)
+    hits = R.lexical_topk(q, c, 10).withColumnRenamed("lexical_rank", "rank").join(c.select("chunk_id", "file_name", "content"), "chunk_id")
+    return merge.search_results(q.select("query_id", (F.floor(F.col("query_id") / 20) % 14 - 2).alias("max_results")), hits)
 
 
 @query("ann_vector_topk")
 def _(s, d):
-    return merge.ann_topk(*vectors(s, d))
+    q, v = vectors(s, d)
+    index = vector_index.build(v, f"{shared_folder(s)}/cells-{uuid.uuid4().hex}")
+    return vector_index.search(index, q, vector_index.audited_probes(index, q, v))
+
+
+@query("ann_recall_curve")
+def _(s, d):
+    q, v = vectors(s, d)
+    return vector_index.recall_curve(vector_index.build(v, f"{shared_folder(s)}/cells-{uuid.uuid4().hex}"), q, v)
 
 
 # E
@@ -217,11 +242,60 @@ def _(s, d):
     return answers.inject_facts(hits, found).select("query_id", "chunk_id", "rank", "score", F.length("content").cast("long").alias("chars"))
 
 
-@query("table_answers", f"""with {TABLE_SUM}, f as (select chunk_id as query_id, {FACT_LINES} as facts from ordered where row_no in (0, 1, 2) group by chunk_id)
-select query_id, facts, answer, case when answer is null then 'MEDIUM' else 'HIGH' end as confidence from f left join sums using (query_id)""")
+#: Tables of parts in which every fifth size is missing, each asked one of these kinds of question about its last part, N.
+KINDS = [
+    "what size has part N, by name?", "which part has the highest value, and what is the combined size of part N?", "what is the combined size of part N and of nothing else?",
+    "which table lists zebras?", "what amount has part N under column 9?", "who made part N?", "what is the total of col 3 and size, by name, of part N?", "what value has part N in col 3?",
+]
+
+
+def asked_tables(s, d):
+    """(questions, chunks, their rows)."""
+    size = F.when(F.col("p_size") % 5 > 0, F.col("p_size").cast("string"))
+    row = F.array(F.concat(F.lit("Part "), F.col("p_partkey").cast("string")), size, F.format_string("%.2f", F.col("p_retailprice").cast("double")))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.max("p_partkey") % len(KINDS) + 1).cast("int"))
+    got = part_tables(s, d).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("rows"), F.replace(kind, F.lit("N"), F.max("p_partkey").cast("string")).alias("query"))
+    c = got.select(F.col("table_id").alias("chunk_id"), F.concat("table_id", F.lit(".txt")).alias("file_name"), "query", tables.to_markdown(F.array(F.lit("Name"), F.lit("Size"), F.lit("")), F.transform("rows", lambda x: x.r)).alias("content"))
+    q = c.select(F.col("chunk_id").alias("query_id"), "query")
+    return q, c, tables.rank_rows(q, c, c.select(F.col("chunk_id").alias("query_id"), "chunk_id", F.lit(1.0).alias("score")))
+
+
+_NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_SAME = "(contains({0}, {1}) or contains({1}, {0}))"
+ANSWERED = f"""parts as (select *, p_brand || '.' || p_partkey // {PARTS} as chunk_id, case when p_size % 5 > 0 then cast(p_size as varchar) end as size, printf('%.2f', cast(p_retailprice as double)) as price from part),
+tbl as (select chunk_id, chunk_id || '.txt' as file_name, '| Name | Size | Col 3 |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| Part ' || p_partkey || ' | ' || coalesce(size, '-') || ' | ' || price || ' |', chr(10) order by p_partkey) as content,
+  replace(([{", ".join("'" + k + "'" for k in KINDS)}])[max(p_partkey) % {len(KINDS)} + 1], 'N', cast(max(p_partkey) as varchar)) as query from parts group by chunk_id),
+numbered as (select *, row_number() over (partition by chunk_id order by p_partkey) - 1 as row_no from parts),
+cells as (select chunk_id, row_no, 0 as col, 'Name' as label, 'Part ' || p_partkey as value from numbered union all select chunk_id, row_no, 1, 'Size', size from numbered where size is not null union all select chunk_id, row_no, 2, 'Col 3', price from numbered),
+asked as (select chunk_id, file_name, content, query, {_TABLE_TERMS.format("query")} as q, {_NORM.format("query")} as nq from tbl where len(list_filter({TABLE}, lambda x: contains(lower(query), x))) > 0),
+shared as (select chunk_id, q, len(list_intersect(q, {_TABLE_TERMS.format("file_name || ' ' || content")})) as n from asked),
+told as (select c.chunk_id, c.row_no, any_value(n) + count(*) filter (where len(list_filter(q, lambda t: contains({_NORM.format("value")}, t) or contains({_NORM.format("label")}, t))) > 0) as row_score from cells c join shared using (chunk_id) group by all),
+best as (select * from (select *, row_number() over (partition by chunk_id order by row_score desc, row_no) as place, max(row_score) over (partition by chunk_id) as top from told) where place <= 5 and (row_score > 0 or top = 0)),
+shown as (select b.chunk_id, place, row_score, arg_min(value, col) as name, string_agg(label || ': ' || value, ' | ' order by col) as line from best b join cells using (chunk_id, row_no) group by all),
+f as (select chunk_id, string_agg('- ' || chunk_id || '.txt: ' || name || ' | ' || line, chr(10) order by place) as facts, max(row_score) as top, arg_min(name, place) as first from shown group by chunk_id),
+numbers as (select b.chunk_id, b.place, c.col, c.label, c.value, n.value as name, try_cast(c.value as double) as number from best b join cells c using (chunk_id, row_no) join cells n on n.chunk_id = b.chunk_id and n.row_no = b.row_no and n.col = 0 where row_score > 0 and try_cast(c.value as double) is not null),
+extreme as (select chunk_id, name || ' — ' || label || ': ' || value || ' (Source: ' || chunk_id || '.txt)' as answer from numbers join asked using (chunk_id) where regexp_matches(lower(query), 'highest|largest|lowest')
+  qualify row_number() over (partition by chunk_id order by case when contains(lower(query), 'lowest') then number else -number end, place, col) = 1),
+operands as (select chunk_id, label, value, min(number) as number, min(place * 10 + col) as pos from numbers join asked using (chunk_id)
+  where regexp_matches(lower(query), 'sum|combined|total of') and len(list_filter(q, lambda t: contains({_NORM.format("file_name || ' ' || content || ' ' || label || ' ' || value")}, t))) > 0 group by all),
+total as (select chunk_id, string_agg(value, ' + ' order by pos) || ' = ' || case when abs(sum(number order by pos) - trunc(sum(number order by pos))) < 0.0001 then cast(cast(trunc(sum(number order by pos)) as bigint) as varchar) else printf('%.2f', sum(number order by pos)) end || ' (Source: ' || chunk_id || '.txt)' as answer from operands group by chunk_id having count(*) between 2 and 8),
+named as (select chunk_id, query, list_filter(['Name', 'Size', 'Col 3'], lambda l: length({_NORM.format("l")}) > 1 and contains(nq, {_NORM.format("l")})) as l from asked),
+labels as (select chunk_id, list_concat(l, list_filter(list_transform(regexp_extract_all(lower(query), '\\bcol(?:umn)?\\s*(\\d+)\\b', 1), lambda n: 'Col ' || n), lambda x: not list_contains(l, x))) as l from named),
+looked as (select chunk_id, any_value(n.name) || ' — ' || string_agg(c.label || ': ' || c.value, '; ' order by c.col) || ' (Source: ' || chunk_id || '.txt)' as answer from best b join cells c using (chunk_id, row_no) join labels using (chunk_id) join (select chunk_id, row_no, value as name from cells where col = 0) n using (chunk_id, row_no)
+  where place = 1 and row_score >= 2 and (len(l) = 0 or len(list_filter(l, lambda x: {_SAME.format(_NORM.format("x"), _NORM.format("c.label"))})) > 0) group by chunk_id)"""
+
+
+@query("table_answers", f"""with {ANSWERED} select f.chunk_id as query_id, facts, coalesce(e.answer, t.answer, k.answer) as answer, case when coalesce(e.answer, t.answer, k.answer) is null then 'MEDIUM' else 'HIGH' end as confidence
+from f left join extreme e using (chunk_id) left join total t using (chunk_id) left join looked k using (chunk_id)""")
 def _(s, d):
-    q, c, rows = table_rows(s, d, 3)
+    q, c, rows = asked_tables(s, d)
     return answers.table_answers(q, rows, c)
 
 
+@query("asked_columns", f"with {ANSWERED} select chunk_id as query_id, array_to_string(l, '|') as labels from labels where chunk_id in (select chunk_id from best where row_score > 0)")
+def _(s, d):
+    q, _, rows = asked_tables(s, d)
+    return answers.requested_columns(q.where(T.is_table_question(F.col("query"))), rows).select("query_id", F.array_join("labels", "|").alias("labels"))
+
+
 QUERIES, ORACLES = Q, O

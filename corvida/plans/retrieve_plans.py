@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvida.functions import text as T
 from corvida.operators import retrieve as R
+from corvida.operators import text_index
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
-from corvida.sources.folders import written
+from corvida.sources.folders import shared_folder, written
 
 Q, O = {}, {}
 
@@ -108,6 +111,28 @@ def _(s, d):
     return R.lexical_topk(X.questions(s, d), X.chunks(s, d)).withColumn("score", F.round("score", 6)).withColumn("lexical_rank", F.col("lexical_rank").cast("long"))
 
 
+#: A persisted index of all documents but one collection's, into which that one is inserted and from which another is deleted.
+KEPT_CHUNKS = with_("chunks", "questions").replace("with chunks as", "with every_chunk as", 1) + ", chunks as (select * from every_chunk where collection_id <> 'src2')"
+
+
+def indexed(s, d):
+    c = X.chunks(s, d)
+    index = text_index.create(c.where("collection_id <> 'src1'"), f"{shared_folder(s)}/index-{uuid.uuid4().hex}")
+    text_index.insert(index, c.where("collection_id = 'src1'"))
+    text_index.delete(index, X.table(s, d, "documents").where("source = 'src2'").select("doc_id"))
+    return index
+
+
+@query("indexed_lexical_topk", KEPT_CHUNKS + f", {LEXICAL} select query_id, chunk_id, lexical_score, lexical_rank, round(1.0 / (60 + lexical_rank), 6) as score from lexical where lexical_rank <= 5")
+def _(s, d):
+    return text_index.topk(indexed(s, d), X.questions(s, d)).withColumn("score", F.round("score", 6)).withColumn("lexical_rank", F.col("lexical_rank").cast("long"))
+
+
+@query("token_dictionary", KEPT_CHUNKS + f", {POSTINGS} select token, count(*) as chunks from postings group by token")
+def _(s, d):
+    return text_index.dictionary(indexed(s, d))
+
+
 @query("scope_to_collection", with_("chunks") + "select chunk_id from chunks where collection_id = 'src1'")
 def _(s, d):
     return X.chunks(s, d).where("collection_id = 'src1'").select("chunk_id")
@@ -200,10 +225,18 @@ def hits(s, d):
     return written(R.hybrid(*sides(s, d)).select("query_id", "chunk_id", "score"), "hits")
 
 
-GROUPS = HITS + """, m as (select distinct h.query_id, h.group_id, c.chunk_id, c.chunk_index, c.is_group_head from hits h join chunks c using (group_id) where c.is_group_head or abs(c.chunk_index - h.chunk_index) <= 1),
+GROUP_STEPS = """, m as (select distinct h.query_id, h.group_id, c.chunk_id, c.chunk_index, c.is_group_head from hits h join chunks c using (group_id) where c.is_group_head or abs(c.chunk_index - h.chunk_index) <= 1),
 p as (select * from m qualify row_number() over (partition by query_id, group_id order by is_group_head desc, chunk_index, chunk_id) <= 3),
 e as (select query_id, chunk_id, score, chunk_index, 0 as added from hits union all select query_id, chunk_id, 0.0, chunk_index, 1 from p where (query_id, chunk_id) not in (select query_id, chunk_id from hits)),
 er as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_index, added, chunk_id) as rank from e)"""
+SECTION_STEPS = """, o as (select er.*, c.parent_chunk_id, c.section_id from er join chunks c using (chunk_id)),
+offered as (select o.query_id, o.rank, 0 as step, c.chunk_id, c.chunk_index from o join chunks c on c.chunk_id = o.parent_chunk_id
+  union all select o.query_id, o.rank, 1, c.chunk_id, c.chunk_index from o join chunks c on c.section_id = o.section_id and c.chunk_type <> 'SECTION' and abs(c.chunk_index - o.chunk_index) <= 1),
+once as (select query_id, chunk_id, chunk_index, min(rank * 10 + step) as pos from offered where (query_id, chunk_id) not in (select query_id, chunk_id from er) group by all),
+n as (select * from once qualify row_number() over (partition by query_id order by pos, chunk_index, chunk_id) <= 4),
+expanded as (select query_id, chunk_id, score, chunk_index, 0 as added from er union all select query_id, chunk_id, 0.0, chunk_index, 1 from n),
+placed as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_index, added, chunk_id) as rank from expanded)"""
+GROUPS = HITS + GROUP_STEPS
 
 
 @query("expand_groups", with_("chunks") + f", {GROUPS} select query_id, chunk_id, round(score, 6) as score, chunk_index, cast(rank as integer) as rank from er")
@@ -211,12 +244,7 @@ def _(s, d):
     return R.expand_groups(hits(s, d), X.chunks(s, d)).withColumn("score", F.round("score", 6))
 
 
-@query("expand_sections", with_("chunks") + f""", {GROUPS}, o as (select er.*, c.parent_chunk_id, c.section_id from er join chunks c using (chunk_id)),
-offered as (select o.query_id, o.rank, 0 as step, c.chunk_id, c.chunk_index from o join chunks c on c.chunk_id = o.parent_chunk_id
-  union all select o.query_id, o.rank, 1, c.chunk_id, c.chunk_index from o join chunks c on c.section_id = o.section_id and c.chunk_type <> 'SECTION' and abs(c.chunk_index - o.chunk_index) <= 1),
-once as (select query_id, chunk_id, chunk_index, min(rank * 10 + step) as pos from offered where (query_id, chunk_id) not in (select query_id, chunk_id from er) group by all),
-n as (select * from once qualify row_number() over (partition by query_id order by pos, chunk_index, chunk_id) <= 4)
-select query_id, chunk_id, round(score, 6) as score, chunk_index from er union all select query_id, chunk_id, 0.0, chunk_index from n""")
+@query("expand_sections", with_("chunks") + f", {GROUPS}{SECTION_STEPS} select query_id, chunk_id, round(score, 6) as score, chunk_index from placed")
 def _(s, d):
     c = X.chunks(s, d)
     return R.expand_sections(R.expand_groups(hits(s, d), c), c).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "chunk_index")

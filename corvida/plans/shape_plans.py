@@ -151,7 +151,7 @@ def _(s, d):
 
 @query("rank_table_rows", f"with {ROWS_RANKED} select chunk_id as query_id, cast(place as integer) as place, chunk_id, chunk_id || '.txt' as file_name, cast(row_no as integer) as row_no, cast(row_score as integer) as row_score from best")
 def _(s, d):
-    return table_questions(s, d, last_part())[2].drop("cells")
+    return table_questions(s, d, last_part())[2].drop("cells", "headers")
 
 
 @query("table_facts", f"with {ROWS_RANKED} select chunk_id as query_id, string_agg('- ' || chunk_id || '.txt: Part ' || p_partkey || ' | Name: Part ' || p_partkey || ' | Size: ' || p_size || ' | Col 3: ' || price, chr(10) order by place) as facts from best join ordered using (chunk_id, row_no) group by chunk_id")

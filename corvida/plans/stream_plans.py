@@ -32,45 +32,68 @@ def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
-def _last(counts: DataFrame, path: str) -> DataFrame:
-    """What a stream of complete results gave last: every batch overwrites the one table."""
+def _last(counts: DataFrame, path: str, key: str) -> DataFrame:
+    """What a stream of grouped results gave last."""
+    S.keep_latest(counts, f"{path}/table", [key], f"{path}/state").awaitTermination()
+    return S.results(counts.sparkSession, f"{path}/table", ", ".join(f"{c} {t}" for c, t in counts.dtypes)).read().select(*counts.columns)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table")
 
-    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return counts.sparkSession.read.schema(counts.schema).parquet(f"{path}/table")
+#: A document's lines come in two parts, the first of half its blocks. While a document waits for the second, those of one
+#: collection are cancelled; those of another are cancelled when done; a part that isn't text comes for those of a third.
+CANCELLED_EARLY, CANCELLED_LATE, BROKEN = "src3", "src5", "src4"
+LEFT = f"source not in ('{CANCELLED_EARLY}', '{CANCELLED_LATE}', '{BROKEN}')"
+
+
+def blocks_of_lines(text: str | None) -> list[str]:
+    """Blocks of four lines; a null text is an error."""
+    lines = text.split("\n")
+    return ["\n".join(lines[i : i + X.BLOCK]) for i in range(0, len(lines), X.BLOCK)]
 
 
 def ingested(s, d):
-    """The folder of an ingestion whose every third document has lost its text."""
+    """The folder of an ingestion in three runs of one stream: first parts; cancels, second parts and first parts once more;
+    late cancels."""
     path = folder(s)
-    docs = stream(s, d, "documents").withColumn("text", F.when(F.col("doc_id") % 3 > 0, F.col("text")))
-    chunk = lambda b: X.blocks(b.where("text is not null")).select("doc_id", "chunk_id", "content")
-    S.ingest(docs, chunk, path, f"{path}/state").awaitTermination()
+    lines = F.split("text", "\n")
+    first = F.floor((F.size(lines) + X.BLOCK - 1) / X.BLOCK / 2).cast("int") * X.BLOCK
+    docs = X.texts(s, d).where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", lines.alias("lines"), first.alias("first"))
+    event = lambda df, seq, kind, text: df.select("doc_id", F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.cast("string").alias("text"), at(F.lit(seq)))
+    of = lambda source: docs.where(F.col("source") == source)
+    opening = event(docs.where("first > 0"), 1, "PART", F.array_join(F.expr("slice(lines, 1, first)"), "\n"))
+    closing = event(docs, 3, "LAST", F.when(F.col("source") != BROKEN, F.array_join(F.expr("slice(lines, first + 1, size(lines))"), "\n")))
+    steps = [opening, event(of(CANCELLED_EARLY), 2, "CANCEL", F.lit(None)).unionByName(closing).unionByName(opening), event(of(CANCELLED_LATE), 4, "CANCEL", F.lit(None))]
+    for step in steps:
+        step.write.mode("append").parquet(f"{path}/events")
+        events = s.readStream.schema(step.schema).parquet(f"{path}/events")
+        S.ingest(events, blocks_of_lines, path, f"{path}/state").awaitTermination()
     return path
 
 
-@query("stream_ingest", with_("chunks") + "select doc_id, chunk_id, content from chunks where doc_id % 3 > 0")
+@query("stream_ingest", with_("chunks") + f"select c.doc_id, c.chunk_index, c.content from chunks c where {LEFT.replace('source', 'collection_id')}")
 def _(s, d):
-    return s.read.parquet(f"{ingested(s, d)}/chunks").select("doc_id", "chunk_id", "content")
+    return S.ingest_tables(s, ingested(s, d))[0].read().select("doc_id", "chunk_index", "content")
 
 
-@query("stream_ingest_status", with_("docs") + "select id as doc_id, case when id % 3 > 0 then 'READY' else 'FAILED' end as status, case when id % 3 > 0 then chunk_count else 0 end as chunks from docs")
+@query("stream_ingest_status", with_("docs") + f"select id as doc_id, case when collection_id = '{BROKEN}' then 'FAILED' else 'READY' end as status, case when collection_id = '{BROKEN}' then 0 else chunk_count end as chunks from docs where collection_id not in ('{CANCELLED_EARLY}', '{CANCELLED_LATE}')")
 def _(s, d):
-    return S.ingest_status(s, ingested(s, d))
+    return S.ingest_tables(s, ingested(s, d))[1].read().select("doc_id", "status", "chunks")
 
 
 @query("stream_collection_counts", "select source as collection_id, count(*) as documents, cast(sum((len(string_split(text, chr(10))) + 3) // 4) as bigint) as chunks from documents group by source")
 def _(s, d):
-    docs = stream(s, d, "documents").select(F.col("source").alias("collection_id"), F.floor((F.size(F.split("text", "\n")) + X.BLOCK - 1) / X.BLOCK).cast("long").alias("chunk_count"))
-    return _last(S.collection_counts(docs), folder(s))
+    docs = stream(s, d, "documents").select("doc_id", F.col("source").alias("collection_id"), F.floor((F.size(F.split("text", "\n")) + X.BLOCK - 1) / X.BLOCK).cast("long").alias("chunk_count"), at("doc_id"))
+    return _last(S.collection_counts(S.once(docs, ["doc_id"], "at", "3650 days")), folder(s), "collection_id")
+
+
+def at(seconds):
+    """When a row came, which the tables don't tell: so many seconds after the start."""
+    return F.timestamp_seconds(F.unix_timestamp(F.lit(X.START)) + (F.col(seconds) if isinstance(seconds, str) else seconds)).alias("at")
 
 
 @query("stream_session_activity", with_("messages") + "select session_id, count(*) as message_count, max(created_at) as updated_at from messages group by session_id")
 def _(s, d):
-    got = stream(s, d, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("created_at"))
-    return _last(S.session_activity(got), folder(s))
+    got = stream(s, d, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("created_at"), "turn")
+    return _last(S.session_activity(S.once(got.select("*", at("created_at")), ["session_id", "turn"], "at", "3650 days")), folder(s), "session_id")
 
 
 # each message between marks, cut every seven characters

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvida.operators import stored
 from corvida.operators.chat import MARKS
+from corvida.sources.folders import written
+
+
+def once(rows: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
+    """The rows of a stream without those that repeat a key within `late` of each other, by the timestamp column `time`; the
+    keys that are remembered are those of that span."""
+    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def collection_counts(documents: DataFrame) -> DataFrame:
@@ -18,29 +28,119 @@ def session_activity(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.count("*").alias("message_count"), F.max("created_at").alias("updated_at"))
 
 
-def ingest(documents: DataFrame, chunk, path: str, checkpoint: str, id_col: str = "doc_id"):
-    """Chunks of a document stream under path/chunks and the documents' states under path/status.
+def keep_latest(counts: DataFrame, path: str, keys: list[str], checkpoint: str):
+    """What a stream of grouped results gave last for each group, as a table partitioned by a bucket of its keys. In update
+    mode a batch brings only the groups that it changed, and only their buckets are written."""
+    table = results(counts.sparkSession, path, ", ".join(f"`{c}` {t}" for c, t in counts.dtypes))
+
+    def write(batch: DataFrame, _: int) -> None:
+        stored.upsert(table, batch.withColumn("bucket", stored.bucket(*keys)), keys)
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def results(spark: SparkSession, path: str, schema: str) -> stored.Stored:
+    return stored.Stored(spark, path, f"{schema}, bucket int", "bucket")
 
-    Every micro-batch marks its documents PROCESSING, writes chunk(batch), then marks each READY with its number of chunks
-    or FAILED if it has none. Each of these is a table of the batch's own, which a repeated batch replaces, so a batch that
-    broke off leaves its documents PROCESSING until it is run again."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        table = lambda name, step: f"{path}/{name}/batch={number}" + (f"/step={step}" if name == "status" else "")
-        ids = batch.select(F.col(id_col).alias("doc_id")).distinct()
-        ids.select("doc_id", F.lit("PROCESSING").alias("status"), F.lit(0).cast("long").alias("chunks")).write.mode("overwrite").parquet(table("status", 0))
-        chunk(batch).write.mode("overwrite").parquet(table("chunks", 0))
-        made = batch.sparkSession.read.parquet(table("chunks", 0)).groupBy("doc_id").agg(F.count("*").alias("n"))
-        done = ids.join(made, "doc_id", "left").select("doc_id", F.when(F.col("n") > 0, "READY").otherwise("FAILED").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("chunks"))
-        done.write.mode("overwrite").parquet(table("status", 1))
+#: What the processor of documents gives: for each event that counted one row without text, and a row per chunk.
+CHANGES = "doc_id long, seq long, status string, chunk_index long, content string"
+DOCUMENT_STATE = "status string, seq long, chunks long"
+ENDED = ("READY", "FAILED", "CANCELLED")
 
-    return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def advance(state: tuple[str, int, int] | None, events: list[tuple[int, str, str | None]], chunk: Callable[[str | None], list[str]]) -> tuple[tuple[str, int, int] | None, list[tuple]]:
+    """A document's state (status, last seq, chunks so far) and events (seq, kind, text) to its next state and CHANGES
+    without the id.
 
-def ingest_status(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, status, chunks): where each document of ingest() stands, by its last batch and step."""
-    last = F.struct("batch", "step")
-    return spark.read.parquet(f"{path}/status").groupBy("doc_id").agg(F.max_by("status", last).alias("status"), F.max_by("chunks", last).alias("chunks"))
+    A PART's chunks follow those before, and the document is PROCESSING; LAST is its last part, after which it is READY,
+    or FAILED if there is no chunk in all. A part that `chunk` raises on makes it FAILED, CANCEL makes it CANCELLED. Of a
+    failed or cancelled document nothing is left. An event with a seq that isn't above the last one is a repeat; parts of
+    a document that has ended are passed over, but a CANCEL still counts once READY.
+    """
+    out = []
+    for seq, kind, text in sorted(events, key=lambda e: e[0]):
+        status, last, n = state or (None, -1, 0)
+        if seq <= last or (status in ENDED and not (kind == "CANCEL" and status == "READY")):
+            continue
+        made: list[str] = []
+        if kind == "CANCEL":
+            status = "CANCELLED"
+        else:
+            try:
+                made = chunk(text)
+                status = "PROCESSING" if kind == "PART" else "READY" if n + len(made) else "FAILED"
+            except Exception:  # noqa: BLE001  one document's error, of any kind, ends that document alone
+                status, made = "FAILED", []
+        if status in ("FAILED", "CANCELLED"):
+            out, n = [], 0
+        out.append((seq, status, None, None))
+        out += [(seq, status, n + i, c) for i, c in enumerate(made)]
+        state = (status, seq, n + len(made))
+    return state, out
+
+
+def document_changes(events: DataFrame, chunk: Callable[[str | None], list[str]], patience: str = "1 day") -> DataFrame:
+    """events (doc_id, seq, kind PART, LAST or CANCEL, text, at) of a stream to CHANGES, by a processor of each document's
+    own. `chunk` makes the chunks of a part's text; `at` is the timestamp of an event.
+
+    The watermark stays `patience` behind the latest event; what comes later than that is passed over. A document that is
+    PROCESSING when the watermark is `patience` past its last event is FAILED, and one that has ended is forgotten by then,
+    so state is bounded by what came in that time. Timers go by events, not by the clock, so a batch that is run again
+    gives the same."""
+    number, unit = patience.split()
+    wait = int(number) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.removesuffix("s")]
+
+    def run(key, batches, state):
+        import pandas as pd
+
+        old = tuple(state.get) if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            out = [(old[1], "FAILED", None, None)] if old[0] == "PROCESSING" else []
+        else:
+            rows = [r for b in batches for r in zip(b["seq"].tolist(), b["kind"].tolist(), b["text"].tolist(), b["ms"].tolist(), strict=True)]
+            new, out = advance(old, [(s, k, t if isinstance(t, str) else None) for s, k, t, _ in rows], chunk)
+            if new is not None:
+                state.update(new)
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), *(int(r[3]) for r in rows)) + wait)
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=["doc_id", "seq", "status", "chunk_index", "content"]).astype({"chunk_index": "Int64"})
+
+    timed = events.withWatermark("at", patience).select("doc_id", "seq", "kind", "text", "at", F.unix_millis("at").alias("ms"))
+    return timed.groupBy("doc_id").applyInPandasWithState(run, CHANGES, DOCUMENT_STATE, "update", "EventTimeTimeout")
+
+
+def ingest_tables(spark: SparkSession, path: str) -> tuple[stored.Stored, stored.Stored]:
+    """(chunks, status) under path."""
+    chunks = stored.Stored(spark, f"{path}/chunks", "doc_id long, seq long, chunk_index long, content string, bucket int", "bucket")
+    return chunks, stored.Stored(spark, f"{path}/status", "doc_id long, seq long, status string, chunks long, bucket int", "bucket")
+
+
+def apply_changes(changes: DataFrame, path: str) -> None:
+    """Brings the tables up to a batch of CHANGES. Of each document in it, rows of the batch's own events are replaced, those
+    of a failed or cancelled one go, of a cancelled one its state too; only its buckets are written. The same batch again
+    changes nothing."""
+    spark = changes.sparkSession
+    chunks, status = ingest_tables(spark, path)
+    new = written(changes.withColumn("bucket", stored.bucket("doc_id")), "changes")
+    last = new.where("chunk_index is null").groupBy("doc_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("upto"), F.min("seq").alias("from"))
+    partitions = stored.touched(chunks, new)
+    if not partitions:
+        return
+    old = chunks.read().where(chunks.within(partitions))
+    stay = old.join(last.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left").where("status is null or (status not in ('FAILED', 'CANCELLED') and seq < from)").select(*old.columns)
+    stored.rewrite(chunks, partitions, stay.unionByName(new.where("chunk_index is not null").select(*old.columns)))
+    n = chunks.read().where(chunks.within(partitions)).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    now = last.where("status <> 'CANCELLED'").join(n, "doc_id", "left").select("doc_id", F.col("upto").alias("seq"), "status", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), stored.bucket("doc_id").alias("bucket"))
+    known = status.read().where(status.within(partitions))
+    stored.rewrite(status, partitions, known.join(last, stored.same_keys(known, last, ["doc_id"]), "left_anti").unionByName(now))
+
+
+def ingest(events: DataFrame, chunk: Callable[[str | None], list[str]], path: str, checkpoint: str, patience: str = "1 day"):
+    """Chunks of a stream of document events under path/chunks and the documents' states under path/status, see
+    document_changes. A batch that broke off is repeated from the same states, hence with the same changes."""
+    changes = document_changes(events, chunk, patience)
+    return changes.writeStream.outputMode("update").foreachBatch(lambda batch, _: apply_changes(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 #: Columns of split fragments, and of the state kept between them: the text held back and the mark that is open.
@@ -94,17 +194,21 @@ def thinking_split(fragments: DataFrame) -> DataFrame:
 
 
 def eval_progress(traces: DataFrame, score, path: str, checkpoint: str):
-    """Traces of a stream to a running summary: every micro-batch writes score(batch), rows (query_id, recall, mrr), under its
-    own folder, so that a repeated batch replaces itself; `eval_summary` reads them all."""
+    """Traces of a stream to a running summary: every micro-batch upserts score(batch), rows (query_id, recall, mrr), so that
+    a repeated batch replaces itself and the table holds each sample once, however many batches there were."""
+    table = eval_scores(traces.sparkSession, path)
 
-    def write(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def write(batch: DataFrame, _: int) -> None:
+        latest = score(batch).groupBy("query_id").agg(F.max(F.struct("recall", "mrr")).alias("r")).select("query_id", "r.recall", "r.mrr")
+        stored.upsert(table, latest.withColumn("bucket", stored.bucket("query_id")), ["query_id"])
 
     return traces.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def eval_summary(spark, path: str) -> DataFrame:
+def eval_scores(spark: SparkSession, path: str) -> stored.Stored:
+    return results(spark, path, "query_id long, recall double, mrr double")
+
+
+def eval_summary(spark: SparkSession, path: str) -> DataFrame:
     """Samples, mean recall and mean reciprocal rank so far; a sample scored again counts with its latest batch."""
-    rows = spark.read.schema("query_id long, recall double, mrr double, batch long").parquet(path)
-    latest = rows.groupBy("query_id").agg(F.max_by(F.struct("recall", "mrr"), "batch").alias("r"))
-    return latest.agg(F.count("*").alias("samples"), F.coalesce(F.avg("r.recall"), F.lit(0.0)).alias("recall"), F.coalesce(F.avg("r.mrr"), F.lit(0.0)).alias("mrr"))
+    return eval_scores(spark, path).read().agg(F.count("*").alias("samples"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("recall"), F.coalesce(F.avg("mrr"), F.lit(0.0)).alias("mrr"))

@@ -129,11 +129,3 @@ def test_thinking_stream(spark, tmp_path):
         q.awaitTermination(120)
     got = sorted((r.message_id, r.part_no, r.is_reasoning, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("m", 0, False, "x "), ("m", 1, True, "z"), ("m", 2, False, " w"), ("n", 0, False, "y")]
-
-
-def test_eval_stream(spark, tmp_path):
-    schema = "query_id long, recall double, mrr double"
-    for rows in ([(1, 1.0, 0.5), (2, 0.0, 0.0)], [(2, 1.0, 1.0)]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        streams.eval_progress(spark.readStream.schema(schema).json(str(tmp_path / "in")), lambda b: b, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    assert tuple(streams.eval_summary(spark, str(tmp_path / "out")).head()) == (2, 1.0, 0.75)
