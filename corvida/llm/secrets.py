@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvida.llm.common import cut, unused
@@ -34,6 +34,11 @@ ENCODINGS = (
     ("base64", r"^[0-9A-Za-z+/_-]+$", UPPER + LOWER + DIGITS + "+/-_"),
 )
 STEPS = 100
+#: Random tokens drawn to tell how p-values of truly random ones of an encoding and length fall; lengths above LONGEST, at
+#: which the tests are near their limits, are drawn at that.
+DRAWN, LONGEST = 2000, 256
+#: What random_shares has measured, by encoding and length: at most len(ENCODINGS) * LONGEST entries.
+_MEASURED: dict[tuple[str, int], list[float]] = {}
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -71,7 +76,7 @@ def _two_sided(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct<encoding, n, p> of a token: p is three times the least of three two-sided p-values under "uniform random
+    """struct<encoding, n, p> of a token: p is 1 - (1 - m)^3 of the least m of three two-sided p-values under "uniform random
     symbols of the inferred alphabet": chi-squared of symbol counts (Wilson-Hilferty), number of runs above and below
     the alphabet's middle, correlation of neighbouring symbols."""
     name = F.coalesce(*[F.when(token.rlike(p), F.lit(e)) for e, p, _ in ENCODINGS])
@@ -98,7 +103,7 @@ def battery(token: Column) -> Column:
             return _let(low, lambda b: F.when(b == 0, 0.0).otherwise(_two_sided((top / b + 1 / n) * F.sqrt(n))))
 
         p_serial = _let(F.aggregate(ranks, F.lit(0.0), lambda a, v: a + v) / n, serial)
-        return F.struct(x.encoding.alias("encoding"), F.size(ranks).alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, _let(high, runs), p_serial)).alias("p"))
+        return F.struct(x.encoding.alias("encoding"), F.size(ranks).alias("n"), (1 - F.pow(1 - F.least(p_chi, _let(high, runs), p_serial), F.lit(3.0))).alias("p"))
 
     # the inferred alphabet is held fast before the symbols are looked up in it, or its patterns would run for each symbol
     inferred = F.struct(name.alias("encoding"), alphabet.alias("alphabet"))
@@ -112,26 +117,66 @@ def _testable(t: Column) -> Column:
     return mixed | ((t.n >= 52) & t.encoding.isin("lower", "UPPER", "letters")) | ((t.n >= 32) & (t.encoding == "decimal"))
 
 
-def thresholds(candidates: DataFrame, q: float = 0.1, level: float = 0.01) -> list[tuple[int, float]]:
-    """For each length class (the power of two in n), the least p from which tokens count as random.
+def _length_class(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double"))).cast("int")
+
+
+def _step(p: Column) -> Column:
+    return F.least(F.floor(p * STEPS), F.lit(STEPS - 1)).cast("int")
+
+
+def drawn_tokens(spark: SparkSession, kinds: list[tuple[str, int]], each: int = DRAWN) -> DataFrame:
+    """(encoding, n, token): `each` tokens of uniform random symbols for every (encoding, length); the same on every run."""
+    alphabets = {e: a for e, _, a in ENCODINGS}
+    told = spark.createDataFrame([(e, n, alphabets[e]) for e, n in kinds], "encoding string, n int, alphabet string")
+    rows = told.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(each))))
+    symbol = lambda at: F.substring(F.col("alphabet"), F.pmod(F.xxhash64("encoding", "n", "i", at), F.length("alphabet")).cast("int") + 1, F.lit(1))
+    return rows.select("encoding", "n", F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), symbol), "").alias("token"))
 
-    Random tokens have even p-values and others are taken to have ones under 0.5, so twice the number over 0.5
-    estimates how many random ones there are; what a class has above a cut in excess of them are false discoveries. The cut is the least one (level at first) at which those are
-    at most the share q, in a class of one token as in one of millions; at a half, where the estimate itself begins,
-    none are left. A small class so pays with missed tokens, never with false ones. Only counts by class and p-value
-    step are gathered.
+
+def random_shares(spark: SparkSession, kinds: list[tuple[str, int]]) -> dict[tuple[str, int], list[float]]:
+    """For each (encoding, length) the share of random tokens with a p of step / STEPS or more, by step. Of the drawn ones
+    those count that would be inferred to be of the encoding and would be tested. Measured once for each."""
+    new = sorted(set(kinds) - set(_MEASURED))
+    if new:
+        drawn = drawn_tokens(spark, new).repartition(spark.sparkContext.defaultParallelism)
+        tested = drawn.select("encoding", "n", battery(F.col("token")).alias("b"), (F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")).alias("mixed"))
+        tested = tested.select(F.col("encoding").alias("drawn"), "n", F.struct("b.encoding", "b.n", "b.p", "mixed").alias("t")).where((F.col("t.encoding") == F.col("drawn")) & _testable(F.col("t")))
+        counts: dict[tuple[str, int], list[int]] = {k: [0] * STEPS for k in new}
+        for encoding, n, step, count in tested.groupBy("drawn", "n", _step(F.col("t.p"))).count().collect():
+            counts[encoding, n][step] += count
+        _MEASURED.update({k: [sum(c[step:]) / max(1, sum(c)) for step in range(STEPS + 1)] for k, c in counts.items()})
+    return {k: _MEASURED[k] for k in kinds}
+
+
+def thresholds(candidates: DataFrame, q: float = 0.1, level: float = 0.01) -> list[tuple[int, float]]:
+    """For each length class (the power of two in n), the least p from which tokens (encoding, n, p) count as random.
+
+    Tokens that aren't random are taken to have p under a half. How p-values of random ones fall is measured, for each
+    encoding at the class's mean length (to the nearest 4), on drawn tokens; what lies over a half, less one standard error, then tells
+    how many random tokens there are, and so how many of them lie between a cut and a half. What a class has there beyond
+    them are false discoveries. The cut is the least one (level at first) at which those are at most the share q, in a class
+    of one token as in one of millions; at a half, where the estimate begins, none are left. A small class so pays with
+    missed tokens, never with false ones. Only counts by encoding, class and step are gathered.
     """
-    bins = candidates.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("length"), F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int").alias("step")).count().collect()
-    classes: dict[int, list[int]] = {}
-    for length, step, n in bins:
-        classes.setdefault(length, [0] * STEPS)[step] += n
-    found = []
-    for length, counts in sorted(classes.items()):
-        random = 2 * sum(counts[STEPS // 2 :])
-        cut_at = 1.1
-        for step in range(max(1, round(level * STEPS)), STEPS // 2 + 1):
+    grouped = candidates.groupBy("encoding", _length_class(F.col("n")).alias("length"), _step(F.col("p")).alias("step")).agg(F.count("*").alias("count"), F.sum("n").alias("symbols"))
+    classes: dict[int, dict[str, list[int]]] = {}
+    symbols: dict[tuple[int, str], list[int]] = {}
+    for encoding, length, step, count, total in grouped.collect():
+        classes.setdefault(length, {}).setdefault(encoding, [0] * STEPS)[step] += count
+        symbols.setdefault((length, encoding), []).append(total)
+    kind = {(length, e): (e, min(LONGEST, 4 * round(sum(symbols[length, e]) / sum(c) / 4))) for length, by in classes.items() for e, c in by.items()}
+    shares = random_shares(candidates.sparkSession, sorted(set(kind.values()))) if kind else {}
+    found, half = [], STEPS // 2
+    for length, by in sorted(classes.items()):
+        cut_at, counts = 1.1, [sum(c) for c in zip(*by.values(), strict=True)]
+        for step in range(max(1, round(level * STEPS)), half + 1):
+            between = 0.0  # random tokens from the cut to a half
+            for e, c in by.items():
+                share, over = shares[kind[length, e]], sum(c[half:])
+                between += max(0.0, over - over**0.5) * (share[step] - share[half]) / share[half] if share[half] else 0.0
             flagged = sum(counts[step:])
-            if flagged - random * (1 - step / STEPS) <= q * flagged:
+            if flagged and sum(counts[step:half]) - between <= q * flagged:
                 cut_at = step / STEPS
                 break
         found.append((length, cut_at))
@@ -162,7 +207,7 @@ def find_spans(docs: DataFrame, text_col: str, q: float = 0.1, out: str = "spans
     scanned = docs.withColumn(base, F.transform(_scan(text), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))).withColumn(tested, _tested(text))
     scanned = cut(scanned if text_kept else scanned.drop(text_col), "spans")
     limits = thresholds(scanned.select(F.explode(tested).alias("t")).select("t.*"), q)
-    limit = lambda n: F.coalesce(*[F.when(F.floor(F.log2(n.cast("double"))) == c, t) for c, t in limits], F.lit(1.1))
+    limit = lambda n: F.coalesce(*[F.when(_length_class(n) == c, t) for c, t in limits], F.lit(1.1))
     clear = lambda t: ~F.exists(base, lambda b: (b.start < t.end) & (t.start < b.end))
     more = F.transform(F.filter(tested, lambda t: (t.p >= limit(t.n)) & clear(t)), lambda t: F.struct(t.start.alias("start"), t.kind.alias("kind"), t.end.alias("end")))
     return scanned.withColumn(out, F.array_sort(F.concat(base, more))).drop(base, tested)

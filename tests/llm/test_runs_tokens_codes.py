@@ -244,7 +244,8 @@ def test_bounds_hold_and_save_work():
         np.put_along_axis(others, bounds.code[:, :, None].astype(int), np.inf, axis=2)
         assert (bounds.lower[:, :, -1] <= others.min(axis=2)).all()
         if turn:
-            assert (bounds.needed == 0).mean() > 0.5 and (bounds.needed > b).mean() < 0.2
+            compared = np.where(bounds.needed > b, 64, bounds.needed + (bounds.needed > 0))
+            assert (bounds.needed == 0).mean() > 0.5 and compared.mean() < 64 * 0.35
             b = vector_codes.adapted(b, {int(z): int(n) for z, n in zip(*np.unique(bounds.needed, return_counts=True))}, 8)
         new = book.copy()
         for p in range(16):
