@@ -29,12 +29,11 @@ TABLE_STOP_WORDS = [
 ]
 JUNK_LINE = r"^(page\s+\d+\s+of\s+\d+|\(?₹\s*in\s*crore\)?|\(?rs\.?\s*in\s*crore\)?|\(?\$\s*in\s*millions?\)?|\||-|_|continued)$"
 FURNITURE_TERMS = ["registered office", "corporate communications", "telephone", "cin:", "www.ril.com"]
-#: Lines that are page furniture wherever they stand, in lower case with single blanks: what they match, are, hold or begin with.
-FURNITURE = [
-    ("matches", r"page\s+\d+\s+of\s+\d+"), ("matches", r"\d{1,2}(?:st|nd|rd|th)?\s+[a-z]+,?\s+\d{4}"), ("is", "|"), ("is", "-"), ("is", "_"), ("is", "continued"),
-    ("holds", "registered office:"), ("holds", "corporate communications:"), ("holds", "telephone"), ("holds", "telefax"), ("is", "internet"), ("holds", "maker chambers"),
-    ("holds", "nariman point"), ("holds", "mumbai 400"), ("holds", "www.ril.com"), ("begins", r"cin\b"), ("begins", r"\s*:l\d"),
-]
+#: Lines that are page furniture wherever they stand, in lower case with single blanks: patterns they hold, what they are, what
+#: they hold.
+FURNITURE_PATTERNS = [r"^page\s+\d+\s+of\s+\d+$", r"^\d{1,2}(?:st|nd|rd|th)?\s+[a-z]+,?\s+\d{4}$", r"^cin\b|^\s*:l\d"]
+FURNITURE_LINES = ["|", "-", "_", "continued", "internet"]
+FURNITURE_HOLDS = ["registered office:", "corporate communications:", "telephone", "telefax", "maker chambers", "nariman point", "mumbai 400", "www.ril.com"]
 TOKENS_PER_WORD = 1.3
 
 
@@ -120,12 +119,11 @@ def is_junk(c: Column) -> Column:
 
 
 def is_furniture(c: Column) -> Column:
-    """Boilerplate of pages, by FURNITURE."""
+    """Boilerplate of pages, by FURNITURE_PATTERNS, _LINES and _HOLDS; false for a null text."""
     low = trimmed(F.regexp_replace(F.lower(c), r"\s+", " "))
-    tests = {"matches": lambda v: low.rlike(f"^(?:{v})$"), "is": lambda v: low == v, "holds": lambda v: F.contains(low, F.lit(v)), "begins": lambda v: low.rlike(f"^{v}")}
-    found = F.lit(False)
-    for how, value in FURNITURE:
-        found = found | tests[how](value)
+    found = low.isin(FURNITURE_LINES) | has_any(low, FURNITURE_HOLDS)
+    for pattern in FURNITURE_PATTERNS:
+        found = found | low.rlike(pattern)
     return F.coalesce(found, F.lit(False))
 
 

@@ -9,10 +9,36 @@ from pyspark.sql import functions as F
 TOLERANCES = {"recall": 0.02, "per_doc_recall": 0.03, "faithfulness": 0.05, "correctness": 0.10, "p95_latency": 0.30}
 
 
-def retrieval_scores(ranked: DataFrame, expected: DataFrame, samples: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+def stages(hits: DataFrame, final: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(retrieved, deduped, final) of hits (query_id, rank, chunk_id, content_hash, doc_id, group_id): all of them, the best
+    one of each content, ranked anew, and the first `final` of those."""
+    once = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "content_hash").orderBy("rank"))).where("n = 1").drop("n")
+    deduped = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    return hits, deduped, deduped.where(F.col("rank") <= final)
+
+
+def trace_ids(retrieved: DataFrame, deduped: DataFrame, final: DataFrame) -> DataFrame:
+    """One row per question with hits: retrieved_ids, deduped_ids, final_ids, each in order of rank; empty where a stage
+    left none."""
+    listed = None
+    for name, rows in (("retrieved", retrieved), ("deduped", deduped), ("final", final)):
+        ids = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("l")).select("query_id", F.col("l.chunk_id").alias(f"{name}_ids"))
+        listed = ids if listed is None else listed.join(ids, "query_id", "full_outer")
+    return listed.select("query_id", *[F.coalesce(F.col(f"{n}_ids"), F.array().cast(dict(listed.dtypes)[f"{n}_ids"])).alias(f"{n}_ids") for n in ("retrieved", "deduped", "final")])
+
+
+def evidence(deduped: DataFrame, final: DataFrame) -> DataFrame:
+    """What a trace is scored by: its final chunks, or, of a question without any, the ids of its deduped ones alone."""
+    bare = deduped.join(final.select("query_id").distinct(), "query_id", "left_anti")
+    none = [F.lit(None).cast(dict(final.dtypes)[c]).alias(c) for c in ("content_hash", "doc_id", "group_id")]
+    return final.select("query_id", "rank", "chunk_id", "content_hash", "doc_id", "group_id").unionByName(bare.select("query_id", "rank", "chunk_id", *none))
+
+
+def retrieval_scores(ranked: DataFrame, expected: DataFrame, samples: DataFrame, retrieved: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
     """Per sample: recall_k, precision_5, mrr, ndcg_5, hit, per_doc_recall, sub_query_coverage, group_expansion_hit.
 
-    ranked: (query_id, rank 1, 2, …, chunk_id, content_hash, doc_id, group_id), a bounded number for a sample; expected:
+    ranked: (query_id, rank 1, 2, …, chunk_id, content_hash, doc_id, group_id), see evidence(), a bounded number for a
+    sample; retrieved: (query_id, chunk_id), all that was found, by which alone sub-queries are covered; expected:
     (query_id, kind, value), kind being id, hash or doc; samples: (query_id, sub_queries), their number. A hit is relevant
     by its id or its hash, and counts once for each hash (else id). Recall is the better of both kinds over the number of
     expected hashes, or of ids without any. Without expected ids and hashes recall, mrr and ndcg are 1, precision is 1 if
@@ -30,13 +56,14 @@ def retrieval_scores(ranked: DataFrame, expected: DataFrame, samples: DataFrame,
     found = r.groupBy("query_id").agg(
         *[F.greatest(some(F.col("is_id") & upto(k), "chunk_id"), some(F.col("is_hash") & upto(k), "content_hash")).alias(f"h_{k}") for k in ks],
         some(upto(5), "key").alias("keys_5"), F.count_if(upto(5)).alias("n_5"), F.min(F.when(F.col("key").isNotNull(), F.col("rank"))).alias("first"),
-        some(F.col("is_doc"), "doc_id").alias("docs"), F.max(F.coalesce("is_id", F.lit(False))).alias("any_id"),
+        some(F.col("is_doc"), "doc_id").alias("docs"),
         (F.count_if(F.col("group_id").isNotNull()) > F.size(F.collect_set("group_id"))).alias("group_expansion_hit"),
     )
     gains = r.where(F.col("key").isNotNull() & upto(5)).groupBy("query_id", "key").agg(F.min("rank").alias("rank"))
     gains = gains.groupBy("query_id").agg(F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    covered = retrieved.select("query_id", "chunk_id").join(of("id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").select("query_id").distinct().withColumn("any_id", F.lit(True))
     size = want.groupBy("query_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("id", "hash", "doc")])
-    s = samples.select("query_id", "sub_queries").join(size, "query_id", "left").join(found, "query_id", "left").join(gains, "query_id", "left")
+    s = samples.select("query_id", "sub_queries").join(size, "query_id", "left").join(found, "query_id", "left").join(gains, "query_id", "left").join(covered, "query_id", "left")
     s = s.fillna(0, ["n_id", "n_hash", "n_doc", "n_5", "keys_5", "docs", *[f"h_{k}" for k in ks]]).fillna(0.0, ["dcg"]).fillna(False, ["any_id", "group_expansion_hit"])
     empty = (F.col("n_id") == 0) & (F.col("n_hash") == 0)
     asked = F.when(F.col("n_hash") > 0, F.col("n_hash")).otherwise(F.col("n_id"))

@@ -62,7 +62,7 @@ def heading_level_text(text: Column, height: Column, center_x: Column, page_widt
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
     capitals = F.when(letters > 0, F.regexp_count(t, F.lit(r"\p{Lu}")) / letters).otherwise(0.0)
     announces = T.has_any(t, ANNOUNCEMENTS) & ~F.contains(low, F.lit("financial highlights"))
-    none = (F.length(t) < 4) | T.has_any(t, T.FURNITURE_TERMS) | low.isin(HEADER_FRAGMENTS) | announces | t.rlike(r"^\p{Ll}") | (F.endswith(t, F.lit(".")) & (letters > 6)) | t.rlike(DATE_LINE)
+    none = (F.length(t) < 4) | T.is_furniture(t) | low.isin(HEADER_FRAGMENTS) | announces | t.rlike(r"^\p{Ll}") | (F.endswith(t, F.lit(".")) & (letters > 6)) | t.rlike(DATE_LINE)
     depth = F.regexp_count(F.regexp_extract(t, NUMBERED, 1), F.lit(r"\.")) + 1
     centered, tall = F.abs(center_x - page_width / 2) < page_width * 0.18, height >= median_height * 1.18
     by_form = (

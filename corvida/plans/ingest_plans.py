@@ -93,7 +93,7 @@ def _(s, d):
 
 
 _LOW = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
-_IS_FURNITURE = " or ".join({"matches": f"regexp_full_match({_LOW}, '{v}')", "is": f"{_LOW} = '{v}'", "holds": f"contains({_LOW}, '{v}')", "begins": f"regexp_matches({_LOW}, '^{v}')"}[how] for how, v in T.FURNITURE)
+_IS_FURNITURE = " or ".join([*[f"regexp_matches({_LOW}, '{p}')" for p in T.FURNITURE_PATTERNS], *[f"{_LOW} = '{x}'" for x in T.FURNITURE_LINES], *[f"contains({_LOW}, '{x}')" for x in T.FURNITURE_HOLDS]])
 
 
 @query("drop_page_furniture", with_("lines") + f""", {LAYOUT}, p as (select * replace (case when y = 54 then 'Telephone: ' || doc_id when y = 72 then 'page ' || page || ' of 9' when y = 86.4 then 'on the line' else text end as text) from (select * replace (case when y = 90 then 86.4 else y end as y) from layout)),
@@ -117,14 +117,17 @@ def _(s, d):
     return I.ingest_summary(X.chunks(s, d))
 
 
-# each page ends with a table of its own; elements end where others begin, which SQL here has no pattern for: a test holds
-# all pages against a parser
-@query("markup_blocks")
-def _(s, d):
+def tagged_pages(s, d):
+    """pages, each with a table of its own at its end."""
     extra = "<h4>Facts</h4><table class=x><tr><th>Name</th><th>Value</th></tr><tr><td>page</td><td><b>"
-    p = X.table(s, d, "pages")
     html = F.concat("html", F.lit(extra), F.col("page_id").cast("string"), F.lit("</b></td></tr></table><p>end"))
-    return I.markup_blocks(p.withColumn("html", html)).withColumn("path", F.array_join("path", " > "))
+    return X.table(s, d, "pages").withColumn("html", html)
+
+
+# elements end where others begin, which SQL here has no pattern for: a test holds all pages against a parser
+@query("markup_blocks")
+def _(s, d):
+    return I.markup_blocks(tagged_pages(s, d)).withColumn("path", F.array_join("path", " > "))
 
 
 QUERIES, ORACLES = Q, O

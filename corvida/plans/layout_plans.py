@@ -10,7 +10,7 @@ from corvida.functions import text as T
 from corvida.operators import chunking as C
 from corvida.operators import ingest as I
 from corvida.operators import layout as L
-from corvida.plans.ingest_plans import LAYOUT, layout
+from corvida.plans.ingest_plans import _IS_FURNITURE, LAYOUT, layout, tagged_pages
 from corvida.plans.shape_plans import MARKDOWN, part_chunks, part_tables
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
@@ -55,7 +55,7 @@ def _(s, d):
 
 
 # headings by text: lines with numbers, capitals and cut lengths, of varied height and place
-TEXTS = """t as (select doc_id, line_no, case line_no % 6 when 0 then (line_no % 4 + 1) || '.' || (line_no % 3) || ' ' || left(line, 40) when 1 then upper(regexp_replace(left(line, 30), '[^a-zA-Z ]', '', 'g')) when 2 then left(line, 60) when 3 then 'Annual Performance ' || line_no when 4 then '12 March, 2024' else line end as text,
+TEXTS = """t as (select doc_id, line_no, case line_no % 6 when 0 then (line_no % 4 + 1) || '.' || (line_no % 3) || ' ' || left(line, 40) when 1 then upper(regexp_replace(left(line, 30), '[^a-zA-Z ]', '', 'g')) when 2 then left(line, 60) when 3 then 'Annual Performance ' || line_no when 4 then case line_no % 18 when 4 then 'MAKER CHAMBERS IV NARIMAN POINT' when 10 then 'Registered Office Network Expansion' else '12 March, 2024' end else line end as text,
   10.0 + line_no % 5 as height, 200.0 + (line_no % 7) * 60 as center_x from lines)"""
 
 
@@ -63,11 +63,11 @@ def texts(s, d):
     n = F.col("line_no")
     cleaned = F.upper(F.regexp_replace(F.substring("line", 1, 30), "[^a-zA-Z ]", ""))
     numbered = F.concat((n % 4 + 1).cast("string"), F.lit("."), (n % 3).cast("string"), F.lit(" "), F.substring("line", 1, 40))
-    text = F.when(n % 6 == 0, numbered).when(n % 6 == 1, cleaned).when(n % 6 == 2, F.substring("line", 1, 60)).when(n % 6 == 3, F.concat(F.lit("Annual Performance "), n.cast("string"))).when(n % 6 == 4, "12 March, 2024").otherwise(F.col("line"))
+    text = F.when(n % 6 == 0, numbered).when(n % 6 == 1, cleaned).when(n % 6 == 2, F.substring("line", 1, 60)).when(n % 6 == 3, F.concat(F.lit("Annual Performance "), n.cast("string"))).when(n % 18 == 4, "MAKER CHAMBERS IV NARIMAN POINT").when(n % 18 == 10, "Registered Office Network Expansion").when(n % 6 == 4, "12 March, 2024").otherwise(F.col("line"))
     return X.lines(s, d).select("doc_id", "line_no", text.alias("text"), (10.0 + n % 5).alias("height"), (200.0 + (n % 7) * 60).alias("center_x"))
 
 
-LEVEL = f"""case when length(u) < 4 or {_any(T.FURNITURE_TERMS, 'lower(u)')} or lower(u) in ({', '.join(repr(x) for x in L.HEADER_FRAGMENTS)}) or ({_any(L.ANNOUNCEMENTS, 'lower(u)')} and not contains(lower(u), 'financial highlights'))
+LEVEL = f"""case when length(u) < 4 or {_IS_FURNITURE} or lower(u) in ({', '.join(repr(x) for x in L.HEADER_FRAGMENTS)}) or ({_any(L.ANNOUNCEMENTS, 'lower(u)')} and not contains(lower(u), 'financial highlights'))
   or regexp_matches(u, '^\\p{{Ll}}') or (ends_with(u, '.') and letters > 6) or regexp_matches(u, '{L.DATE_LINE}') then 0 when regexp_matches(u, '{L.PERFORMANCE_LINE}') then 2 when regexp_matches(u, '\\d') and letters < 3 then 0
   when regexp_matches(u, '{L.NUMBERED}') then least(4, len(string_split(regexp_extract(u, '{L.NUMBERED}', 1), '.'))) when length(u) <= 100 and tall and centered then 1 when length(u) <= 120 and tall then 2
   when length(u) between 8 and 120 and capitals > 0.78 then 2 when length(u) <= 90 and centered and capitals > 0.45 then 3 else 0 end"""
@@ -229,6 +229,17 @@ def _(s, d):
     return C.chunk_sections(L.section_paths(levels(s, d)), 200).withColumn("path", F.array_join("path", "/"))
 
 
+# blocks of tagged pages, a table at each page's end: lists and tables stand among paragraphs, under up to four headings
+@query("chunk_section_blocks")
+def _(s, d):
+    b = I.markup_blocks(tagged_pages(s, d)).withColumnRenamed("page_id", "doc_id").withColumnRenamed("block_no", "line_no")
+    lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^\| ---"))
+    cells = F.transform(lines, lambda x: F.split(F.regexp_replace(x, r"^\| | \|$", ""), r" \| "))
+    kinds = b.select("doc_id", "line_no", F.when(F.col("kind").isin("list", "table"), F.col("kind")).otherwise("text").alias("kind"), F.split("text", "\n").alias("items"), F.element_at(cells, 1).alias("headers"), F.slice(cells, F.lit(2), F.size(cells)).alias("rows"))
+    paths = L.section_paths(b.select("doc_id", "line_no", "text", "level"))
+    return C.chunk_blocks(paths.join(kinds, ["doc_id", "line_no"]), 60).withColumn("path", F.array_join("path", "/"))
+
+
 @query("merge_headers")
 def _(s, d):
     rows = L.assign_cells(L.filter_table_rows(L.detect_tables(cells(s, d)))).groupBy(*L.TABLE, "row_no").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("l"))

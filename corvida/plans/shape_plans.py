@@ -9,6 +9,7 @@ from corvida.operators import chat, context, evaluate, tables
 from corvida.plans.retrieve_plans import QUESTIONS, VECTOR_HITS, hybrid_questions, vector_side
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
+from corvida.sources.folders import written
 
 Q, O = {}, {}
 
@@ -222,11 +223,33 @@ def _(s, d):
     return chat.history_budget(X.messages(s, d), 300)
 
 
-# H: the ten best chunks of each question by vectors. A question expects the first chunks of its document and, every other
+# sessions ask their last user message with the ten messages before as history and the first blocks of the document of
+# their number as evidence; a prompt has 512 tokens
+@query("prompt_history", with_("messages", "chunks") + f""", w as (select * from messages qualify row_number() over (partition by session_id order by turn desc) <= 10), l as (select *, max(case when role = 'user' then turn end) over (partition by session_id) as latest from w),
+h as (select session_id as query_id, coalesce(string_agg(role || ': ' || content, chr(10) order by turn) filter (where turn is distinct from latest), '') as history, coalesce(arg_max(content, turn) filter (where role = 'user'), '') as query from l group by session_id),
+used as (select doc_id as query_id, sum({_WORDS.format("'[Source: ' || file_name || ', relevance: ' || printf('%.2f', 1.0 / (1 + chunk_index)) || ']' || chr(10) || content")}) + count(*) - 1 as used from chunks where chunk_index < 2 group by doc_id),
+fixed as (select h.query_id, history, {len(INSTRUCTIONS.split())} + {_WORDS.format("query")} + coalesce(used, 0) as fixed from h left join used using (query_id)),
+parts as (select query_id, fixed, unnest(string_split(history, chr(10))) as line, unnest(range(len(string_split(history, chr(10))))) as pos from fixed),
+upto as (select query_id, pos, regexp_replace(line, '\\s+$', '') as line, fixed + sum({_WORDS.format("line")}) over (partition by query_id order by pos desc rows between unbounded preceding and current row) as upto from parts where not regexp_matches(line, '^\\s*$')),
+told as (select query_id, string_agg(line, chr(10) order by pos) as history, max(upto) as words from upto where floor(upto * 1.3) <= 512 group by query_id)
+select f.query_id, coalesce(t.history, '') as history, cast(floor(coalesce(words, fixed) * 1.3) as bigint) as tokens from fixed f left join told t using (query_id)""")
+def _(s, d):
+    m = X.messages(s, d)
+    asked = m.where("role = 'user'").groupBy("session_id").agg(F.max_by("content", "turn").alias("query"))
+    q = chat.history_window(m).join(asked, "session_id", "left").select(F.col("session_id").alias("query_id"), "query", F.lit(None).cast("string").alias("note"), "history")
+    blocks = X.chunks(s, d).where("chunk_index < 2").select(F.col("doc_id").alias("query_id"), "file_name", "content", (1 / (1 + F.col("chunk_index"))).alias("score"))
+    return context.budgeted_history(q, blocks, INSTRUCTIONS, 700, 60)
+
+
+# H: the twenty best chunks of each question by vectors, each content once, and the first ten of these; a fifth of the
+# questions ended before it had any final chunks. A question expects the first chunks of its document and, every other
 # one, the hash of the first one too; every third has no evidence, and some have sub-queries. A question without a vector
 # has no hits.
 RANKED = f"""{QUESTIONS}, {VECTOR_HITS},
-trace as (select v.query_id, v_rank as rank, chunk_id, md5(c.content) as hash, c.doc_id, c.group_id from v join chunks c using (chunk_id) where v_rank <= 10),
+retrieved as (select v.query_id, v_rank as rank, chunk_id, md5(c.content) as hash, c.doc_id, c.group_id from v join chunks c using (chunk_id)),
+deduped as (select * replace (row_number() over (partition by query_id order by rank) as rank) from (select * from retrieved qualify row_number() over (partition by query_id, hash order by rank) = 1)),
+final as (select * from deduped where rank <= 10 and query_id // 20 % 5 <> 4),
+trace as (select * from final union all select query_id, rank, chunk_id, null, null, null from deduped where query_id not in (select query_id from final)),
 expected as (select doc_id as query_id, 'id' as kind, chunk_id as value from chunks where doc_id % 20 = 0 and doc_id % 60 <> 0 and chunk_index < 3
   union select doc_id, 'hash', md5(content) from chunks where doc_id % 40 = 0 and doc_id % 60 <> 0 and chunk_index = 0
   union select doc_id, 'doc', cast(doc_id + k as varchar) from documents, (values (0), (20)) as t(k) where doc_id % 20 = 0 and doc_id % 60 <> 0),
@@ -234,19 +257,32 @@ t as (select r.*, i.value is not null as is_id, h.value is not null as is_hash,
   left join expected i on i.query_id = r.query_id and i.kind = 'id' and i.value = r.chunk_id left join expected h on h.query_id = r.query_id and h.kind = 'hash' and h.value = r.hash left join expected o on o.query_id = r.query_id and o.kind = 'doc' and o.value = cast(r.doc_id as varchar)),
 e as (select query_id, count(*) filter (where kind = 'id') as n_id, count(*) filter (where kind = 'hash') as n_hash, count(*) filter (where kind = 'doc') as n_doc from expected group by query_id),
 f as (select query_id, {", ".join(f"greatest(count(distinct chunk_id) filter (where is_id and rank <= {k}), count(distinct hash) filter (where is_hash and rank <= {k})) as h_{k}" for k in (3, 5, 10))},
-  count(distinct key) filter (where rank <= 5) as keys_5, count(*) filter (where rank <= 5) as n_5, min(rank) filter (where key is not null) as first, count(distinct doc_id) filter (where is_doc) as docs, bool_or(is_id) as any_id, count(group_id) > count(distinct group_id) as grouped from t group by query_id),
+  count(distinct key) filter (where rank <= 5) as keys_5, count(*) filter (where rank <= 5) as n_5, min(rank) filter (where key is not null) as first, count(distinct doc_id) filter (where is_doc) as docs, count(group_id) > count(distinct group_id) as grouped from t group by query_id),
 g as (select query_id, sum(1 / log2(r + 1)) as dcg from (select query_id, key, min(rank) as r from t where key is not null and rank <= 5 group by all) group by query_id),
 j as (select q.query_id, case when coalesce(n_hash, 0) > 0 then n_hash else coalesce(n_id, 0) end as asked, coalesce(n_id, 0) + coalesce(n_hash, 0) = 0 as empty, * exclude (query_id) from questions q left join e using (query_id) left join f using (query_id) left join g using (query_id)),
 scores as (select query_id, {", ".join(f"case when empty then 1 else least(1, coalesce(h_{k}, 0) / asked) end as recall_{k}" for k in (3, 5, 10))},
   case when coalesce(n_5, 0) = 0 then (case when empty then 1 else 0 end) else keys_5 / n_5 end as precision_5, case when empty then 1 else coalesce(1.0 / first, 0) end as mrr,
   case when empty then 1 when coalesce(n_5, 0) = 0 then 0 else coalesce(dcg, 0) / list_sum(list_transform(range(1, least(asked, n_5) + 1), lambda i: 1 / log2(i + 1))) end as ndcg_5, case when not empty and first is not null then 1.0 else 0.0 end as hit,
-  case when coalesce(n_doc, 0) = 0 then 1 else coalesce(docs, 0) / n_doc end as per_doc_recall, case when query_id // 20 % 2 = 0 or coalesce(n_id, 0) = 0 or any_id then 1.0 else 0.0 end as sub_query_coverage, coalesce(grouped, false) as group_expansion_hit from j)"""
+  case when coalesce(n_doc, 0) = 0 then 1 else coalesce(docs, 0) / n_doc end as per_doc_recall, case when query_id // 20 % 2 = 0 or coalesce(n_id, 0) = 0 or query_id in (select r.query_id from retrieved r join expected i on i.query_id = r.query_id and i.kind = 'id' and i.value = r.chunk_id) then 1.0 else 0.0 end as sub_query_coverage, coalesce(grouped, false) as group_expansion_hit from j)"""
 
 
 def traces(s, d):
+    """(retrieved, deduped, final)."""
     _, v = vector_side(s, d)
     c = X.chunks(s, d).select("chunk_id", F.md5(F.col("content").cast("binary")).alias("content_hash"), "doc_id", "group_id")
-    return v.where("rank <= 10").join(c, "chunk_id").select("query_id", "rank", "chunk_id", "content_hash", "doc_id", "group_id")
+    hits = v.join(c, "chunk_id").select("query_id", "rank", "chunk_id", "content_hash", "doc_id", "group_id")
+    retrieved, deduped, final = evaluate.stages(written(hits, "hits"))
+    return retrieved, deduped, final.where(F.floor(F.col("query_id") / 20) % 5 != 4)
+
+
+@query("trace_stages", with_("chunks") + f""", {RANKED}, ids_1 as (select query_id, string_agg(chunk_id, ',' order by rank) as retrieved_ids from retrieved group by query_id), ids_2 as (select query_id, string_agg(chunk_id, ',' order by rank) as deduped_ids from deduped group by query_id),
+ids_3 as (select query_id, string_agg(chunk_id, ',' order by rank) as final_ids, string_agg(hash, ',' order by rank) as final_hashes from final group by query_id)
+select query_id, retrieved_ids, deduped_ids, coalesce(final_ids, '') as final_ids, coalesce(final_hashes, '') as final_hashes from ids_1 join ids_2 using (query_id) left join ids_3 using (query_id)""")
+def _(s, d):
+    retrieved, deduped, final = traces(s, d)
+    hashes = final.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content_hash"))).alias("l")).select("query_id", F.array_join("l.content_hash", ",").alias("final_hashes"))
+    ids = evaluate.trace_ids(retrieved, deduped, final).join(hashes, "query_id", "left")
+    return ids.select("query_id", *[F.array_join(c, ",").alias(c) for c in ("retrieved_ids", "deduped_ids", "final_ids")], F.coalesce("final_hashes", F.lit("")).alias("final_hashes"))
 
 
 def scores(s, d):
@@ -255,7 +291,8 @@ def scores(s, d):
     docs = X.table(s, d, "documents").where("doc_id % 20 = 0 and doc_id % 60 <> 0").select("doc_id", F.explode(F.array(F.lit(0), F.lit(20))).alias("k"))
     expected = of(c.where("chunk_index < 3"), "id", F.col("chunk_id")).unionByName(of(c.where("doc_id % 40 = 0 and chunk_index = 0"), "hash", F.md5(F.col("content").cast("binary")))).unionByName(of(docs, "doc", F.col("doc_id") + F.col("k")))
     samples = hybrid_questions(s, d).select("query_id", (F.floor(F.col("query_id") / 20) % 2).cast("int").alias("sub_queries"))
-    return evaluate.retrieval_scores(traces(s, d), expected, samples)
+    retrieved, deduped, final = traces(s, d)
+    return evaluate.retrieval_scores(evaluate.evidence(deduped, final), expected, samples, retrieved)
 
 
 for _name, _cols in {"recall_at_k": ["recall_3", "recall_5", "recall_10"], "precision_at_5": ["precision_5"], "mrr": ["mrr"], "ndcg_at_5": ["ndcg_5"], "hit_doc_subquery_scores": ["hit", "per_doc_recall", "sub_query_coverage"]}.items():

@@ -1,5 +1,6 @@
 """Layout and chunking against plain Python, and streams."""
 
+import random
 import re
 
 import pytest
@@ -108,6 +109,84 @@ def test_headers(spark):
     assert got[2] == (["Item", "Q2"], [["a", "5"], ["b", "6"]]) and got[3] == (["x"], []) and got[4] == ([], [])
 
 
+def plain_blocks(blocks, most):
+    """Sections' chunks block by block: (path, content, is grouped, is head)."""
+    tokens = lambda t: max(1, int(len(re.split(r"\s+", t)) * 1.3))
+    out, held = [], []
+
+    def flush(path):
+        if held:
+            out.append((path, "\n\n".join(held).strip(), False, False))
+        held.clear()
+
+    def parts(path, lines, head):
+        part, first = [], head is None
+        for line in [*lines, None]:
+            if part and (line is None or sum(map(tokens, part)) + tokens(line) > most):
+                out.append((path, "\n".join([*([head] if head else []), *part]), True, first))
+                part, first = [], False
+            if line is not None:
+                part.append(line)
+
+    sections = {}
+    for b in blocks:
+        if b["level"] == 0:
+            sections.setdefault(b["section"], []).append(b)
+    for own in sections.values():
+        path = own[0]["path"]
+        for b in own:
+            if b["kind"] == "table":
+                flush(path)
+                width = max(len(b["headers"]), len(b["rows"][0]) if b["rows"] else 0)
+                row = lambda r: "| " + " | ".join((r[i] if i < len(r) and r[i] else "-") for i in range(width)) + " |"  # noqa: B023, E731
+                head = "| " + " | ".join((b["headers"][i] if i < len(b["headers"]) and b["headers"][i] else f"Col {i + 1}") for i in range(width)) + " |\n" + "| " + " | ".join(["---"] * width) + " |"
+                lines = [row(r) for r in b["rows"]]
+                if tokens("\n".join([head, *lines])) <= most:
+                    out.append((path, "\n".join([head, *lines]), False, False))
+                else:
+                    out.append((path, head, True, True))
+                    parts(path, lines, head)
+                continue
+            text = "\n".join(b["items"]) if b["kind"] == "list" else b["text"]
+            if b["kind"] == "list" and tokens(text) > most:
+                flush(path)
+                parts(path, b["items"], None)
+                continue
+            if held and sum(map(tokens, held)) + tokens(text) > most:
+                flush(path)
+            held.append(text)
+        flush(path)
+    return out
+
+
+def test_blocks_of_kinds(spark):
+    """A section of text, table, text and lists; tables and long lists close the chunk before them."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice("river stone cloud meadow".split()) for _ in range(n))
+    kinds = ["text", "table", "text", "list", "list", "text", "text", "table", "text"]
+    rows = []
+    for doc in range(6):
+        for no, kind in enumerate(["head", *kinds, "head", "text", "head", *kinds]):
+            n = rng.randrange(1, 9)
+            items = ["- " + words(rng.randrange(1, 6)) for _ in range(n)] if kind == "list" else None
+            table = ([words(1) if i else "" for i in range(rng.randrange(1, 4))], [[words(1) if rng.random() < 0.8 else "" for _ in range(rng.randrange(1, 5))] for _ in range(n - 1)]) if kind == "table" else (None, None)
+            rows.append((doc, no, words(2) if kind == "head" else words(n) if kind == "text" else None, int(kind == "head"), "text" if kind == "head" else kind, items, *table))
+    df = spark.createDataFrame(rows, "doc_id int, line_no long, text string, level int, kind string, items array<string>, headers array<string>, rows array<array<string>>")
+    paths = L.section_paths(df.select("doc_id", "line_no", "text", "level"))
+    blocks = paths.join(df.drop("text", "level"), ["doc_id", "line_no"])
+    got = C.chunk_blocks(blocks, 14).orderBy("doc_id", "first_line", "part").collect()
+    told = [r.asDict() | {"section": (r.doc_id, r.section_line)} for r in blocks.orderBy("doc_id", "line_no").collect()]
+    assert [(r.path, r.content, r.group_id is not None, r.is_group_head) for r in got] == plain_blocks(told, 14)
+    assert {(r.group_id is not None, r.is_group_head) for r in got} == {(False, False), (True, False), (True, True)}
+
+
+def test_blocks_without_content(spark):
+    rows = [(1, 0, "A", 1, "text", None, None, None), (1, 1, " ", 0, "text", None, None, None), (1, 2, None, 0, "list", [], None, None), (1, 3, None, 0, "table", None, [], []), (1, 4, None, 0, "table", None, None, None), (1, 5, None, 0, "text", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, line_no long, text string, level int, kind string, items array<string>, headers array<string>, rows array<array<string>>")
+    blocks = L.section_paths(df.select("doc_id", "line_no", "text", "level")).join(df.drop("text", "level"), ["doc_id", "line_no"])
+    assert [(r.path, r.content) for r in C.chunk_blocks(blocks).collect()] == [([], "A")]
+
+
 TEXT = "a <think>deep < thought</think> b<|channel>thought more<channel|> c <thin"
 
 

@@ -110,12 +110,27 @@ def test_duplicate_evidence_counts_once(spark):
     ranked = spark.createDataFrame([("q1", n, f"c{n}", "same", 1, None) for n in (1, 2, 3)], "query_id string, rank int, chunk_id string, content_hash string, doc_id int, group_id string")
     expected = spark.createDataFrame([("q1", "hash", "same"), ("q3", "id", "c9")], "query_id string, kind string, value string")
     samples = spark.createDataFrame([("q1", 0), ("q2", 0), ("q3", 2)], "query_id string, sub_queries int")
-    got = {r.query_id: r for r in evaluate.retrieval_scores(ranked, expected, samples).collect()}
+    got = {r.query_id: r for r in evaluate.retrieval_scores(ranked, expected, samples, ranked).collect()}
     assert got["q1"].recall_5 == 1.0 and got["q1"].precision_5 == pytest.approx(1 / 3) and got["q1"].mrr == 1 and got["q1"].ndcg_5 == 1 and got["q1"].hit == 1 and not got["q1"].group_expansion_hit
     assert (got["q2"].recall_3, got["q2"].precision_5, got["q2"].mrr, got["q2"].hit, got["q2"].per_doc_recall, got["q2"].sub_query_coverage) == (1, 1, 1, 0, 1, 1)
     assert (got["q3"].recall_3, got["q3"].precision_5, got["q3"].mrr, got["q3"].ndcg_5, got["q3"].sub_query_coverage) == (0, 0, 0, 0, 0)
 
 
+def test_stages_of_a_trace(spark):
+    """Sub-queries are covered by what was retrieved; a question without final chunks is scored by its deduped ids alone."""
+    rows = [("a", 1, "c1", "h1", 1, "g"), ("a", 2, "c2", "h1", 2, "g"), ("a", 3, "c3", "h3", 3, "g"), ("b", 1, "c1", "h1", 1, "g"), ("b", 2, "c4", "h4", 4, "g")]
+    hits = spark.createDataFrame(rows, "query_id string, rank int, chunk_id string, content_hash string, doc_id int, group_id string")
+    retrieved, deduped, final = evaluate.stages(hits, 1)
+    final = final.where("query_id = 'a'")
+    ids = {r.query_id: (r.retrieved_ids, r.deduped_ids, r.final_ids) for r in evaluate.trace_ids(retrieved, deduped, final).collect()}
+    assert ids == {"a": (["c1", "c2", "c3"], ["c1", "c3"], ["c1"]), "b": (["c1", "c4"], ["c1", "c4"], [])}
+    expected = spark.createDataFrame([("a", "id", "c2"), ("a", "doc", "1"), ("b", "id", "c4"), ("b", "doc", "4"), ("b", "hash", "h4")], "query_id string, kind string, value string")
+    samples = spark.createDataFrame([("a", 2), ("b", 1)], "query_id string, sub_queries int")
+    got = {r.query_id: r for r in evaluate.retrieval_scores(evaluate.evidence(deduped, final), expected, samples, retrieved).collect()}
+    assert (got["a"].recall_5, got["a"].hit, got["a"].per_doc_recall, got["a"].sub_query_coverage) == (0, 0, 1, 1)
+    assert (got["b"].recall_5, got["b"].mrr, got["b"].per_doc_recall, got["b"].sub_query_coverage, got["b"].group_expansion_hit) == (1, 0.5, 0, 1, False)
+
+
 def test_an_empty_run_has_zeros(spark):
     empty = spark.createDataFrame([], "query_id int, question string, recall_5 double, per_doc_recall double, mrr double, faithfulness double, correctness double, latency_ms long")
     summary = evaluate.summarize(empty)
