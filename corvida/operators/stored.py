@@ -40,6 +40,13 @@ def bucket(*keys: str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def of_key(stored: Stored, key: str, value: object) -> DataFrame:
+    """The rows with a value of the key that the buckets go by; its bucket alone is read."""
+    kind = dict(stored.read().dtypes)[key]
+    place = stored.spark.range(1).select(F.lit(value).cast(kind).alias(key)).select(bucket(key)).first()[0]
+    return stored.read().where((F.col(stored.by) == place) & F.col(key).eqNullSafe(F.lit(value).cast(kind)))
+
+
 def save(rows: DataFrame, path: str, by: str, spread: int = 4) -> Stored:
     """Writes rows as a new table partitioned by `by`. A partition's rows come from up to `spread` tasks, so that one value
     of very many rows is no single task."""

@@ -10,6 +10,7 @@ from corvida.operators import retrieve as R
 from corvida.operators import store as S
 from corvida.plans.retrieve_plans import SIDES, hybrid_questions, sides
 from corvida.plans.shape_plans import PAIRS, RANKED, pairs, scores, traces
+from corvida.plans.store_plans import FNV, HASHED
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
 
@@ -26,9 +27,9 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("trace_chunks", with_("chunks", "lines") + f", {PAIRS} select query_id, rank, chunk_id, left(content, 600) as content_preview from pairs")
+@query("trace_chunks", with_("chunks", "lines") + f", {PAIRS}, hashed as (select *, {FNV.format('lower(trim(content))')} as h from pairs) select query_id, rank, chunk_id, {HASHED.format('h')} as content_hash, left(content, 600) as content_preview from hashed")
 def _(s, d):
-    return judging.trace_chunks(pairs(s, d).select("query_id", "rank", "chunk_id", "content")).drop("content_hash")
+    return judging.trace_chunks(pairs(s, d).select("query_id", "rank", "chunk_id", "content"))
 
 
 @query("trace_rollup", with_("chunks") + f""", {SIDES}, t as (select h.*, case when retrieval_source in ('hybrid', 'lexical') then array_to_string(list_transform(list_filter(terms, lambda t: not regexp_matches(t, '[-&]')), lambda t: t || '*'), ' OR ') end as expression from h join terms using (query_id) where rank <= 5),
@@ -119,7 +120,8 @@ def _(s, d):
 
 @query("score_run", with_("chunks") + f", {RANKED}, r as (select query_id, count(*) as hits from trace group by query_id) select query_id, hits, round(cast(recall_5 as double), 6) as recall_5, round(cast(mrr as double), 6) as mrr from r join scores using (query_id)")
 def _(s, d):
-    runs = traces(s, d).groupBy("query_id").agg(F.count("*").alias("hits"))
+    _, deduped, final = traces(s, d)
+    runs = evaluate.evidence(deduped, final).groupBy("query_id").agg(F.count("*").alias("hits"))
     return judging.score_run(hybrid_questions(s, d).select("query_id"), runs, scores(s, d).select("query_id", F.round("recall_5", 6).alias("recall_5"), F.round("mrr", 6).alias("mrr")))
 
 
@@ -156,15 +158,15 @@ def items(s, d):
     return it, wanted.join(c, "doc_id")
 
 
-BUILT = """c as (select doc_id, chunk_id from chunks where chunk_index = 0), w as (select id, unnest(case when type = 'multi_hop' then [0, 1] else [0] end) as place from i where type <> 'adversarial'), e as (select w.id, string_agg(chunk_id, ',' order by place) as ids, string_agg(cast(doc_id as varchar), ',' order by doc_id) as docs, count(*) as n from w join c on c.doc_id = w.id + w.place group by w.id)"""
+BUILT = f"""c0 as (select doc_id, chunk_id, {FNV.format('lower(trim(content))')} as h from chunks where chunk_index = 0), c as (select doc_id, chunk_id, {HASHED.format('h')} as hash from c0), w as (select id, unnest(case when type = 'multi_hop' then [0, 1] else [0] end) as place from i where type <> 'adversarial'), e as (select w.id, string_agg(chunk_id, ',' order by place) as ids, string_agg(hash, ',' order by place) as hashes, string_agg(cast(doc_id as varchar), ',' order by doc_id) as docs, count(*) as n from w join c on c.doc_id = w.id + w.place group by w.id)"""
 
 
 @query("build_samples", with_("chunks") + f""", {TYPES}, {BUILT}, q as (select *, len(list_filter([{', '.join(repr(x) for x in judging.CALCULATIONS)}], lambda x: contains(lower(question), x))) > 0 as computes from i)
-select q.id, type, question, gold_answer, coalesce(ids, '') as expected_chunk_ids, coalesce(docs, '') as expected_doc_ids, case when type in ('single_hop', 'adversarial') then 'SINGLE_SHOT' else 'AGENTIC' end as expected_route, type = 'adversarial' as expected_refusal,
+select q.id, type, question, gold_answer, coalesce(ids, '') as expected_chunk_ids, coalesce(hashes, '') as expected_content_hashes, coalesce(docs, '') as expected_doc_ids, case when type in ('single_hop', 'adversarial') then 'SINGLE_SHOT' else 'AGENTIC' end as expected_route, type = 'adversarial' as expected_refusal,
   case when type = 'adversarial' then 'adversarial' when type = 'table_lookup' then 'table' when type = 'multi_hop' and n > 1 then 'multi_doc' else 'narrative' end as source_type, type <> 'adversarial' and computes as requires_calculation from q left join e using (id)""")
 def _(s, d):
-    got = judging.build_samples(*items(s, d)).drop("expected_content_hashes")
-    return got.withColumns({c: F.array_join(c, ",") for c in ("expected_chunk_ids", "expected_doc_ids")})
+    got = judging.build_samples(*items(s, d))
+    return got.withColumns({c: F.array_join(c, ",") for c in ("expected_chunk_ids", "expected_content_hashes", "expected_doc_ids")})
 
 
 @query("validate_samples", with_("chunks") + f", {TYPES}, {BUILT} select id from i left join e using (id) where type = 'adversarial' or (n > 0 and id % 5 <> 0 and exists (select 1 from chunks k where k.chunk_index = 0 and k.doc_id between i.id and i.id + case when type = 'multi_hop' then 1 else 0 end and regexp_replace(k.content, '^\\s+|\\s+$', '', 'g') <> ''))")

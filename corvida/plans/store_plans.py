@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvida.functions import text as T
 from corvida.operators import store as S
+from corvida.operators import stored
 from corvida.sources import fixtures as X
 from corvida.sources.fixtures import with_
 from corvida.sources.folders import shared_folder
@@ -76,6 +77,32 @@ def _(s, d):
     return sessions(s, d).orderBy(F.desc("is_pinned"), F.desc("updated_at"))
 
 
+# the same tables, written in partitions: by collection, and messages by a bucket of their session
+def folder(s, name):
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("stored_collection", with_("chunks") + "select chunk_id, doc_id, chunk_index, content from chunks where collection_id = 'src2'")
+def _(s, d):
+    table = stored.save(X.chunks(s, d).select("chunk_id", "doc_id", "chunk_index", "content", "collection_id"), folder(s, "chunks"), "collection_id")
+    return S.in_order(table.read(), collection_id="src2").drop("collection_id")
+
+
+@query("stored_session", with_("messages") + "select id, turn, role, content from messages where session_id = 3")
+def _(s, d):
+    table = stored.save(X.messages(s, d).withColumn("bucket", stored.bucket("session_id")), folder(s, "messages"), "bucket")
+    return stored.of_key(table, "session_id", 3).select("id", "turn", "role", "content")
+
+
+@query("stored_delete_cascade", with_("docs", "chunks") + ", gone as (select id from docs where collection_id = 'src3' or (collection_id = 'src4' and chunk_count > 2)) select id as doc_id, coalesce(n, 0) as chunks from docs left join (select doc_id, count(*) as n from chunks group by doc_id) c on c.doc_id = docs.id where id not in (select id from gone)")
+def _(s, d):
+    docs = stored.save(X.documents(s, d), folder(s, "documents"), "collection_id")
+    chunks = stored.save(X.chunks(s, d).select("chunk_id", "doc_id", "content", "collection_id"), folder(s, "chunks"), "collection_id")
+    stored.delete_documents(docs, chunks, docs.read().where("collection_id = 'src3' or (collection_id = 'src4' and chunk_count > 2)").select("id", "collection_id"))
+    n = chunks.read().groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.read().join(n, F.col("id") == F.col("doc_id"), "left").select(F.col("id").alias("doc_id"), F.coalesce("n", F.lit(0)).alias("chunks"))
+
+
 @query("chunk_counts", with_("docs", "collections") + "select c.id, cast(coalesce(sum(d.chunk_count), 0) as bigint) as chunks, count(d.id) as documents from collections c left join docs d on d.collection_id = c.id group by c.id")
 def _(s, d):
     return S.chunk_counts(X.collections(s, d), X.documents(s, d))
