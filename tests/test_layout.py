@@ -91,6 +91,13 @@ def test_csv_round_trip(spark, tmp_path):
     assert [(r.chunk_id, r.group_id, r.content) for r in back] == [(x[0], x[2], x[5]) for x in data]
 
 
+def test_joined_chunks_keep_where_they_stand(spark):
+    data = [(1, 0, "p", None, "a b", 3, 3, ["x"]), (1, 1, "p", None, "c d", 3, 5, ["y", "z"]), (1, 2, "p", "g", "e f", 6, 6, []), (1, 3, "q", None, "g h", None, None, None)]
+    df = spark.createDataFrame(data, "doc_id int, chunk_index long, hierarchy_path string, group_id string, content string, page_start int, page_end int, boxes array<string>")
+    got = [tuple(r)[1:] for r in C.merge_adjacent(df, 20).orderBy("chunk_index").collect()]
+    assert got == [(0, "a b\n\nc d", 3, 5, ["x", "y", "z"]), (2, "e f", 6, 6, []), (3, "g h", None, None, None)]
+
+
 def test_sections(spark):
     data = [(1, 0, "intro", 0), (1, 1, "A", 1), (1, 2, "a b c", 0), (1, 3, "d e f", 0), (1, 4, "g h i", 0), (1, 5, "B", 2), (1, 6, "C", 1), (1, 7, "D", 2), (1, 8, "w " * 60, 0)]
     lines = L.section_paths(spark.createDataFrame(data, "doc_id int, line_no long, text string, level int"))

@@ -61,6 +61,22 @@ def test_document(spark):
     assert got[2].content == "- an item\n- another item" and {r.parent_chunk_id for r in got[1:3]} == {got[0].chunk_id} and {r.pages for r in got} == {2}
     assert got[3].parent_chunk_id is None and got[3].path == ["2 Outlook for all"]
     assert R.ocr_document_chunks(df.limit(0)).count() == 0
+    # boxes: of the heading and of the text that joined it; of all cells of the table; of both items; all of page two
+    own = {r.text: r for r in df.collect()}
+
+    def box(*texts):
+        rows = [own[t] for t in texts]
+        x, y = min(r.x for r in rows), min(r.y for r in rows)
+        return f'{{"page":{rows[0].page},"x":{x:.1f},"y":{y:.1f},"width":{max(r.end_x for r in rows) - x:.1f},"height":{max(r.end_y for r in rows) - y:.1f}}}'
+
+    cells = [t for _, _, _, t in table()]
+    want = [[("1.2 Results of the year",), ("Some words stand here.",)], [cells], [("• an item", "• another item")], [("2 Outlook for all",), ("Words on page two.",)]]
+    for r, boxes in zip(got, want, strict=True):
+        if boxes != [cells]:  # cells of one text would share a key
+            assert r.bbox == "[" + ",".join(box(*b) for b in boxes) + "]"
+    inside = [r for r in df.where("page = 0 and y >= 300 and y < 500").collect()]
+    assert got[1].bbox == f'[{{"page":0,"x":{min(r.x for r in inside):.1f},"y":{min(r.y for r in inside):.1f},"width":{max(r.end_x for r in inside) - min(r.x for r in inside):.1f},"height":{max(r.end_y for r in inside) - min(r.y for r in inside):.1f}}}]'
+    assert [(r.page_start, r.page_end) for r in got] == [(0, 0), (0, 0), (0, 0), (1, 1)]
 
 
 def test_long_table(spark):
