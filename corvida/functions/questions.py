@@ -33,8 +33,10 @@ TABLE_LOOKUPS = [
     "according to the table", "expenses table", "stock-in-trade table", "segment results", " col ", " column ", " row ", "under col", "under column",
     "in column", "inventory turnover", "payment of lease liabilities", "production figures", "amount associated with",
 ]
-SEVERAL_HOPS = [
+NAMED_DOCUMENTS = [
     "provided documents", "according to the documents", "in the documents", "first provided chunk", "second provided chunk", "first chunk", "second chunk",
+]
+BRIDGES = [
     " and what factors ", " and which components ", " and what operational ", " and what amount ", " and where ", " and how ", " and then ", " along with ",
     " as well as ", " sum of ",
 ]
@@ -69,7 +71,7 @@ def route(query: Column, has_documents: Column, history: Column, label: Column)
     follows = F.contains(history, F.lit(RETRIEVED_MARK)) & T.has_any(q, FOLLOW_UPS)
     looks_up = _starts(q, LOOKUP_STARTS) & ~T.has_any(q, LOOKUP_EXCLUDED) & (times(r"\b(and|including)\b") <= 3)
     combines = T.has_any(q, COMPARISONS) | ((times(r"\b(and|versus|vs|while|whereas)\b") >= 1) & (times(METRICS) >= 2))
-    by_rule = F.when(~has_documents, "SINGLE_SHOT").when(direct | follows, "DIRECT").when(T.has_any(q, TABLE_LOOKUPS + SEVERAL_HOPS), "AGENTIC")
+    by_rule = F.when(~has_documents, "SINGLE_SHOT").when(direct | follows, "DIRECT").when(T.has_any(q, TABLE_LOOKUPS + NAMED_DOCUMENTS + BRIDGES), "AGENTIC")
     return by_rule.when(looks_up, "SINGLE_SHOT").when(combines, "AGENTIC").otherwise(route_label(label))
 
 

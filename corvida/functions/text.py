@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +29,9 @@ TABLE_STOP_WORDS = [
     "what", "which", "where", "when", "that", "this", "with", "from", "were", "was", "are", "the", "and", "for", "under", "column", "table", "value",
     "values", "listed", "according", "reported", "provide", "show", "does", "did", "row", "rows", "in", "of", "to", "as", "by", "on", "a", "an"
 ]
-JUNK_LINE = r"^(page\s+\d+\s+of\s+\d+|\(?₹\s*in\s*crore\)?|\(?rs\.?\s*in\s*crore\)?|\(?\$\s*in\s*millions?\)?|\||-|_|continued)$"
+#: Lines that say nothing, in lower case with single blanks: patterns, and what they are.
+JUNK_PATTERNS = [r"^page\s+\d+\s+of\s+\d+$", r"^\(?₹\s*in\s*crore\)?$", r"^\(?rs\.?\s*in\s*crore\)?$", r"^\(?\$\s*in\s*millions?\)?$"]
+JUNK_LINES = ["|", "-", "_", "continued"]
 FURNITURE_TERMS = ["registered office", "corporate communications", "telephone", "cin:", "www.ril.com"]
 #: Lines that are page furniture wherever they stand, in lower case with single blanks: patterns they hold, what they are, what
 #: they hold.
@@ -115,7 +119,8 @@ def is_junk(c: Column) -> Column:
     """Every non-blank line is a page number, unit caption or the like, or there is at most one character."""
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: trimmed(F.regexp_replace(F.lower(x), r"\s+", " "))), lambda x: x != "")
     whole = trimmed(F.regexp_replace(F.lower(c), r"\s+", " "))
-    return ((F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(JUNK_LINE))) | (F.length(whole) <= 1) | whole.rlike(JUNK_LINE)
+    junk = lambda x: reduce(lambda found, p: found | x.rlike(p), JUNK_PATTERNS, x.isin(JUNK_LINES))
+    return ((F.size(lines) > 0) & F.forall(lines, junk)) | (F.length(whole) <= 1) | junk(whole)
 
 
 def is_furniture(c: Column) -> Column:

@@ -41,10 +41,10 @@ def _(s, d):
 
 
 SQUEEZED = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
-JUNK = "'^(page\\s+\\d+\\s+of\\s+\\d+|\\(?₹\\s*in\\s*crore\\)?|\\(?rs\\.?\\s*in\\s*crore\\)?|\\(?\\$\\s*in\\s*millions?\\)?|\\||-|_|continued)$'"
+_JUNK = " or ".join([*[f"regexp_matches({SQUEEZED.format('content')}, '{p}')" for p in T.JUNK_PATTERNS], *[f"{SQUEEZED.format('content')} = '{x}'" for x in T.JUNK_LINES]])
 
 
-@query("drop_junk_chunks", with_("lines") + f", m as (select doc_id, line_no, case line_no % 5 when 0 then 'Page ' || line_no || ' of 9' when 1 then '(₹ in crore)' else line end as content from lines) select * from m where not (regexp_matches({SQUEEZED.format('content')}, {JUNK}) or length({SQUEEZED.format('content')}) <= 1)")
+@query("drop_junk_chunks", with_("lines") + f", m as (select doc_id, line_no, case line_no % 5 when 0 then 'Page ' || line_no || ' of 9' when 1 then '(₹ in crore)' else line end as content from lines) select * from m where not ({_JUNK} or length({SQUEEZED.format('content')}) <= 1)")
 def _(s, d):
     n = F.col("line_no")
     m = X.lines(s, d).select("doc_id", "line_no", F.when(n % 5 == 0, F.concat(F.lit("Page "), n.cast("string"), F.lit(" of 9"))).when(n % 5 == 1, "(₹ in crore)").otherwise(F.col("line")).alias("content"))

@@ -61,7 +61,7 @@ def _count(pattern: str) -> str:
 select query_id, case when not has_documents then 'SINGLE_SHOT' when {_any(U.OUTSIDE_DOCUMENTS)} or {_any(U.SPECULATIVE)} then 'DIRECT'
   when {_any(U.GREETINGS, 'q', 'starts_with')} or {_any([g.strip() for g in U.GREETINGS], 'rtrim(q)', 'equals')} or {_any(U.ABOUT_THE_CONVERSATION)} then 'DIRECT'
   when regexp_full_match(q, '{U.ARITHMETIC_LINE}') or (regexp_matches(q, '[0-9]') and {_any(U.ARITHMETIC_PHRASES)}) or {_any(U.WORLD_KNOWLEDGE)} then 'DIRECT'
-  when contains(history, '[Source:') and {_any(U.FOLLOW_UPS)} then 'DIRECT' when {_any(U.TABLE_LOOKUPS)} or {_any(U.SEVERAL_HOPS)} then 'AGENTIC'
+  when contains(history, '[Source:') and {_any(U.FOLLOW_UPS)} then 'DIRECT' when {_any(U.TABLE_LOOKUPS)} or {_any(U.NAMED_DOCUMENTS)} or {_any(U.BRIDGES)} then 'AGENTIC'
   when {_any(U.LOOKUP_STARTS, 'q', 'starts_with')} and not {_any(U.LOOKUP_EXCLUDED)} and {_count('[[:<:]](and|including)[[:>:]]').replace('[[:<:]]', chr(92) + 'b').replace('[[:>:]]', chr(92) + 'b')} <= 3 then 'SINGLE_SHOT'
   when {_any(U.COMPARISONS)} then 'AGENTIC' when {_count(chr(92) + 'b(and|versus|vs|while|whereas)' + chr(92) + 'b')} >= 1 and {_count(U.METRICS)} >= 2 then 'AGENTIC'
   when contains(u, 'DIRECT') then 'DIRECT' when contains(u, 'AGENTIC') then 'AGENTIC' else 'SINGLE_SHOT' end as route from l""".replace("equals(rtrim(q), x)", "rtrim(q) = x"))
