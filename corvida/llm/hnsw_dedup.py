@@ -201,6 +201,7 @@ def linked(graph: Graph, unit: np.ndarray, q: np.ndarray, least: float, block: i
 def _build_shard(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("rep")
     raw = np.stack(part["embedding"].to_list()).astype(np.float64)
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)  # before squares, which may be beyond a double
     unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
     graph = build(unit)
     kept = pickle.dumps([(m.astype(np.int32), x.astype(np.int32)) for m, x in graph.levels])
@@ -232,7 +233,7 @@ def _query_pairs(least: float):
                 graph = Graph(unit_b.astype(np.float32), [(m.astype(np.int64), x.astype(np.int64)) for m, x in pickle.loads(row.graph)])
                 same = row.shard_a == row.shard_b
                 reps = reps_b if same else np.concatenate([reps_a, reps_b])
-                order = np.argsort(reps, kind="stable")  # the smallest place is then the smallest representative
+                order = np.argsort(reps, kind="stable")  # the smallest place is then the smallest class
                 place = np.empty(len(reps), dtype=np.int64)
                 place[order] = np.arange(len(reps))
                 count, root = np.zeros(len(reps), dtype=np.int64), np.arange(len(reps))
@@ -273,7 +274,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding"))
     group = F.concat_ws(":", F.size("embedding").cast("string"), "label").alias("group")
     rows = cut(rows.select("vec_id", F.when(fit, F.col("embedding")).alias("embedding"), F.when(fit, group).alias("group")), "vectors")
-    classes = cut(rows.where("group is not null").groupBy("group", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = cut(rows.where("group is not null").groupBy("group", "embedding").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "classes")  # ids may repeat, rep doesn't
     sizes = cut(classes.groupBy("group").agg(F.ceil(F.count("*") / shard).cast("long").alias("shards")), "sizes")
     placed = classes.join(sizes, "group").withColumn("shard", F.pmod(F.xxhash64("rep", F.lit("shard")), F.col("shards")))
     graphs = cut(placed.select("group", "shard", "rep", "copies", "embedding").groupBy("group", "shard").applyInPandas(_build_shard, "group string, shard long, dim long, reps binary, copies binary, unit binary, graph binary"), "graphs")
@@ -285,7 +286,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = cut(pairs.mapInPandas(_query_pairs(least), "rep long, links long, root long"), "found")
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = cut(classes.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("group", "embedding", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    rooted = cut(classes.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    known = cut(rooted.join(lowest, "root").select("group", "embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
     got = rows.join(known, ["group", "embedding"], "left")
     component = F.coalesce("component_id", "vec_id")
     return got.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

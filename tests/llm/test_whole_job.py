@@ -33,6 +33,29 @@ def test_lone_pairs_beside_groups_of_near_copies_are_found(monkeypatch):
     assert (found == true).all() and len(q) == true.sum()
 
 
+def test_beams_alone_find_links():
+    """Without the audit's scan: lone pairs and groups of near copies among single vectors."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.normal(size=(300, 64)), 2, axis=0), np.repeat(rng.normal(size=(30, 64)), 20, axis=0), rng.normal(size=(1500, 64))])
+    x = (x + 0.05 * rng.normal(size=x.shape))[rng.permutation(len(x))]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = x @ x.T >= 0.98
+    graph, q = hnsw_dedup.build(x), x.astype(np.float32)
+    found = hnsw_dedup._wider(graph, q, hnsw_dedup.descend(hnsw_dedup.Graph(graph.unit, graph.levels[:-1]), q), hnsw_dedup.BEAM, 0.98)
+    others = true & ~np.eye(len(x), dtype=bool)
+    assert others.sum() > 10_000 and (found & others).sum() >= 0.99 * others.sum()
+    lone = others.sum(axis=1) == 1
+    assert lone.sum() > 500 and (found & others)[lone].sum() >= 0.99 * lone.sum()
+
+
+def test_ids_that_are_null_or_repeat_and_vectors_of_any_length(spark):
+    a, b = [1.0, 2.0, 3.0], [1.0, 2.0, 3.001]
+    rows = [(1, a, 0), (1, b, 0), (None, a, 0), (4, [v * 1e-170 for v in b], 0), (5, [v * 1e170 for v in a], 0), (6, a, None), (7, a, 1), (8, [0.0] * 3, 0), (9, None, 0), (9, [-v for v in a], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(r.vec_id), r.n_links, r.component_id) for r in hnsw_dedup.near_vectors(table).collect())
+    assert got == sorted([("1", 3, 1), ("1", 3, 1), ("None", 0, None), ("4", 3, 1), ("5", 3, 1), ("6", 0, 6), ("7", 0, 7), ("8", 0, 8), ("9", 0, 9), ("9", 0, 9)])
+
+
 def test_repeated_ids_keep_one_row_of_each_component(spark):
     a, b, c = "one two three four five six", "alpha beta gamma delta epsilon zeta", "red green blue black white grey"
     table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, other string")
