@@ -11,27 +11,30 @@ from corvida.llm.common import Cut, read, scratch
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the byte network tells with some confidence; `und` and doubtful ones go."""
+    """Documents whose language the byte network tells with some confidence; `und` and doubtful ones go, so null and empty
+    texts do. Rows with null or repeated ids are judged by their texts like others; repeated rows all stay or all go."""
     return language_id.keep_known(docs)
 
 
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies."""
+    """One document, that with the smallest id, of each group of near copies; of rows that agree in id and text one. Texts
+    without a word are copies of one another. Rows with a null id can't be told apart and all stay."""
     return simhash.drop_near_copies(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets in their texts are replaced by a mark."""
+    """All documents, repeated rows too; secrets in their texts are replaced by a mark. Null texts stay null."""
     return secrets.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that bring the domains of the labels table to their target weights."""
+    """Documents drawn at the rates that bring the domains of the labels table to their target weights; a null text counts
+    as an empty one. Without a labelled document of the kept domain every document stays."""
     return mixing.sample_mixture(docs, read(spark, sf_dir, "labels"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens along the Hilbert curve."""
+    """Pieces of documents in sequences of 2048 tokens along the Hilbert curve; a null or empty text is one end id."""
     return packing.pack(docs)
 
 
