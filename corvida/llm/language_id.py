@@ -138,8 +138,8 @@ def _window_udf(seed: int, per_text: int = 4):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, seed: int = 7) -> ByteCnn | None:
     """Learns from text and lang of rows whose crc32(id as text) mod 3 is not 1; a null id counts as one of them.
 
-    Bound of the sample: about per_language rows for each language, picked by a hash of id and text length, and four
-    windows from each. The windows, not the texts, come to the driver. None if there is nothing to learn from.
+    Bound of the sample: about per_language rows for each of the 256 most frequent languages (bounded_sample's max_strata;
+    further ones are not learned), picked by a hash of id and text length, and four windows from each. The windows, not the texts, come to the driver. None if there is nothing to learn from.
     """
     rows = docs.where(F.coalesce(fold(id_col, 3), F.lit(0)) != 1).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     some = bounded_sample(rows, "_lang", F.concat_ws(":", F.coalesce("_id", F.lit("")), F.length("_text")), per_language)
