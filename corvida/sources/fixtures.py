@@ -69,10 +69,11 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), key("text").alias("key"))
     windows = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))
     keys = F.element_at(F.transform(F.array(F.split("text", r"\s+")), windows), 1)
-    d = texts(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(keys)).alias("key"))
-    wanted = b.select("key").distinct()
-    d = d.join(wanted, "key", "left_semi")
-    return d.join(b, "key").where(F.contains("text", "passage")).select("query_id", "doc_id").distinct()
+    d = texts(spark, sf_dir).select("doc_id", "text")
+    # windows carry ids alone; the texts come back for the documents that share a key with a passage
+    held = d.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(b.select("key").distinct(), "key", "left_semi")
+    offered = held.join(b, "key").select("query_id", "doc_id", "passage").distinct()
+    return offered.join(d, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id").distinct()
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
