@@ -41,7 +41,7 @@ class VectorIndex:
 
     def centres(self) -> np.ndarray:
         rows = self.table("centres").orderBy("cell").select("centre").collect()
-        return np.array([r[0] for r in rows], dtype=float).reshape(len(rows), -1)
+        return np.array([r[0] for r in rows], dtype=float) if rows else np.zeros((0, 0))
 
 
 def unit_vectors(df: DataFrame, *columns: str) -> DataFrame:
