@@ -32,8 +32,10 @@ def parsed_tables(chunks: DataFrame) -> DataFrame:
 
 def markdown_cells(chunks: DataFrame) -> DataFrame:
     """(chunk_id, row_no, col, label, value) of the tables in chunks(chunk_id, content), see parsed_tables."""
-    rows = parsed_tables(chunks.select("chunk_id", "content")).select("chunk_id", F.explode("rows").alias("r"))
-    return rows.select("chunk_id", "r.row_no", F.explode("r.cells").alias("c")).select("chunk_id", "row_no", "c.*")
+    # an inner explode would have its rows parsed once more in a filter below, for each of their cells
+    rows = parsed_tables(chunks.select("chunk_id", "content")).select("chunk_id", F.explode_outer("rows").alias("r"))
+    cells = rows.select("chunk_id", "r.row_no", F.explode_outer("r.cells").alias("c"))
+    return cells.where("c is not null").select("chunk_id", "row_no", "c.*")
 
 
 def normalized(c: Column) -> Column:
@@ -63,7 +65,7 @@ def rank_rows(questions: DataFrame, chunks: DataFrame, evidence: DataFrame, most
     asked = questions.select("query_id", table_terms(F.col("query")).alias("terms"))
     got = evidence.select("query_id", "chunk_id", "score").join(tables, "chunk_id").join(asked, "query_id")
     got = got.withColumn("shared", F.size(F.array_intersect("terms", "chunk_terms"))).withColumn("others", F.array_except("terms", "chunk_terms"))
-    got = got.select("query_id", "chunk_id", "file_name", "score", "headers", "terms", "shared", "others", F.explode(F.arrays_zip("rows", "plain")).alias("r"))
+    got = got.select("query_id", "chunk_id", "file_name", "score", "headers", "terms", "shared", "others", F.explode_outer(F.arrays_zip("rows", "plain")).alias("r")).where("r is not null")
     made_up = F.flatten(F.transform(F.filter("r.rows.cells", lambda c: c.col >= F.size("headers")), lambda c: F.array(F.lit("col"), (c.col + 1).cast("string"))))
     per_cell = F.size(F.filter("r.plain", lambda c: F.exists("terms", lambda t: F.contains(c.value, t) | F.contains(c.label, t))))
     got = got.select("query_id", "chunk_id", "file_name", "score", "headers", "r.rows.row_no", "r.rows.cells", (F.col("shared") + F.size(F.array_intersect("others", made_up)) + per_cell).alias("row_score"))
