@@ -148,3 +148,21 @@ def test_sums_of_shared_rows(spark):
     q = spark.createDataFrame([(0, "combined total of North and South cost")], "query_id int, query string")
     rows = tables.rank_rows(q, chunks, spark.createDataFrame([(0, "c", 1.0)], "query_id int, chunk_id string, score double"))
     assert answers.table_answers(q, rows, chunks).first().answer == "5100 + 2300 = 7400 (Source: s.txt)"
+
+
+#: Sizes and prices whose sum is whole or just beside it, by the order in which they are added.
+CLOSE = [
+    ([33, 11, 26], [946.68, 989.66, 919.66]), ([43, 40, 25], [999.56, 902.43, 982.01]), ([50, 45, 8], [978.01, 995.85, 933.14]), ([16, 40, 44], [959.43, 996.68, 994.89]),
+    ([48, 23, 32], [959.85, 980.66, 998.49]), ([41, 35, 7], [988.51, 986.81, 929.68]), ([17, 39, 46], [990.43, 962.18, 992.39]), ([42, 32, 32], [965.53, 977.83, 900.64]),
+]
+
+
+def test_facts_of_sums_beside_whole_numbers(spark, tmp_path):
+    """The query and its SQL add the same cells in the same order, whatever order the rows lie in."""
+    from corvida.plans import question_plans
+    from tests.oracle import differences
+
+    rows = [(500 * run + i, f"b{j}", size, price) for j, (sizes, prices) in enumerate(CLOSE) for run in range(40) for i, (size, price) in enumerate(zip(sizes, prices, strict=True))]
+    df = spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double")
+    df.orderBy(F.xxhash64("p_partkey", "p_brand")).coalesce(1).toPandas().to_parquet(tmp_path / "part.parquet")
+    assert differences(spark, question_plans.QUERIES["inject_table_facts"], question_plans.ORACLES["inject_table_facts"], str(tmp_path)) is None
