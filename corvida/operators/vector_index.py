@@ -60,8 +60,10 @@ def nearest_cells(centres: np.ndarray, most: int):
 
     @F.pandas_udf("array<int>")
     def of(e: pd.Series) -> pd.Series:
-        sims = np.stack(e.to_list()) @ centres.T - 0.5 * (centres**2).sum(axis=1) if len(e) else np.empty((0, len(centres)))
-        return pd.Series(list(np.argsort(-sims, axis=1, kind="stable")[:, :most].astype(np.int32)))
+        half, found = 0.5 * (centres**2).sum(axis=1), []
+        for tile in R.tiles(len(e), len(centres)):
+            found += list(np.argsort(half - np.stack(e[tile].to_list()) @ centres.T, axis=1, kind="stable")[:, :most].astype(np.int32))
+        return pd.Series(found, dtype=object)
 
     return of
 
@@ -149,12 +151,14 @@ def _first_pass(centres: np.ndarray, k: int):
                 q = rows.field("e").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
                 code = np.frombuffer(codes.as_py(), dtype=np.int8).reshape(-1, len(c))
                 s, w = (v.values.to_numpy(zero_copy_only=False) for v in (scales, wrong))
-                score = (q @ code.T.astype(float)) * s + (q @ c)[:, None]
-                low = score - w
-                least = np.partition(low, -min(k, low.shape[1]), axis=1)[:, -min(k, low.shape[1])]
-                who, what = np.nonzero(score + w >= least[:, None])
-                columns = [rows.field("query_id").take(pa.array(who)), ids.values.take(pa.array(what)), homes.values.take(pa.array(what)), pa.array(low[who, what]), pa.array((score + w)[who, what])]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "cell", "low", "high"])
+                code = code.T.astype(float)
+                for tile in R.tiles(len(q), len(s)):
+                    score = (q[tile] @ code) * s + (q[tile] @ c)[:, None]
+                    low = score - w
+                    least = np.partition(low, -min(k, low.shape[1]), axis=1)[:, -min(k, low.shape[1])]
+                    who, what = np.nonzero(score + w >= least[:, None])
+                    columns = [rows.field("query_id").take(pa.array(who + tile.start)), ids.values.take(pa.array(what)), homes.values.take(pa.array(what)), pa.array(low[who, what]), pa.array((score + w)[who, what])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "cell", "low", "high"])
 
     return run
 

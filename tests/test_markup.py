@@ -209,6 +209,37 @@ def test_block_search_is_exact(spark):
         assert got.get(901) in (None, [901]) and 900 not in got and 902 not in got
 
 
+def test_block_search_holds_a_tile_at_once(monkeypatch):
+    """What a task holds doesn't grow with its blocks, and copies, ties and NaN are ranked as by a full sort."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 8)).round(1)
+    x[100:700] = x[3]
+    names = ["doc_id", "chunk_id"]
+    block = lambda rows, cols: pa.array([[dict(zip(cols, (i, i, r.tolist())[-len(cols) :], strict=True)) for i, r in enumerate(rows)]])
+    batch = pa.RecordBatch.from_arrays([block(x, ["query_id", "e"]), block(x, [*names, "e"])], names=["asked", "held"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.argsort(-np.round(unit @ unit.T, 9), axis=1, kind="stable")[:, :6].ravel().tolist()
+    tracemalloc.start()
+    got = list(retrieve.nearest(6, None, names)([batch]))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for b in got for i in b.column(2).to_pylist()] == want
+    assert [i for b in got for i in b.column(0).to_pylist()] == np.repeat(np.arange(2000), 6).tolist()
+    full = 8 * len(x) ** 2
+    monkeypatch.setattr(retrieve, "TILE", 1 << 14)
+    tracemalloc.start()
+    assert [i for b in retrieve.nearest(6, None, names)([batch]) for i in b.column(2).to_pylist()] == want
+    assert tracemalloc.get_traced_memory()[1] < min(held, full / 4)
+    tracemalloc.stop()
+    sims = np.array([[np.nan, 0.5, 0.5 + 1e-12, 0.7], [np.nan, np.nan, np.nan, 0.1]])
+    assert [a.tolist() for a in retrieve.best_of(sims, 2)[:2]] == [[0, 0, 1, 1], [3, 1, 3, 0]]
+
+
 def test_long_texts_are_hashed_alone(spark, monkeypatch):
     def plain(text):
         h = 0xCBF29CE484222325
