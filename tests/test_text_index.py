@@ -97,3 +97,24 @@ def test_nulls_and_an_empty_index(spark, tables, tmp_path):
     assert counts(I.dictionary(index)) == []
     I.insert(index, chunks)
     assert counts(I.dictionary(index)) == counts(R.postings(chunks).groupBy("token").count().withColumnRenamed("count", "chunks"))
+
+
+def test_chunks_come_in_for_asked_prefixes_alone(spark):
+    """Prefixes carry no chunks before they meet terms, and what is offered is cut before it is shuffled by chunk."""
+    import re
+
+    from corvida.operators import retrieve
+
+    rows = [(f"{i}_{j}", i, j, f"alpha beta{i % 3} gam{j} alphabet" if i % 2 else "beta alp") for i in range(60) for j in range(3)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id int, chunk_index int, content string")
+    asked = spark.createDataFrame([(1, "alp"), (2, "beta"), (2, "gam"), (3, "none")], "query_id int, term string")
+    found = retrieve.first_chunks(asked, retrieve.postings(chunks), 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Generate explode\(transform\(sequence.*places", plan)
+    assert not re.search(r"Exchange hashpartitioning\(term#\d+, chunk_id", plan)
+    got: dict[int, list] = {}
+    for r in found.orderBy("query_id", "doc_id", "chunk_index").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    holds = lambda text, terms: any(w.startswith(t) for w in text.split() for t in terms)
+    want = lambda *terms: [c for c, _, _, text in rows if holds(text, terms)][:7]
+    assert got == {1: want("alp"), 2: want("beta", "gam")}
