@@ -87,3 +87,14 @@ def test_a_running_evaluation_keeps_each_sample_once(spark, tmp_path):
 
 def test_blocks_of_lines():
     assert blocks_of_lines("a\nb\nc\nd\ne") == ["a\nb\nc\nd", "e"]
+
+
+def test_changes_of_a_document_in_typed_columns():
+    import pandas as pd
+
+    from corvida.streaming import streams
+
+    changes = [(3, "READY", None, None), (3, "READY", 0, "a"), (3, "READY", 1, "")]
+    want = pd.DataFrame([(7, *c) for c in changes], columns=["doc_id", "seq", "status", "chunk_index", "content"]).astype({"chunk_index": "Int64"})
+    pd.testing.assert_frame_equal(streams.changes_frame(7, changes), want)
+    pd.testing.assert_frame_equal(streams.changes_frame(7, changes[:1]), want[:1])
