@@ -57,9 +57,11 @@ def base_font_size(lines: DataFrame) -> DataFrame:
 
 def heading_level_text(text: Column, height: Column, center_x: Column, page_width: Column, median_height: Column) -> Column:
     """1 to 4 for a heading by its numbers, capitals, place and height; null for any other line."""
-    t = T.trimmed(text)
+    return T.once(T.trimmed(text), lambda t: T.once(F.regexp_count(t, F.lit(r"\p{L}")), lambda letters: _level(t, letters, height, center_x, page_width, median_height)))
+
+
+def _level(t: Column, letters: Column, height: Column, center_x: Column, page_width: Column, median_height: Column) -> Column:
     low = F.lower(t)
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
     capitals = F.when(letters > 0, F.regexp_count(t, F.lit(r"\p{Lu}")) / letters).otherwise(0.0)
     announces = T.has_any(t, ANNOUNCEMENTS) & ~F.contains(low, F.lit("financial highlights"))
     none = (F.length(t) < 4) | T.is_furniture(t) | low.isin(HEADER_FRAGMENTS) | announces | t.rlike(r"^\p{Ll}") | (F.endswith(t, F.lit(".")) & (letters > 6)) | t.rlike(DATE_LINE)

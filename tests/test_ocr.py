@@ -90,3 +90,19 @@ def test_percentile(spark):
     for values, share, want in [([], 0.95, 0), ([7], 0.95, 7), ([None, 3, 1, 2], 0.5, 2), ([-5, 10**15, 4, 4, 4], 0.95, 4), ([-5, 10**15], 1.0, 10**15), (list(range(5000)), 0.95, 4749)]:
         df = spark.createDataFrame([(v,) for v in values], "ms long")
         assert evaluate.index_percentile(df, "ms", share, 16).head().p95 == want
+
+
+def test_a_line_is_trimmed_once(spark):
+    """Rules about a line don't each trim it anew."""
+    from pyspark.sql import functions as F
+
+    from corvida.functions import text as T
+    from corvida.operators import layout
+
+    df = spark.createDataFrame([("  Page 3 of 9 ", 12.0), ("1.2  Overview", 12.0), (None, 12.0), ("", 12.0), ("REVENUE UP", 20.0)], "t string, h double")
+    furniture = df.select("t", T.is_furniture(F.col("t")).alias("f"))
+    level = df.select("t", layout.heading_level_text(F.col("t"), F.col("h"), F.lit(100.0), F.lit(600.0), F.lit(12.0)).alias("l"))
+    for got, most in ((furniture, 2), (level, 3)):
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= most
+    assert {r.t: r.l for r in level.collect()} == {"  Page 3 of 9 ": None, "1.2  Overview": 2, None: None, "": None, "REVENUE UP": None}
+    assert [r.f for r in furniture.collect()] == [True, False, False, False, False]
