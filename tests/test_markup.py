@@ -240,6 +240,27 @@ def test_block_search_holds_a_tile_at_once(monkeypatch):
     assert [a.tolist() for a in retrieve.best_of(sims, 2)[:2]] == [[0, 0, 1, 1], [3, 1, 3, 0]]
 
 
+def test_floats_reach_python_as_floats(spark, monkeypatch):
+    """Blocks of floats take half the room of blocks of doubles, and are scored as the doubles that they stand for."""
+    floats = spark.range(400).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * 64 + i).cast("float")).alias("embedding"))
+    search = lambda kind: retrieve.vector_topk(*[floats.select(F.col("id").alias(c), F.col("embedding").cast(kind)) for c in ("query_id", "chunk_id")], 3)
+    found = [sorted(map(tuple, search(kind).collect())) for kind in ("array<float>", "array<double>")]
+    assert len(found[0]) == 1200 and found[0] == found[1]
+
+    def sizes(k, least, names):
+        def run(batches):
+            import pyarrow as pa
+
+            for i, batch in enumerate(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([i]), pa.array([float(batch.nbytes)])], names=["query_id", *names, "vector_score"])
+
+        return run
+
+    monkeypatch.setattr(retrieve, "nearest", sizes)
+    small, large = (search(kind).agg(F.sum("vector_score")).first()[0] for kind in ("array<float>", "array<double>"))
+    assert 2 * 400 * 64 * 4 <= small < 0.6 * large
+
+
 def test_long_texts_are_hashed_alone(spark, monkeypatch):
     def plain(text):
         h = 0xCBF29CE484222325
