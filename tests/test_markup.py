@@ -261,6 +261,42 @@ def test_floats_reach_python_as_floats(spark, monkeypatch):
     assert 2 * 400 * 64 * 4 <= small < 0.6 * large
 
 
+def test_a_documents_vector_is_searched_once(spark, monkeypatch):
+    """Chunks that share a vector are found as if each had its own, but Python gets the vector once."""
+    from corvida.plans.retrieve_plans import vector_side
+
+    # groups of equal vectors, a document of 40 chunks, one without, one with a null vector, a vector that comes twice
+    vector = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("doc_id") % 11 * 8 + i).cast("float"))
+    vectors = spark.range(40).select(F.col("id").alias("doc_id")).withColumn("embedding", F.when(F.col("doc_id") != 8, vector))
+    vectors = vectors.unionByName(spark.range(1).select(F.lit(5).cast("long").alias("doc_id")).withColumn("embedding", F.expr("transform(sequence(1, 8), i -> cast(i as float))")))
+    number = F.when(F.col("doc_id") == 9, 40).when(F.col("doc_id") == 7, 0).otherwise(F.col("doc_id") % 3 + 1)
+    members = vectors.select("doc_id").distinct().select("doc_id", F.explode(F.slice(F.expr("sequence(0L, 39L)"), F.lit(1), number)).alias("chunk_index"))
+    members = members.select(F.concat_ws("_", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index")
+    questions = vectors.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "rank", "chunk_id", "vector_score").collect())
+    want = rows(retrieve.vector_topk(questions, members.join(vectors, "doc_id"), 20, ties=("doc_id", "chunk_index")))
+    assert len(want) == 9 * 20 and any(c.startswith("9_") for _, _, c, _ in want)
+    for at_once in (4096, 7):
+        assert rows(retrieve.shared_vector_topk(questions, vectors, members, 20, at_once=at_once)) == want
+
+    def held(k, least, names):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for asked, block in zip(batch.column(0), batch.column(1), strict=True):
+                    q, v = asked.values.field("query_id"), block.values
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array([0] * len(v))), *[v.field(n) for n in names], pa.array([float(len(v))] * len(v))], names=["query_id", *names, "vector_score"])
+
+        return run
+
+    d = "/root/testdata/sf0.001"
+    texts, e = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "embeddings"))
+    want = texts.where("text is not null").join(e, F.col("doc_id") == F.col("vec_id")).count()
+    monkeypatch.setattr(retrieve, "nearest", held)
+    assert vector_side(spark, d)[1].agg(F.max("vector_score")).first()[0] == want
+
+
 def test_long_texts_are_hashed_alone(spark, monkeypatch):
     def plain(text):
         h = 0xCBF29CE484222325
