@@ -297,6 +297,15 @@ def test_a_documents_vector_is_searched_once(spark, monkeypatch):
     assert vector_side(spark, d)[1].agg(F.max("vector_score")).first()[0] == want
 
 
+def test_a_baseline_needs_no_python(spark):
+    """The fixed values that a run is held against are literals; rows of createDataFrame came from Python on every executor."""
+    from corvida.plans.shape_plans import BASELINE, QUERIES
+
+    plan = QUERIES["baseline_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExternalRDD" not in plan and "LogicalRDD" not in plan
+    assert all(f"{v}" in plan for v in BASELINE.values())
+
+
 def test_long_texts_are_hashed_alone(spark, monkeypatch):
     def plain(text):
         h = 0xCBF29CE484222325
