@@ -98,3 +98,42 @@ def test_changes_of_a_document_in_typed_columns():
     want = pd.DataFrame([(7, *c) for c in changes], columns=["doc_id", "seq", "status", "chunk_index", "content"]).astype({"chunk_index": "Int64"})
     pd.testing.assert_frame_equal(streams.changes_frame(7, changes), want)
     pd.testing.assert_frame_equal(streams.changes_frame(7, changes[:1]), want[:1])
+
+
+def test_states_of_a_page():
+    page, out = streams.advance_page({}, [(1, 1, "PART", "a|b", 5), (2, 1, "LAST", "c", 7), (None, 1, "PART", "n", 9), (1, 2, "LAST", "d", 8)], lines, 0, 10)
+    assert page == {1: ("READY", 2, 3, 18), 2: ("READY", 1, 1, 17), None: ("PROCESSING", 1, 1, 19)}
+    assert [c for c in out if c[0] == 1] == [(1, 1, "PROCESSING", None, None), (1, 1, "PROCESSING", 0, "a"), (1, 1, "PROCESSING", 1, "b"), (1, 2, "READY", None, None), (1, 2, "READY", 2, "d")]
+    assert [c for c in out if c[0] is None] == [(None, 1, "PROCESSING", None, None), (None, 1, "PROCESSING", 0, "n")]
+    # each document's time is its own: one is over when the watermark is past it, and not for a document with events, repeats too
+    held = {1: ("PROCESSING", 4, 1, 10), 2: ("READY", 1, 1, 10), 3: ("PROCESSING", 1, 1, 11), 4: ("PROCESSING", 1, 1, 10)}
+    assert streams.advance_page(held, [], lines, 10, 10) == (held, [])
+    page, out = streams.advance_page(held, [(4, 1, "PART", "again", 3)], lines, 11, 10)
+    assert page == {3: held[3], 4: ("PROCESSING", 1, 1, 21)} and out == [(1, 4, "FAILED", None, None)]
+    # an event of no effect begins no state, and what is given stays as it was
+    assert streams.advance_page({}, [(5, -1, "PART", "x", 1)], lines, 0, 10) == ({}, []) and len(held) == 4
+
+
+def test_documents_are_worked_on_by_pages(spark, tmp_path):
+    """A call of Python and a row of state for a page, not for a document; documents of a page end alone, by events and by time."""
+    path, schema, n = str(tmp_path), "doc_id long, seq long, kind string, text string, at timestamp", 1 << streams.PAGE_BITS
+
+    def arrive(*events, at="2024-01-01 00:00:00"):
+        spark.createDataFrame([(*e, at) for e in events], schema.replace("timestamp", "string")).withColumn("at", F.to_timestamp("at")).write.mode("append").parquet(f"{path}/events")
+        run = streams.ingest(spark.readStream.schema(schema).parquet(f"{path}/events"), lines, path, f"{path}/state")
+        run.awaitTermination(120)
+        chunks, status = streams.ingest_tables(spark, path)
+        held = [r.content for r in chunks.read().orderBy("doc_id", "chunk_index").collect()]
+        return run.lastProgress["stateOperators"][0]["numRowsTotal"], held, {r.doc_id: (r.status, r.chunks) for r in status.read().collect()}
+
+    rows, held, status = arrive(*[(i, 1, "PART", f"{i}|x") for i in range(-1, 2 * n)])
+    assert rows == 3 and len(held) == 2 * (2 * n + 1) and set(status.values()) == {("PROCESSING", 2)}
+    rows, held, status = arrive((-1, 2, "LAST", "y"), (0, 2, "CANCEL", None), (1, 2, "LAST", None), (2, 2, "LAST", "y"), (n, 2, "LAST", "y"), at="2024-01-01 12:00:00")
+    assert rows == 3 and 0 not in status and status[1] == ("FAILED", 0) and status[2] == status[n] == status[-1] == ("READY", 3) and status[3] == ("PROCESSING", 2)
+    # two days on, by an event of another page, those that waited since midnight are given up, in pages without events too
+    arrive((10 * n, 1, "LAST", "z"), at="2024-01-03 06:00:00")
+    rows, held, status = arrive((10 * n, 2, "CANCEL", None), (10 * n + 1, 1, "LAST", "z"), at="2024-01-03 06:00:01")
+    assert held == ["-1", "x", "y", "2", "x", "y", str(n), "x", "y", "z"]
+    assert {i for i, s in status.items() if s[0] == "FAILED"} == {1, *range(3, 2 * n)} - {n} and 10 * n not in status and status[10 * n + 1] == ("READY", 1)
+    # what ended at noon is still known, so that a repeat of it counts for nothing
+    assert rows == 4 and arrive((2, 2, "LAST", "y"), at="2024-01-03 06:00:02")[1] == held
