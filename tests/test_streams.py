@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from corvida.plans.stream_plans import blocks_of_lines
+from corvida.plans.stream_plans import blocks_of_lines, ingested
 from corvida.streaming import streams
 
 lines = lambda text: text.split("|")
@@ -137,3 +137,12 @@ def test_documents_are_worked_on_by_pages(spark, tmp_path):
     assert {i for i, s in status.items() if s[0] == "FAILED"} == {1, *range(3, 2 * n)} - {n} and 10 * n not in status and status[10 * n + 1] == ("READY", 1)
     # what ended at noon is still known, so that a repeat of it counts for nothing
     assert rows == 4 and arrive((2, 2, "LAST", "y"), at="2024-01-03 06:00:02")[1] == held
+
+
+def test_registered_ingestion_keeps_a_row_of_state_for_a_page(spark):
+    """Of the stream that stream_ingest and stream_ingest_status read."""
+    sf = "/root/testdata/sf0.001"
+    path = ingested(spark, sf)
+    pages = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select(F.shiftright("doc_id", streams.PAGE_BITS)).distinct().count()
+    held = spark.read.format("statestore").load(f"{path}/state")
+    assert held.count() == pages and held.select(F.explode("value.groupState.doc_id")).count() == spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").count()
