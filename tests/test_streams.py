@@ -146,3 +146,13 @@ def test_registered_ingestion_keeps_a_row_of_state_for_a_page(spark):
     pages = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select(F.shiftright("doc_id", streams.PAGE_BITS)).distinct().count()
     held = spark.read.format("statestore").load(f"{path}/state")
     assert held.count() == pages and held.select(F.explode("value.groupState.doc_id")).count() == spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").count()
+
+
+def test_an_event_without_seq_leaves_the_others_of_its_page(spark, tmp_path):
+    path, schema = str(tmp_path), "doc_id long, seq long, kind string, text string, at timestamp"
+    for events in ([(1, None, "PART", "a"), (2, 1, "PART", "b|c")], [(2, 2, "LAST", "d"), (2, 1, "PART", "b|c")]):
+        spark.createDataFrame([(*e, "2024-01-01 00:00:00") for e in events], schema.replace("timestamp", "string")).withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(f"{path}/events")
+        streams.ingest(spark.readStream.schema(schema).parquet(f"{path}/events"), lines, path, f"{path}/state").awaitTermination(120)
+    chunks, status = streams.ingest_tables(spark, path)
+    assert sorted((r.seq, r.chunk_index, r.content) for r in chunks.read().where("doc_id = 2").collect()) == [(1, 0, "b"), (1, 1, "c"), (2, 2, "d")]
+    assert [tuple(r) for r in status.read().where("doc_id = 2").select("seq", "status", "chunks").collect()] == [(2, "READY", 3)]
